@@ -1,17 +1,14 @@
-"""Named queries over the driver's tables, with the SQL that each must equal."""
+"""All named queries of the library itself."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import logs, scores, tables, texts  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
