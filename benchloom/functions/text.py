@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 # A plain number, with ASCII digits, thousands in groups of three and either minus sign.
-PLAIN_NUMBER = r"^(?:[+\-−]?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]+)?|[+\-−]?\.[0-9]+)$"
+PLAIN_NUMBER = r"^(?:[+\-−]?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]+)?|[+\-−]?\.[0-9]+)\z"
 
 # The order of languages.
 LANGUAGES = tuple("en zh ja ko fr de es pt ru ar hi it nl pl tr vi id th sw fa ur bn ta te".split())
@@ -111,7 +111,7 @@ def binned(value: Column, edges: list[tuple[float, str]], last: str) -> Column:
 def answer_hint(answers: Column, long_words: int = 30) -> Column:
     """What kind of answer an array of answers is."""
     first = strip(F.get(answers, 0))
-    numeric = first.rlike(r"(?U)^[\s$€£¥+−\-\d.,%eE]+$")
+    numeric = first.rlike(r"(?U)^[\s$€£¥+−\-\d.,%eE]+\z")
     words = F.size(F.filter(F.split(first, r"(?U)\s+"), lambda w: w != ""))
     return F.when(F.size(answers) > 1, "multiple_values_or_aliases").when(numeric, "numeric").when(words > long_words, "long_answer_needs_canonicalization").otherwise("short_text_or_expression")
 

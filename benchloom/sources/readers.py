@@ -62,7 +62,7 @@ def csv_rows(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
 
 def csv_grid(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """(file, row, column, text): a headerless file as a grid of cells."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x != "")).alias("row", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x != "")).alias("row", "line"))
     quoted = re.escape(separator)
     cells = F.regexp_extract_all("line", F.lit(rf'(?:^|{quoted})("(?:[^"]|"")*"|[^{quoted}]*)'), F.lit(1))
     plain = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
@@ -71,7 +71,7 @@ def csv_grid(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
 
 def sources(spark: SparkSession, pattern: str) -> DataFrame:
     """(file, value): whole text files, for source code read as data."""
-    return spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_path").alias("file"), "value")
+    return spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def binaries(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
