@@ -10,6 +10,7 @@ task's memory; the loss from packing groups apart is at most a few windows for e
 from __future__ import annotations
 
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,12 @@ from .common import arrow_map, batch_of, column, documents, drop, stored
 #: Tokens in a sequence, id that ends a document, rests in a group.
 LENGTH, END_ID, GROUP = 2048, 1, 20_000
 
+# Marks that may stand after a word; the characters that stand for bytes in byte-level vocabularies (those that
+# are printable in Latin-1 stand for themselves, the others for the next ones from 256 on).
+_MARKS = ".,;:!?*$%&#"
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -45,20 +52,26 @@ class Encoder(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        if chunk.isascii():
-            # Letters are taken small, and a last point or comma after a letter is a token of its own.
-            small = chunk.lower()
-            if small != chunk:
-                out = self[small]
-            elif len(chunk) > 1 and chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha():
-                out = self[chunk[:-1]] + self[chunk[-1:]]
-            else:
-                out = self.ids(chunk.decode())
+        text = chunk.decode()
+        core = text.rstrip(_MARKS)
+        if core != text and core.isalpha() and core.lower().isalpha():
+            # Letters, and the marks after them, are tokens apart.
+            out = self[core.encode()] + self[text[len(core) :].encode()]
+        elif core == text and text.isalpha() and "\u03a3" not in text and is_normalized("NFC", text):
+            # One run of letters is one word for the model, in small letters and byte by byte.
+            small = text.lower()
+            out = self.word(text) if small == text else self[small.encode()] if small.isalpha() else self.ids(text)
         else:
-            out = self.ids(chunk.decode())
+            out = self.ids(text)
         self[chunk] = out
         return out
 
+    def word(self, letters: str) -> bytes:
+        if not is_normalized("NFC", letters):
+            return self.ids(letters)
+        spelt = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], dtype="<u4").tobytes()
+
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:  # special tokens may be written out in it
             return self.ids(text.decode())
