@@ -223,3 +223,63 @@ def context_inventory(rows: DataFrame, contexts: DataFrame, configurations: int
     with_any = contexts.select("case_id").distinct().withColumn("has", F.lit(1))
     grouped = rows.join(with_any, "case_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("cases"), F.count("has").alias("with_context"))
     return grouped.withColumn("configurations", F.col("with_context") * configurations)
+
+
+def export(rows: DataFrame, cases: int, languages: int) -> DataFrame:
+    """An export: the count that its cases and languages give, unique variants, answers in the language asked in, nothing unbound, replies in place."""
+    checks = [
+        row_count("configurations", rows, cases * (3 * languages - 2)),
+        unique("unique_variants", rows, ["variant_id"]),
+        where("answer_language", rows, F.col("answer_language") != F.col("query_language"), "variant_id"),
+        no_placeholders("unbound", rows, "variant_id", ["question", "answer"]),
+        replies_present("reply", rows, "variant_id"),
+    ]
+    return report(rows.sparkSession, checks)
+
+
+def clean_release(rows: DataFrame, views: dict[str, DataFrame], files: DataFrame, allowed: tuple[str, ...], accepted: str = "audit.status <=> 'accepted'", key: str = "id") -> DataFrame:
+    """A release that holds nothing but current fields and files, and views that are its complementary parts.
+
+    views: candidates, accepted and needs_review. files(path): what lies in the release, against image_path and code_path.
+    """
+    expected = {"accepted": rows.where(accepted), "needs_review": rows.where(f"not ({accepted})"), "candidates": rows}
+    named = rows.select(F.explode(F.array("image_path", "code_path")).alias("path")).distinct()
+    checks = [
+        unique("unique_ids", rows, [key]),
+        fields_allowed("current_fields", rows, allowed),
+        violations("missing_file", named.join(files, "path", "left_anti"), F.col("path"), F.lit(None)),
+        violations("unexpected_file", files.join(named, "path", "left_anti"), F.col("path"), F.lit(None)),
+        *(same_rows(f"view_{name}", expected[name].select(key), view.select(key), key) for name, view in views.items()),
+    ]
+    return report(rows.sparkSession, checks)
+
+
+def alignment(references: DataFrame, sources: DataFrame, rendered: DataFrame) -> DataFrame:
+    """References against the records they come from and the renderers that draw them.
+
+    references(id, case_id, base_id, source, row_index, query, upstream_question, upstream_answer, image_language),
+    sources(base_id, source, row_index, question, answer), rendered(base_id, language, data, labels).
+    """
+    s = sources.select("base_id", *(F.col(c).alias(f"__{c}") for c in ("source", "row_index", "question", "answer")))
+    rows = references.join(s, "base_id", "left")
+    drawn = rendered.select("base_id", F.col("language").alias("image_language")).distinct()
+    checks = [
+        unique("unique_ids", references, ["id"]),
+        violations("source_missing", rows.where("__source is null"), F.col("id"), F.col("base_id")),
+        *(where(f"{n}_changed", rows.where("__source is not null"), ~F.col(a).eqNullSafe(F.col(f"__{b}")), "id") for n, a, b in (("source", "source", "source"), ("row", "row_index", "row_index"), ("question", "upstream_question", "question"), ("answer", "upstream_answer", "answer"))),
+        violations("renderer_missing", references.join(drawn, ["base_id", "image_language"], "left_anti"), F.col("id"), F.col("image_language")),
+        constant("data_constant", rendered, ["base_id"], ["data"]),
+        no_placeholders("unbound", references, "id", ["query"]),
+    ]
+    return report(references.sparkSession, checks)
+
+
+def bindings(rows: DataFrame, pairs: dict[str, tuple[str, str]], key: str = "id") -> DataFrame:
+    """Recorded input hashes against those of the current inputs: {name: (recorded column, current column)}."""
+    return report(rows.sparkSession, [hashes_match(f"{name}_binding", rows, key, a, b) for name, (a, b) in pairs.items()])
+
+
+def subset(rows: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
+    """A packaged subset: its rows are rows of the whole, unchanged, each once."""
+    checks = [unique("unique_ids", chosen, [key]), violations("not_in_release", chosen.exceptAll(rows.select(*chosen.columns)), F.col(key), F.lit(None))]
+    return report(rows.sparkSession, checks)

@@ -35,6 +35,11 @@ def local_files(spark: SparkSession, path: str) -> DataFrame:
     return files
 
 
+def load_local(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The rows of each split below a folder."""
+    return {r["split"]: spark.read.parquet(*r["files"]) for r in local_files(spark, path).collect()}  # a row for each split
+
+
 def wanted_rows(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     """Some columns of the rows that wanted(file, row_index) names; the latest row wanted bounds the scan."""
     latest = wanted.groupBy("file").agg(F.max("row_index").alias("__latest"))
