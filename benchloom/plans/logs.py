@@ -81,20 +81,20 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
-@query("""with m as (select user_id, bool_or(event_type = 'click') as plain, bool_or(event_type = 'error') as unread, count(*) as n from events where event_id % 7 < 3 group by user_id)
+@query("""with m as (select user_id, bool_or(event_type = 'click' and value > 60) as plain, bool_or(event_type = 'error') as unread, count(*) as n from events group by user_id)
 select user_id as id, n as attempts, case when plain then null when unread then 'plain' when n < 11 then 'json' end as next_mode from m""")
 def next_answer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 7 < 3").select(F.col("user_id").alias("id"), F.when(F.col("event_type") == "click", "plain").alias("answer_mode"), "event_type")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.when((F.col("event_type") == "click") & (F.col("value") > 60), "plain").alias("answer_mode"), "event_type")
     return usage.answer_modes(rows, F.col("event_type") == "error")
 
 
-@query("""with old as (select event_id as id, event_type, value from events where event_id % 10 <> 0), new as (select event_id as id, event_type, case when event_id % 7 = 0 then value + 1 else value end as value from events)
-select case when o.id is null then 'run' when not (o.event_type is not distinct from n.event_type and o.value is not distinct from n.value) then 'rerun' when n.id % 3 = 0 then 'reuse' else 'run' end as action, count(*) as n from new n left join old o on n.id = o.id group by 1""")
+@query("""with old as (select event_id as id, event_type, value from events where event_type <> 'view'), new as (select event_id as id, event_type, case when value > 20 then value + 1 else value end as value from events)
+select case when o.id is null then 'run' when not (o.event_type is not distinct from n.event_type and o.value is not distinct from n.value) then 'rerun' when n.event_type = 'click' then 'reuse' else 'run' end as action, count(*) as n from new n left join old o on n.id = o.id group by 1""")
 def rerun_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "value")
-    new = e.withColumn("value", F.when(F.col("id") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))
-    results = e.where("id % 3 = 0").select("id", F.lit("completed").alias("status"))
-    return incremental.plan(e.where("id % 10 <> 0"), new, results, ("event_type", "value")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    new = e.withColumn("value", F.when(F.col("value") > 20, F.col("value") + 1).otherwise(F.col("value")))
+    results = e.where("event_type = 'click'").select("id", F.lit("completed").alias("status"))
+    return incremental.plan(e.where("event_type <> 'view'"), new, results, ("event_type", "value")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {NUMBERED}, f as (select user_id, min(no) as no from a where event_type in ('purchase', 'error') group by user_id)

@@ -161,10 +161,10 @@ def interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.interpolated(points, ["s_nationkey"], "x", "y", 4.5).withColumn("value", rounded("value"))
 
 
-@query("""with b as (select l_orderkey as image, l_linenumber as box, (l_linenumber * 10)::double as "left", (l_linenumber * 10 + l_quantity)::double as "right" from lineitem where l_orderkey < 2000)
+@query("""with b as (select l_orderkey as image, l_linenumber as box, (l_linenumber * 10)::double as "left", (l_linenumber * 10 + l_quantity)::double as "right" from lineitem)
 select distinct a.image::varchar as "key", a.box || '/' || o.box as detail from b a join b o on a.image = o.image and a.box < o.box and a."left" < o."right" and o."left" < a."right" """)
 def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, sf_dir, "lineitem")
     left = (F.col("l_linenumber") * 10).cast("double")
     boxes = li.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box"), left.alias("left"), F.lit(0.0).alias("top"), (left + F.col("l_quantity")).alias("right"), F.lit(10.0).alias("bottom"), F.lit(1000.0).alias("width"), F.lit(10.0).alias("height"))
     return audit.geometry(boxes).where("check = 'overlap'").select("key", "detail")

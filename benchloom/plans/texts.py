@@ -180,11 +180,11 @@ def ascii_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", udfs.ascii_digits(foreign).alias("text"), (F.col("text") == foreign).alias("had_none"))
 
 
-@query("select doc_id, text, true as restored from documents where lang = 'en'")
+@query("select doc_id, text, true as restored from documents")
 def numbers_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers masked over all paragraphs of a document and put back."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     masked = docs.withColumn("p", udfs.protect_numbers(F.split("text", "\n")))
     back = masked.withColumn("r", udfs.restore_numbers("p.paragraphs", "p.paragraphs", "p.tokens"))
     return back.select("doc_id", F.array_join("r.paragraphs", "\n").alias("text"), F.col("r.error").isNull().alias("restored"))
