@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row with the greatest order for each key, by aggregation: no sort, and a row for each key and task in the shuffle."""
+    """The row with the greatest order for each key, by aggregation: what is shuffled is a row for each key and task."""
     return _extreme(rows, keys, F.max_by(F.struct(*rows.columns), F.struct(*order)))
 
 
