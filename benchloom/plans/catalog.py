@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import logs, scores, tables, texts  # noqa: F401  they register their queries
+from . import logs, releases, scores, tables, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
