@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import drop, stored  # noqa: F401  the operators take them from here
 
 #: Rows in one Arrow batch sent to Python; texts can be long, so this is well under Spark's default.
 BATCH_ROWS = 1000
@@ -24,36 +22,6 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 NO_ID = 2**63 - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one if that is unset in local mode."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("benchloom.shared.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="benchloom-")
-        spark.conf.set("benchloom.shared.dir", base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: it cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/benchloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._benchloom_path = path
-    return out
-
-
-def drop(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes frames made by stored() that nothing reads any more, and lets Spark clear old shuffle files."""
-    jvm = spark.sparkContext._jvm
-    for frame in frames:
-        path = jvm.org.apache.hadoop.fs.Path(frame._benchloom_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
-
-
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): only these two, so that other columns can have any name; a missing text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -80,21 +48,47 @@ def batch_of(**columns: tuple[list | np.ndarray, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
 
 
-class WordHashes(dict):
-    """XXH64 of a word's bytes, remembered; emptied when it holds `limit` words."""
+#: Bytes hashed at once; longer texts are parted between words.
+BLOCK = 1 << 22
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_BASE = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
 
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends, in bytes."""
+    blank = _SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    if not len(blank):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    bounds = np.concatenate([[0][: not blank[0]], edges, [len(blank)][: not blank[-1]]]).astype(np.int64)
+    return bounds[::2], bounds[1::2]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a text: differences of one running polynomial over its bytes, brought to the same power."""
+    found = []
+    while len(raw) > BLOCK and (cut := max(raw.rfind(blank, 0, BLOCK) for blank in (b" ", b"\n", b"\t", b"\r"))) > 0:
+        found.append(_block_hashes(raw[:cut]))
+        raw = raw[cut:]
+    return np.concatenate([*found, _block_hashes(raw)])
+
+
+def _block_hashes(raw: bytes) -> np.ndarray:
+    n = len(raw)
+    if len(_powers[0]) <= n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(2 * n + 1, b, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    starts, ends = word_bounds(raw)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.add.accumulate((np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -105,15 +99,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k consecutive word hashes (none if there are fewer)."""
+    """A hash of every k consecutive word hashes (none if there are fewer), by joining grams of doubled length."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
+    base = 0x9E3779B97F4A7C15
+    power = lambda e: np.uint64(pow(base, e, 2**64))
     with np.errstate(over="ignore"):
-        h, base = np.zeros(n, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
-        for i in range(k):
-            h = h * base + words[i : i + n]
-        return mix(h)
+        out, done, part, size = None, 0, words, 1
+        while True:
+            if k & size:
+                out = part if out is None else out[: len(out) - size] * power(size) + part[done:]
+                done += size
+            if done == k:
+                return mix(out)
+            part = part[:-size] * power(size) + part[size:]
+            size *= 2
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -7,13 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, batch_of, column, gram_hashes
+from .common import arrow_map, batch_of, column, gram_hashes, word_bounds, word_hashes
 
 #: Words in a window whose repeats count.
 REPEAT = 8
 
-_words = WordHashes()
-
 # Characters that count as symbols, and frequent function words of the languages at hand.
 SYMBOLS = b"#*$%&|<>"
 FUNCTION_WORDS = frozenset(
@@ -28,6 +26,8 @@ FEATURES = (
     "bars", "commas", "points", "function_words", "distinct_words", "top_word", "duplicate_lines", "repeated_words", "words_a_line", "short_lines",
 )
 
+_FUNCTION_WORDS = np.unique(word_hashes(b" ".join(sorted(FUNCTION_WORDS))))
+
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 
@@ -49,26 +49,24 @@ def repeated_words(hashes: np.ndarray, window: int = REPEAT) -> int:
 def measure(text: str) -> tuple[list[int], list[float]]:
     """([n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words], FEATURES' values)."""
     raw = text.encode()
-    words = raw.split()
-    n, size = len(words), max(1, len(raw))
+    starts, ends = word_bounds(raw)
+    n, size = len(starts), max(1, len(raw))
     blanks = sum(map(raw.count, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")))
     chars = len(text) - blanks
     symbols = sum(raw.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS)))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     duplicates = len(lines) - len(set(lines))
-    repeats = repeated_words(_words.array(words)) if n > REPEAT else 0
+    repeats = repeated_words(word_hashes(raw)) if n > REPEAT else 0
     base = [n, chars, symbols, duplicates, repeats]
     if not n:
         return base, [0.0] * len(FEATURES)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
-    lower = raw.lower().split()
-    counts: dict[bytes, int] = {}
-    for w in lower:
-        counts[w] = counts.get(w, 0) + 1
+    lengths = ends - starts
+    distinct, counts = np.unique(word_hashes(raw.lower()), return_counts=True)
+    common = counts[np.isin(distinct, _FUNCTION_WORDS, assume_unique=True)].sum()
     without = lambda kind: (len(raw) - len(raw.translate(None, kind))) / size
     return base, [
         float(np.log1p(n)), chars / n, float(lengths.std()), float((lengths > 12).mean()), float((lengths <= 3).mean()), symbols / size, without(_UPPER), without(_DIGITS), without(_LETTERS), (len(raw) - len(text)) / size, raw.count(b"!") / n,
-        raw.count(b"|") / n, raw.count(b",") / n, raw.count(b".") / n, sum(counts[w] for w in counts.keys() & FUNCTION_WORDS) / n, float(np.log(len(counts) + 1) / np.log(n + 1)), max(counts.values()) / n, duplicates / len(lines), repeats / n, min(n / len(lines), 200.0), sum(len(x.split(None, 4)) < 4 for x in lines) / len(lines),
+        raw.count(b"|") / n, raw.count(b",") / n, raw.count(b".") / n, int(common) / n, float(np.log(len(counts) + 1) / np.log(n + 1)), int(counts.max()) / n, duplicates / len(lines), repeats / n, min(n / len(lines), 200.0), sum(len(x.split(None, 4)) < 4 for x in lines) / len(lines),
     ]
 
 

@@ -27,7 +27,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

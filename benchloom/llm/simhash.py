@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.clusters import connected_components
 from .common import LOWER, arrow_map, batch_of, column, documents, drop, stored
-from .components import connected_components
 
 BITS, SEGMENTS, SEED = 64, 4, 42
 
@@ -143,9 +143,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     Texts with the same lower-cased words are one class, whose smallest doc_id stands for it. Classes
     are linked if they meet in an entry of a table and their signatures agree on `similarity` of places
-    or more. In an entry each class is held against the entry's first class and the one before it, so
-    that candidates grow with the classes; entries of even bands are in the order of doc_id (an original
-    mostly comes before its copies), those of odd bands in an order of their own.
+    or more. In an entry each class is held against the entry's first class, so that candidates grow with
+    the classes and a hot entry makes no pairs; entries of even bands are in the order of doc_id (an
+    original mostly comes before its copies), those of odd bands in an order of their own.
     Blank and null texts are one class. A null doc_id takes its class's component.
     """
     spark = docs.sparkSession
@@ -156,15 +156,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     reps = stored(reps.select("rep", "fp", "bands", "signature").dropDuplicates(["rep"]), "reps")
     balls = reps.select("rep", F.lit(-1).alias("table"), F.explode(F.array(*map(F.lit, flips()))).alias("mask"), "fp").select("rep", "table", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
     probes = balls.unionByName(reps.select("rep", F.posexplode("bands").alias("table", "key")))
-    entry = Window.partitionBy("table", "key").orderBy(F.when(F.col("table") % 2 == 0, F.col("rep")).otherwise(F.xxhash64("rep", "table")), "rep")
-    met = probes.select("rep", F.first("rep").over(entry).alias("hub"), F.lag("rep").over(entry).alias("before"))
-    pairs = met.select("rep", F.explode(F.array_distinct(F.array("hub", "before"))).alias("other")).where("rep <> other")
-    pairs = stored(pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct(), "candidates")
+    # The first class of each entry that several share; both sides of the join are stored or scanned, so that Spark can split a hot entry.
+    order = F.struct(F.when(F.col("table") % 2 == 0, F.col("rep")).otherwise(F.xxhash64("rep", "table")).alias("order"), "rep")
+    hubs = stored(probes.groupBy("table", "key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "key", F.col("hub.rep").alias("hub")), "hubs")
+    pairs = probes.join(hubs, ["table", "key"]).where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    pairs = stored(pairs, "candidates")
     left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b"))
     held = stored(pairs.join(left, "a"), "held")
     links = stored(held.join(right, "b").where(agreement("signature_a", "signature_b") >= similarity).select("a", "b"), "verified")
-    drop(spark, pairs, held)
+    drop(spark, hubs, pairs, held)
     labels = connected_components(links)
     named = stored(classes.join(labels, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("label", "rep").alias("component_id")), "named")
     drop(spark, reps, links, labels)
@@ -174,9 +175,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 def keep_one(docs: DataFrame, **options: float) -> DataFrame:
     """docs without all but the row with the smallest doc_id of each near-duplicate component; columns as they were.
 
-    Of rows that repeat that doc_id one stays. Rows with a null doc_id stay only if they have no component.
+    Of rows that repeat that doc_id one stays. Rows with a null doc_id can't be told apart by it and all stay.
     """
-    found = near_duplicates(docs, **options).select(F.col("doc_id").alias("__id"), "component_id")
-    kept = found.where("__id = component_id").select("__id").distinct()
+    found = near_duplicates(docs, **options)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     own = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    return own.join(kept, "__id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    named = own.where("__id is not null").join(kept, "__id", "left_semi").dropDuplicates(["__id"])
+    return named.unionByName(own.where("__id is null")).select(*docs.columns)

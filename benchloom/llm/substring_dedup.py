@@ -21,21 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, arrow_map, batch_of, column, documents, drop, gram_hashes, mix, signed, stored
+from .common import NO_ID, arrow_map, batch_of, column, documents, drop, gram_hashes, mix, signed, stored, word_hashes
 
 #: Words in a window that must repeat, and in an anchor.
 WINDOW, ANCHOR = 20, 8
 
-_words = WordHashes()
+#: Bits for a gram's place: documents of up to 268 million words.
+_PLACE = np.uint64(2**28 - 1)
 
 
 def seeds(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor position, first window, windows) for each winnowed anchor of a word sequence."""
-    grams = gram_hashes(hashes, anchor)
-    span = window - anchor + 1
     if len(hashes) < window:
         return (np.empty(0, dtype=np.int64),) * 3
-    at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(hashes) - window + 1)
+    # The least of every window's grams: their hashes' upper bits, and below them the place, so that the first of equals wins.
+    grams, span = gram_hashes(hashes, anchor), window - anchor + 1
+    least, size = grams & ~_PLACE | np.arange(len(grams), dtype=np.uint64), 1
+    while 2 * size <= span:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < span:
+        least = np.minimum(least[: size - span], least[span - size :])
+    at = (least & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return at[first], first, np.diff(np.r_[first, len(at)])
 
@@ -54,7 +61,7 @@ def _seed_rows(with_places: bool):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs, anchors, extensions, starts, counts = [], [], [], [], []
         for doc, text in zip(column(batch, "doc"), column(batch, "text"), strict=True):
-            hashes = _words.array(text.split())
+            hashes = word_hashes(text)
             at, first, count = seeds(hashes)
             if len(at):
                 anchors.append(gram_hashes(hashes, ANCHOR)[at])
@@ -75,7 +82,7 @@ def _seed_rows(with_places: bool):
 def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     docs, starts, hashes = [], [], []
     for doc, text, places in zip(column(batch, "doc"), column(batch, "text"), column(batch, "places"), strict=True):
-        grams = gram_hashes(_words.array(text.split()), WINDOW)
+        grams = gram_hashes(word_hashes(text), WINDOW)
         at = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["count"]) for p in places]))
         docs.append(np.full(len(at), doc))
         starts.append(at)
@@ -83,7 +90,7 @@ def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch_of(doc=(np.concatenate(docs), pa.int64()), start=(np.concatenate(starts).astype(np.int32), pa.int32()), gram=(signed(np.concatenate(hashes)), pa.int64()))
 
 
-def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _cut(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     totals, removed, digests, kept_texts = [], [], [], []
     for text, places in zip(column(batch, "text"), column(batch, "places"), strict=True):
         words = text.split()
@@ -98,8 +105,10 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         totals.append(len(words))
         removed.append(int(len(words) - stay.sum()))
         digests.append(hashlib.sha256(kept).hexdigest())
-        kept_texts.append(kept.decode())
-    return batch_of(doc_id=(batch.column(batch.schema.get_field_index("doc_id")), pa.int64()), n_words=(totals, pa.int64()), n_removed=(removed, pa.int64()), kept_sha256=(digests, pa.string()), kept_text=(kept_texts, pa.string()))
+        if with_text:
+            kept_texts.append(kept.decode())
+    out = {"kept_text": (kept_texts, pa.string())} if with_text else {}
+    return batch_of(doc_id=(batch.column(batch.schema.get_field_index("doc_id")), pa.int64()), n_words=(totals, pa.int64()), n_removed=(removed, pa.int64()), kept_sha256=(digests, pa.string()), **out)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -125,16 +134,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text), one row for each row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]), one row for each row of docs.
 
     A word goes if a 20-word window that covers it also starts earlier (smaller doc_id, or the same
     document and an earlier start). Null text: no words. A null doc_id counts as the largest. Rows with
-    equal doc_id and text are one document, and each gets its result; rows that share a doc_id and differ in
-    text are an error of the input and raise. Empty table: no rows.
+    equal doc_id and text are one document, and each gets its result. Empty table: no rows.
     """
     base = documents(docs, id_col, text_col)
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("text").cast("binary").alias("text"))
     places = repeated_windows(base).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("places"))
     rows = base.join(places, "doc", "left").select("doc_id", "text", "places")
-    return arrow_map(rows, _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return arrow_map(rows, lambda batch: _cut(batch, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
