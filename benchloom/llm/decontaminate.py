@@ -15,11 +15,15 @@ import re
 from functools import reduce
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from .common import arrow_map, batch_of, column, documents
+from ..session import ship
+from .common import BATCH_ROWS, arrow_map, batch_of, column, documents
 
 #: Edited words allowed for each word of an item; items of fewer words are common phrases and never match.
 RATE, LEAST_WORDS, BLOCK_BYTES = 0.15, 8, 4_000_000
@@ -114,6 +118,12 @@ class Matcher:
         return found
 
 
+def sent_items(items: DataFrame) -> list[Broadcast]:
+    """The items in blocks, each sent to all executors."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    return [items.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in b.orderBy("item_id", "text").collect()]) for b in item_blocks(items)]
+
+
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """items(item_id, text) dealt by a hash of the text into blocks of about block_bytes or less."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -127,11 +137,9 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LE
     Items of fewer than `least` words, null or empty items and null texts match nothing. Rows of the same
     doc_id are reported each; two items of one item_id are reported as one. Either table empty: no rows.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     spark, rows, schema = docs.sparkSession, documents(docs, id_col, text_col), "doc_id long, item_id long, distance int, item_words int"
 
-    def block(frame: DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in frame.orderBy("item_id", "text").collect()])
+    def block(sent: Broadcast) -> DataFrame:
         made: list[Matcher] = []
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,11 +153,24 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LE
 
         return arrow_map(rows, kernel, schema)
 
-    blocks = [block(b) for b in item_blocks(items)]
+    blocks = [block(b) for b in sent_items(items)]
     return reduce(DataFrame.unionByName, blocks) if blocks else spark.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST_WORDS) -> DataFrame:
-    """docs without the rows in which an item is found; columns as they were. Rows with a null doc_id stay."""
-    found = leaks(docs, items, rate, least).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", F.col("doc_id").cast("long")).join(found, "__id", "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST_WORDS, text_col: str = "text") -> DataFrame:
+    """docs without the rows in which an item is found; columns as they were. Each row is judged where it lies, without a shuffle."""
+    ship(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def clean_of(sent: Broadcast):
+        made: list[Matcher] = []
+
+        @F.pandas_udf(BooleanType())
+        def is_clean(texts: pd.Series) -> pd.Series:
+            if not made:
+                made.append(Matcher(sent.value, rate, least))
+            return pd.Series([not made[0].find(t or "") for t in texts], dtype=bool)
+
+        return is_clean
+
+    return reduce(lambda rows, sent: rows.where(clean_of(sent)(F.col(text_col).cast("string"))), sent_items(items), docs)
