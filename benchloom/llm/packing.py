@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences: best-fit decreasing.
 
 Overlong documents are first cut into full windows; each of these is a sequence of its own. The rests are
-dealt by a hash of their document into groups of about GROUP rests and packed there, longest first, each
+dealt by a hash into groups of about GROUP rests and packed there, longest first, each
 into the open window with the least room that still holds it. A segment tree indexed by remaining
 capacity finds that window. A group's size doesn't depend on the number of documents, so neither does a
 task's memory; the loss from packing groups apart is at most a few windows for each.
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         return frame.drop(columns="bin").assign(sequence_id=[2 * ((number << 32) + p) for p in place], offset=offset)
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    rests = made.where(F.col("length") < length).withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)).cast(IntegerType()))
+    rests = made.where(F.col("length") < length).withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast(IntegerType()))
     fitted = rests.groupBy("bin").applyInPandas(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     # A full window is a sequence by itself, with an odd number; its rows are numbered where they lie.
     full = made.where(F.col("length") == length).select(*columns, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -30,7 +30,7 @@ _NUMBERS, _IP = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9
 _GROUPS, _CARD = re.compile(r"[0-9\x20-]+"), re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELT = re.compile(r"[\x20]?[\[(]at[\])][\x20]?([A-Za-z0-9-]+(?:(?:\.|[\x20]?[\[(]dot[\])][\x20]?)[A-Za-z0-9-]+)+)", re.I)
-_USER_URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
+_USER_URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/(?:[^\s\"'<>]*[^\s\"'<>.,;:!?)])?)?")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\x20(?:no|nr|number|num)\b\.?)?\x20?[:#=]?\x20?([A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,17})(?![A-Za-z0-9])")

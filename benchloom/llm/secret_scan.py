@@ -1,7 +1,7 @@
 """Secrets by rules and by character Markov models, in DataFrame functions only.
 
 Two bigram models over the characters of a token, one of random strings and one of ordinary identifiers, are counted from
-labelled samples by aggregation. A long token whose log-likelihood ratio is MARGIN or more is a secret. The models
+labelled samples by aggregation. A long token whose log-likelihood ratio is MARGIN or more for each of its pairs of characters is a secret. The models
 are one array of (characters + 1) squared numbers, whatever the corpus; a token's ratio is a fold over it.
 
 Places of matches follow from what lies between them: a text split by the pattern, and the matches themselves.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .docstats import sample
 
 # The base patterns. `[0-9a-f]{24,}` and `AKIA[A-Z0-9]{16,}` find what the open-ended ones do, less the short ones.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,8 +31,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_TOKEN = 16
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 
-#: Natural-log odds asked for; documents and made-up strings in the samples; weight of the even prior of each bigram.
-MARGIN, SAMPLE_DOCUMENTS, SAMPLE_STRINGS, PRIOR = 12.0, 4000, 3000, 0.5
+#: Natural-log odds asked for in each pair of characters; documents and made-up strings in the samples; weight of the even prior of each bigram.
+MARGIN, SAMPLE_DOCUMENTS, SAMPLE_STRINGS, PRIOR = 1.6, 4000, 3000, 0.5
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -80,11 +81,13 @@ def samples(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) ->
     spark = docs.sparkSession
     rows = documents(docs)
     values = rows.select(F.explode(F.concat(places(F.col("text"), ACCESS), places(F.col("text"), HEX))["value"]).alias("token"))
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = sample(good, most, 3)
     tokens = rows.join(F.broadcast(good), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("token"))
     plain = tokens.where(~F.col("token").rlike(HEX) & ~F.col("token").rlike(ACCESS))
-    joined = plain.where("length(token) > 4").select(F.explode(F.array(F.concat(F.lit("get"), F.initcap("token")), F.concat("token", F.lit("_id"))))).toDF("token")
-    named = plain.unionByName(joined).unionByName(plain.select(F.upper("token").alias("token")))
+    word = F.col("token")
+    forms = [F.upper(word), F.concat(F.lit("get"), F.initcap(word)), F.concat(word, F.initcap(word)), F.concat(word, F.lit("_"), word), F.concat(word, F.lit("-"), word), F.concat(F.upper(word), F.lit("_"), F.upper(word)), F.concat(word, F.lit("2"))]
+    named = plain.unionByName(plain.where("length(token) > 4").select(F.explode(F.array(*forms)).alias("token")))
     return values.unionByName(made_up(spark)).withColumn("random", F.lit(True)).unionByName(named.withColumn("random", F.lit(False)))
 
 
@@ -124,7 +127,7 @@ def find_secrets(docs: DataFrame, tokens: DataFrame, margin: float = MARGIN, id_
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
     free = F.filter("tokens", lambda x: x["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     table = ratios(tokens)
-    rows = rows.withColumn("random", of_kind(F.filter(free, lambda x: ratio(x["value"], table) >= margin), "random"))
+    rows = rows.withColumn("random", of_kind(F.filter(free, lambda x: ratio(x["value"], table) >= margin * (F.char_length(x["value"]) - 1)), "random"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     found = F.concat("base", "random")
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(found).alias("spans"), F.array_sort(found).alias("found"))
