@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..session import ship
-from .common import BATCH_ROWS, arrow_map, batch_of, column, documents
+from .common import arrow_map, batch_of, column, documents, prepare
 
 #: Edited words allowed for each word of an item; items of fewer words are common phrases and never match.
-RATE, LEAST_WORDS, BLOCK_BYTES = 0.15, 8, 4_000_000
+RATE, LEAST_WORDS, BLOCK_BYTES = 0.2, 8, 4_000_000
 
 _BREAKS = re.compile(r"[\W_]+")
 
@@ -159,8 +158,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LE
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST_WORDS, text_col: str = "text") -> DataFrame:
     """docs without the rows in which an item is found; columns as they were. Each row is judged where it lies, without a shuffle."""
-    ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    prepare(docs.sparkSession)
 
     def clean_of(sent: Broadcast):
         made: list[Matcher] = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import arrow_map, batch_of, column, documents, drop, stored
+from .common import arrow_map, batch_of, column, documents, stored
 
 #: Tokens in a sequence, id that ends a document, rests in a group.
 LENGTH, END_ID, GROUP = 2048, 1, 20_000

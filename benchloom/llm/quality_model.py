@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..session import ship
-from .common import BATCH_ROWS, arrow_map, batch_of, column, documents
+from .common import arrow_map, batch_of, column, documents, prepare
 from .docstats import measure, sample, statistics
 
 FIT_ROWS, SEED = 20_000, 5
@@ -125,9 +124,8 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't rejected, columns as they were: each row is judged where it lies, without a shuffle."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     @F.pandas_udf(BooleanType())
     def is_good(texts: pd.Series) -> pd.Series:
