@@ -95,7 +95,7 @@ _ONE = f"with {HITS}, one as (select source, lang, arg_min(hit, doc_id) as hit f
 
 
 @query(_ONE + """, g as (select source, max(hit) filter (where lang = 'en') as base, avg((hit = 1)::int) filter (where lang <> 'en') as r, avg((hit = 0)::int) filter (where lang <> 'en') as w from one group by source)
-select source, round(100.0 * base, 6) as baseline_acc, round(100.0 * r, 6) as cross_acc, round(100.0 * (r - base), 6) as delta_pp, round(case when base = 1 then 100.0 * w else 0 end, 6) as correct_to_wrong_pct, round(case when base = 0 then 100.0 * r else 0 end, 6) as wrong_to_correct_pct from g""")
+select source, round(100.0 * base, 6)::double as baseline_acc, round(100.0 * r, 6) as cross_acc, round(100.0 * (r - base), 6) as delta_pp, round(case when base = 1 then 100.0 * w else 0 end, 6) as correct_to_wrong_pct, round(case when base = 0 then 100.0 * r else 0 end, 6) as wrong_to_correct_pct from g""")
 def paired_flip_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = hits(spark, sf_dir).groupBy(*CELL).agg(F.min_by("hit", "id").alias("hit"))
     found = paired.seed_metrics(one, ["source"], "lang", "en")

@@ -61,7 +61,7 @@ def corrections_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("case_id"), F.lit("supplier").alias("source"), F.lit("f").alias("file"), F.col("s_suppkey").cast("long").alias("row_index"), F.col("s_name").alias("answer"))
     first = s.where("case_id between 1 and 3")
     fixes = first.select("case_id", F.concat(F.lit("c"), F.col("case_id")).alias("id"), "source", "file", F.when(F.col("case_id") == 3, -1).otherwise(F.col("row_index")).alias("row_index"), F.col("answer").alias("original_answer"), F.lit("corrected").alias("corrected_answer"))
-    return scoring.with_corrections(s, fixes).select(F.col("case_id").cast("int").alias("case_id"), "answer_effective", "correction_id", "correction_error")
+    return scoring.with_corrections(s, fixes).select("case_id", "answer_effective", "correction_id", "correction_error")
 
 
 _CHECKS = """with v as (
