@@ -37,6 +37,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         drop(spark, labels, seen, own, hooked)
         labels = new
         if not changed:
+            drop(spark, both)
             return labels
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
 
