@@ -161,6 +161,16 @@ def markdown_blocks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?m)(?:^[ \t]*\|[^\n]*(?:\n|$))+"), F.lit(0))
 
 
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())]))
+_BLOCK = re.compile(r"(?m)(?:^[ \t]*\|[^\n]*(?:\n|$))+")
+
+
+@F.pandas_udf(SPANS)
+def markdown_spans(texts: pd.Series) -> pd.Series:
+    """Pipe-table blocks with their places in the text, in code points."""
+    return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "text": m[0]} for m in _BLOCK.finditer(t or "")])
+
+
 def label_keys(cells: DataFrame, text: str, order: str) -> DataFrame:
     """cells with label_key: one key for each distinct text that isn't a number, numbered by first occurrence."""
     numeric = F.trim(F.col(text)).rlike(r"^[\s$€£¥+−\-0-9.,%eE()]*$")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from benchloom.functions import parsing
 
@@ -30,3 +31,13 @@ def test_table_spec_keeps_numbers_verbatim():
     spec = parsing.table_spec([[{"text": "Year"}, {"text": "1e3"}], [{"text": "03.00"}, {"text": "Year"}]])
     assert [[c["label_key"] for c in row] for row in spec] == [["label_000", None], [None, "label_000"]]
     assert spec[1][0]["text"] == "03.00"
+
+
+def test_markdown_blocks_and_spans(spark):
+    from benchloom.session import ship
+
+    ship(spark)
+    text = "é\n| a | b |\n|---|:-:|\n| 1 | 2 |\nx\n| z |"
+    r = spark.createDataFrame([(text,)], "t string").select(parsing.markdown_spans("t").alias("s"), parsing.markdown_blocks(F.col("t")).alias("b"), parsing.markdown_rows(F.col("t")).alias("rows")).first()
+    assert [text[x.start : x.end] for x in r.s] == r.b and len(r.b) == 2
+    assert r.rows == [["a", "b"], ["1", "2"], ["z"]]
