@@ -18,7 +18,9 @@ from .common import NO_ID, drop, stored
 #: estimates within so many sites, or so large a share, of the threshold are counted exactly (over 6 standard errors).
 SITES, MAX_SHARE, REGISTERS, NEAR, NEAR_SHARE = 10, 0.5, 12, 1.0, 0.1
 
+_BLANKS = " \t\n\x0b\x0c\r"
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_FILLED = r"(?:\A|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
 
 
 def words(text: Column) -> Column:
@@ -46,20 +48,21 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, max_share: float = M
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.coalesce(F.xxhash64(site_col, F.lit(1)), F.lit(0)).alias("site"), F.split(text, "\n").alias("lines"))
-    lines = base.select("doc", "version", "site", F.posexplode("lines").alias("place", "line")).withColumn("line", F.regexp_replace("line", _EDGES, "")).where("line <> ''")
-    keys = (F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
-    common = stored(spread_lines(lines.select(*keys, "site"), sites), "lines")
-    hits = lines.select("doc", "version", "place", words(F.col("line")).alias("n"), *keys).join(common, ["h1", "h2"], "left_semi")
+    lines = base.select("doc", "version", "site", F.posexplode("lines").alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
+    # Texts are parted once; what follows reads places and hashes.
+    lines = stored(lines.select("doc", "version", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words(F.col("line")).alias("n")), "parted")
+    common = stored(spread_lines(lines.select("h1", "h2", "site"), sites), "lines")
+    hits = lines.select("doc", "version", "place", "n", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
     hits = hits.groupBy("doc", "version").agg(F.collect_set(F.struct("place", "n")).alias("hits"))
     hits = stored(hits.select("doc", "version", F.transform("hits", lambda h: h["place"]).alias("places"), F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["n"]).alias("words")), "hits")
-    drop(spark, common)
+    drop(spark, common, lines)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     own = docs.select(*rest, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64(text).alias("__version"))
     renamed = hits.select(*(F.col(c).alias(f"__{c}") for c in hits.columns))
     joined = own.join(renamed, ["__doc", "__version"], "left")
     cut = F.col("__places").isNotNull() & (F.col("__words") <= F.lit(max_share) * words(text))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
-    filled = F.size(F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, _EDGES, "") != "")).cast("long")
+    filled = F.regexp_count(text, F.lit(_FILLED)).cast("long")
     columns = [F.when(cut, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in rest]
     return joined.select(*columns, filled.alias("n_lines"), F.when(cut, F.size("__places")).otherwise(0).cast("long").alias("n_removed"))
 
