@@ -22,3 +22,14 @@ def test_stages(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in packed.collect()} == set(kept["decontamination"])
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "one two", "en", None, 7), (None, "one two", "en", None, 7), (4, "word " * 20_000, "en", "s", 1), (4, "word " * 20_000, "en", "s", 1), (5, " \n\t", "de", "t", 3)]
+    odd = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, hub long, key string, signature int")
+    for docs in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert out.count() >= 0 and (name == "packing" or out.columns == docs.columns)
+    kept = corpus_pipeline.STAGES[2][1](spark, odd, sf_dir)
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 4]
