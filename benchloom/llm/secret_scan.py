@@ -32,7 +32,7 @@ LEAST_TOKEN = 16
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 
 #: Natural-log odds asked for in each pair of characters; documents and made-up strings in the samples; weight of the even prior of each bigram.
-MARGIN, SAMPLE_DOCUMENTS, SAMPLE_STRINGS, PRIOR = 1.6, 4000, 3000, 0.5
+MARGIN, SAMPLE_DOCUMENTS, SAMPLE_STRINGS, PRIOR = 1.6, 1000, 3000, 0.5
 
 
 def places(text: Column, pattern: str) -> Column:
