@@ -7,8 +7,8 @@ quadratic bucket and needs no cap. What meets in an entry is fetched and its who
 
 `near_duplicates` looks for texts whose five-word shingles have a similarity of 0.8 or more. Their
 fingerprints differ in 4 to 11 bits, too many for small balls (README), so that to the fingerprint's table
-it adds index tables over the segments (bands) of a MinHash signature of the same shingles; the whole
-signatures are then compared.
+it adds index tables over the segments (bands) of a MinHash signature of the same shingles. The whole
+signatures only sort out what is far from similar; the rest is verified on whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ BITS, SEGMENTS, SEED = 64, 4, 42
 
 #: Near duplicates: words a shingle, least similarity, bands of a signature and values in a band. A pair at
 #: 0.8 meets in a band with probability 1 - (1 - 0.8^6)^32 = 0.9999; the standard error of an
-#: estimate at 0.8 is sqrt(0.8 * 0.2 / 192) = 0.029.
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
+#: estimate at 0.8 is sqrt(0.8 * 0.2 / 192) = 0.029. Candidates are verified exactly unless their estimate is
+#: more than SLACK (5 standard errors) under the similarity.
+SHINGLE, SIMILARITY, BANDS, ROWS, SLACK = 5, 0.8, 32, 6, 0.15
 
 
 def votes(hashes: np.ndarray) -> int:
@@ -100,6 +101,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_key(text: bytes) -> np.int64:
+    """A hash of the lower-cased words."""
+    return np.uint64(xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER).split()), SEED)).view(np.int64)
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, fp, bands array<long>, signature binary) for every row.
 
@@ -112,7 +118,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         odd, add = rng.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, size, dtype=np.uint64)
         keys, fps, bands, signatures = [], [], [], []
         for text in column(batch, "text"):
-            keys.append(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER).split()), SEED)).view(np.int64))
+            keys.append(text_key(text))
             hashes = shingle_hashes(text, shingle)
             fps.append(votes(hashes))
             least = np.full(size, 2**64 - 1, dtype=np.uint64)
@@ -138,12 +144,35 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(rep, shingles binary): the sorted distinct hashes of all shingles of the text of wanted(rep, text_key); one row for each rep."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(i, t) for i, k, t in zip(column(batch, "rep"), column(batch, "text_key"), column(batch, "text"), strict=True) if text_key(t) == k]
+        sets = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for _, t in rows]
+        return batch_of(rep=([i for i, _ in rows], pa.int64()), shingles=(sets, pa.binary()))
+
+    rows = documents(docs).join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text_key", F.col("text").cast("binary").alias("text"))
+    return arrow_map(rows, kernel, "rep long, shingles binary").dropDuplicates(["rep"])
+
+
+@F.pandas_udf(DoubleType())
+def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The similarity of two sets that are given as sorted distinct hashes; of two empty sets 1."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+    return pd.Series(out, dtype="float64")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, component_id): exact and near copies share the smallest doc_id they reach.
 
     Texts with the same lower-cased words are one class, whose smallest doc_id stands for it. Classes
-    are linked if they meet in an entry of a table and their signatures agree on `similarity` of places
-    or more. In an entry each class is held against the entry's first class, so that candidates grow with
+    are linked if they meet in an entry of a table and the sets of their shingles have a similarity (Jaccard) of
+    `similarity` or more. In an entry each class is held against the entry's first class, so that candidates grow with
     the classes and a hot entry makes no pairs; entries of even bands are in the order of doc_id (an
     original mostly comes before its copies), those of odd bands in an order of their own.
     Blank and null texts are one class. A null doc_id takes its class's component.
@@ -153,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     known = sketched.where("doc_id is not null")
     classes = stored(known.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("text_key").alias("class_key"), "rep"), (F.col("text_key") == F.col("class_key")) & (F.col("doc_id") == F.col("rep")))
-    reps = stored(reps.select("rep", "fp", "bands", "signature").dropDuplicates(["rep"]), "reps")
+    reps = stored(reps.select("rep", "text_key", "fp", "bands", "signature").dropDuplicates(["rep"]), "reps")
     balls = reps.select("rep", F.lit(-1).alias("table"), F.explode(F.array(*map(F.lit, flips()))).alias("mask"), "fp").select("rep", "table", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
     probes = balls.unionByName(reps.select("rep", F.posexplode("bands").alias("table", "key")))
     # The first class of each entry that several share; both sides of the join are stored or scanned, so that Spark can split a hot entry.
@@ -164,8 +193,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b"))
     held = stored(pairs.join(left, "a"), "held")
-    links = stored(held.join(right, "b").where(agreement("signature_a", "signature_b") >= similarity).select("a", "b"), "verified")
+    near = stored(held.join(right, "b").where(agreement("signature_a", "signature_b") >= similarity - SLACK).select("a", "b"), "near")
     drop(spark, hubs, pairs, held)
+    ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
+    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(ends, "rep"), shingle), "sets")
+    held = stored(near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("shingles_a")), "a"), "held")
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("shingles_b"))
+    links = stored(held.join(right, "b").where(jaccard("shingles_a", "shingles_b") >= similarity).select("a", "b"), "verified")
+    drop(spark, near, sets, held)
     labels = connected_components(links)
     named = stored(classes.join(labels, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("label", "rep").alias("component_id")), "named")
     drop(spark, reps, links, labels)

@@ -107,6 +107,17 @@ def test_near_duplicates(spark, sf_dir):
     assert all(got[d] == d or max(similarity(d, o) for o in got if o != d and got[o] == got[d]) >= 0.65 for d in got)
 
 
+def test_near_duplicates_by_true_similarity(spark):
+    # 4 of 200 words far from each other: 176 of 216 shingles, 0.815; 5 words: 171 of 221, 0.774. Estimates fall on both sides of 0.8.
+    rows = []
+    for k in range(80):
+        words = [f"k{k}w{i}" for i in range(200)]
+        changed = [f"new{i}" if i % 40 == 20 and i // 40 < 4 + k % 2 else w for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[2 * k + 1] == got[2 * k]) == (k % 2 == 0) for k in range(80))
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = spark.createDataFrame([(5, long), (3, long + " more"), (9, long.upper()), (7, "other text"), (1, None), (2, "")], "doc_id long, text string")
