@@ -4,6 +4,7 @@ A HyperLogLog sketch of the sites is kept for each line hash and merged by aggre
 shuffle and after it. Lines whose estimate is near the threshold get an exact distinct count. A line that
 stands on SITES sites or more goes, unless such lines make up over MAX_SHARE of the document's words: such a
 document is a copy of a whole, not a page with boilerplate, and is left to document-level dedup.
+`remove_spread` exempts no document: there a line must also stand in SITES classes of copies or near copies.
 Everything is built of DataFrame functions.
 """
 
@@ -38,20 +39,26 @@ def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return guessed.where(F.col("guess") >= sites + near).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def remove_boilerplate(docs: DataFrame, sites: int = SITES, max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, sites: int = SITES, max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", class_col: str | None = None) -> DataFrame:
     """docs with text_col rewritten, and long columns n_lines and n_removed (lines with a word) added.
 
-    Lines are parted by \\n and compared without white space at their ends. A null site is one site of its own. A
-    null text stays null, with no lines. Rows that repeat doc_id and text get the same result. Columns of docs
-    that are called n_lines or n_removed are replaced. Empty table: no rows.
+    Lines are parted by \\n and compared without white space at their ends. A null site is one site of its own. With
+    class_col, a line must stand in as many distinct values of it as on sites. A null text stays null, with no
+    lines. Rows that repeat doc_id and text get the same result. Columns of docs that are called n_lines or n_removed are replaced. Empty table: no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.coalesce(F.xxhash64(site_col, F.lit(1)), F.lit(0)).alias("site"), F.split(text, "\n").alias("lines"))
-    lines = base.select("doc", "version", "site", F.posexplode("lines").alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
+    kind, kinds = ([F.xxhash64(class_col).alias("class")], ["class"]) if class_col else ([], [])
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.coalesce(F.xxhash64(site_col, F.lit(1)), F.lit(0)).alias("site"), F.split(text, "\n").alias("lines"), *kind)
+    lines = base.select("doc", "version", "site", *kinds, F.posexplode("lines").alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
     # Texts are parted once; what follows reads places and hashes.
-    lines = stored(lines.select("doc", "version", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words(F.col("line")).alias("n")), "parted")
+    lines = stored(lines.select("doc", "version", "site", *kinds, "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words(F.col("line")).alias("n")), "parted")
     common = stored(spread_lines(lines.select("h1", "h2", "site"), sites), "lines")
+    if class_col:
+        on_sites = common
+        held = lines.join(on_sites, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("class").alias("site"))
+        common = stored(spread_lines(held, sites), "lines")
+        drop(spark, on_sites)
     hits = lines.select("doc", "version", "place", "n", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
     hits = hits.groupBy("doc", "version").agg(F.collect_set(F.struct("place", "n")).alias("hits"))
     hits = stored(hits.select("doc", "version", F.transform("hits", lambda h: h["place"]).alias("places"), F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["n"]).alias("words")), "hits")
@@ -67,6 +74,20 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, max_share: float = M
     return joined.select(*columns, filled.alias("n_lines"), F.when(cut, F.size("__places")).otherwise(0).cast("long").alias("n_removed"))
 
 
+def remove_spread(docs: DataFrame, classes: DataFrame, sites: int = SITES) -> DataFrame:
+    """docs as of remove_boilerplate, but every line that reaches the threshold goes, whatever its share of the document.
+
+    To reach it a line must stand on `sites` distinct sites and in as many distinct classes of copies or near copies, so that
+    copies of a whole can't make their own lines spread. classes has (doc_id, component_id); rows of docs with a null or
+    unknown doc_id are classed by text.
+    """
+    known = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__class"))
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).join(known, "__id", "left")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = own.select(*docs.columns, F.coalesce(F.concat(F.lit("c"), "__class"), F.concat(F.lit("t"), text)).alias("__class"))
+    return remove_boilerplate(stored(own, "classed"), sites, 1.0, class_col="__class").drop("__class")
+
+
 #: remove_boilerplate over documents, as DuckDB SQL.
 SQL = rf"""
 with lines as (

@@ -33,3 +33,13 @@ def test_stages_on_odd_rows(spark, sf_dir):
             assert out.count() >= 0 and (name == "packing" or out.columns == docs.columns)
     kept = corpus_pipeline.STAGES[2][1](spark, odd, sf_dir)
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 4]
+
+
+def test_lines_of_documents_that_are_mostly_boilerplate(spark, sf_dir):
+    licence = "All rights reserved under the licence of this network of sites"
+    body = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(20))
+    rows = [(k, f"page {k} own\n{licence}", f"site{k}") for k in range(12)]
+    rows += [(100 + k, f"{body} last{k}\n{licence}", f"site{k}") for k in range(12)]  # near copies on 12 sites
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf_dir).collect()}
+    assert got == {d: t.removesuffix("\n" + licence) for d, t, _ in rows}
