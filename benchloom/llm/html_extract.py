@@ -2,9 +2,9 @@
 
 A page is parted into blocks of text. Over all blocks with the same root-to-leaf tag path, the length of the text, its
 punctuation and the text inside links are summed; text and punctuation for each block are two ratios of the path. Both
-are smoothed over the page's order, fused, and paths over a threshold hold the content. The blocks kept are those of
-content paths and of other paths in the same container (headings and short paragraphs of the article). Parts that say what
-they are by tag or name (menus, headers, footers, sidebars, notices, adverts, forms, comments) never are content.
+are smoothed over the page's order, fused, and paths over a threshold hold the content; outside an <article> or <main> the
+threshold is higher if the page has one. The blocks kept are those of all content paths, and the headings, paragraphs, lists and tables
+that stand beside them in the same box. Parts that say what they are by tag or name (menus, headers, footers, sidebars, notices, adverts, forms, comments) never are content.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, batch_of, column
 
-#: Weights of a block's two neighbours in smoothing; share of the mean fused ratio that content paths reach; share of link text over which a path is a menu.
-SMOOTH, THRESHOLD, LINKS = 0.25, 0.5, 0.6
+#: Weights of a block's two neighbours in smoothing; share of the mean fused ratio that content paths reach; share of link text over which a path is a menu; factor of the threshold outside an article or main part.
+SMOOTH, THRESHOLD, LINKS, OUTSIDE = 0.25, 0.5, 0.6, 2.0
 
 # Elements that hold no main text, end tags that are implied, inline elements, names of parts that are not content.
 SKIPPED = frozenset("nav header footer aside form script style noscript template svg iframe object select button textarea head title menu dialog canvas audio video map".split())
@@ -36,9 +36,14 @@ NOT_CONTENT = frozenset(
     "login signup register search toolbar pagination pager copyright disclaimer widget widgets skip sitemap".split()
 )
 
+# Words that say nothing about a part beside one of NOT_CONTENT, as in site-footer; elements of running text inside a box.
+NEUTRAL = frozenset("site page main global primary secondary top bottom left right bar box area list block section wrapper wrap container inner links link items item post entry article content".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption details summary address center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none")
 _PARTS = re.compile(r"[^a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡。，、；：！？]")
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
@@ -51,10 +56,19 @@ class Block:
         self.path, self.skip, self.parts, self.links = path, skip, [], 0
 
 
-def names_of(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
-    return {p for m in _NAMES.finditer(attributes) for p in _PARTS.split((m[1] or m[2] or m[3] or "").lower()) if p}
+def names_of(attributes: str) -> tuple[set[str], bool]:
+    """The letters of each word in class, id and role; whether the element is hidden or named, by a whole token, as no content."""
+    names, gone = set(), False
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id", "role"):
+            for token in value.split():
+                parts = {p for p in _PARTS.split(token) if p}
+                names |= parts
+                gone = gone or (not NOT_CONTENT.isdisjoint(parts) and parts <= NOT_CONTENT | NEUTRAL)
+        elif key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
+            gone = True
+    return names, gone
 
 
 def blocks(page: str) -> list[Block]:
@@ -121,8 +135,8 @@ def blocks(page: str) -> list[Block]:
             at = closed.end() if closed else end
             continue
         attributes = m[3] or ""
-        names = names_of(attributes)
-        skip = (bool(stack) and stack[-1][1]) or tag in SKIPPED or (tag not in ("html", "body", "article", "main") and (not NOT_CONTENT.isdisjoint(names) or bool(attributes and _HIDDEN.search(attributes))))
+        names, gone = names_of(attributes)
+        skip = (bool(stack) and stack[-1][1]) or tag in SKIPPED or (tag not in ("html", "body", "article", "main") and gone)
         if tag not in INLINE or skip != (bool(stack) and stack[-1][1]):
             current = None
         if not attributes.rstrip().endswith("/") or tag not in INLINE:
@@ -137,11 +151,6 @@ def extract(page: str) -> str:
             found.append((b.path, t, b.links))
     if not found:
         return ""
-    for scope in ("article", "main"):
-        inside = [f for f in found if any(s.split(".")[0] == scope for s in f[0])]
-        if inside:
-            found = inside
-            break
     paths = {p: k for k, p in enumerate(dict.fromkeys(f[0] for f in found))}
     of = np.array([paths[f[0]] for f in found])
     count = np.bincount(of)
@@ -155,21 +164,17 @@ def extract(page: str) -> str:
         smooth = SMOOTH * ordered[:-2] + (1 - 2 * SMOOTH) * by_block + SMOOTH * ordered[2:]
         ratios.append(smooth / max(smooth.mean(), 1e-9))
     fused = np.bincount(of, np.sqrt(ratios[0] * (ratios[1] + 0.1))) / count
-    content = (fused >= THRESHOLD * np.average(fused, weights=length)) & (linked <= LINKS)
+    names = [[s.split(".")[0] for s in p] for p in paths]
+    hinted = np.array(["article" in n or "main" in n for n in names])
+    least = THRESHOLD * np.average(fused, weights=length) * np.where(hinted | (not hinted.any()), 1, OUTSIDE)
+    content = (fused >= least) & (linked <= LINKS)
     if not content.any():
         return ""
-    names = list(paths)
-    # The container is where most of the content's text is, or an article or main part above it.
-    weight: dict[tuple[str, ...], float] = {}
-    for k in np.flatnonzero(content):
-        holder = names[k][:-1]
-        for n, step in enumerate(names[k]):
-            if step.split(".")[0] in ("article", "main"):
-                holder = names[k][: n + 1]
-                break
-        weight[holder] = weight.get(holder, 0) + length[k]
-    container = max(weight, key=weight.get)
-    keep = [names[k][: len(container)] == container and linked[k] <= LINKS for k in range(len(names))]
+    # A path's box ends with its last element that isn't running text; headings are also taken from the boxes around it.
+    boxes = [p[: max((i + 1 for i, t in enumerate(n) if t not in TEXTUAL), default=0)] for p, n in zip(paths, names, strict=True)]
+    held = {boxes[k] for k in np.flatnonzero(content)}
+    around = {b[:i] for b in held for i in range(1, len(b)) if b[i - 1].split(".")[0] not in ("html", "body")}
+    keep = [bool(content[k]) or (linked[k] <= LINKS and (b in held or (b in around and not HEADINGS.isdisjoint(names[k])))) for k, b in enumerate(boxes)]
     return "\n".join(t for p, t, _ in found if keep[paths[p]])
 
 

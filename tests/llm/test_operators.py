@@ -229,6 +229,22 @@ def test_html():
     assert html_extract.extract(plain).count("\n") == 4 and "One" not in html_extract.extract(plain)
 
 
+def test_html_paths_choose_blocks():
+    text = "A sentence, which is long enough, says something; it goes on, and ends here."
+    intro = f"<body><div class=intro><p>{text}</p></div><div class=body><p>{text} {text}</p><p>{text}</p></div></body>"
+    assert html_extract.extract(intro).count("\n") == 2
+    quote = f"<div class=post><p>{text}</p><blockquote><p>{text} {text} {text}</p></blockquote><p>{text}</p></div>"
+    assert html_extract.extract(quote).count("\n") == 2
+    # In an article a box of bare words is no content; outside it a long text is.
+    page = f"<article><h1>Title</h1><div class=text><p>{text}</p><p>{text}</p><p>Short</p></div><div class=tags>one two</div></article>"
+    assert html_extract.extract(page) == f"Title\n{text}\n{text}\nShort"
+    assert html_extract.extract(f"<article><p>{text}</p></article><div class=more><p>{' '.join([text] * 6)}</p></div>").count("\n") == 1
+    for name in ("class='with-sidebar'", "class='side-effects'", "class='overflow-hidden'", "data-hidden=1"):
+        assert html_extract.extract(f"<div {name}><p>{text}</p></div>") == text
+    for name in ("class='x site-footer'", "class=sidebar", "hidden", "hidden=''", "aria-hidden=true", "style='color:red;display: none'"):
+        assert html_extract.extract(f"<div {name}><p>{text}</p></div><div><p>{text}</p></div>") == text
+
+
 def test_html_pages(spark, sf_dir):
     rows = {r.page_id: r.html for r in queries.table(spark, sf_dir, "pages").collect()}
     import html
