@@ -1,14 +1,20 @@
 """Removal of repeated passages: seed and extend.
 
 Seeds are winnowed anchors: of the 8-word grams in every 20-word window the one with the least hash, so
-that any two equal windows have the same anchor. Seeds found more than once are joined by hash. Each is
-extended both ways over all windows that it anchors; equal extensions are one group, whose first
-occurrence stays. The windows of those first occurrences are then compared one by one, so that a
-window is removed if, and only if, its word sequence starts somewhere earlier. Removed windows that
-overlap or touch make up the maximal repeats.
-
-Groups are resolved by minima taken before each shuffle and joins of two stored tables. No pairs are
-emitted: the rows at each step are at most the seeds or the windows of a document set.
+that any two equal windows have the same anchor at the same place. Seeds found more than once are joined by hash and
+extended both ways, over the windows that they anchor:
+
+1. Seeds whose whole extension (from the first anchored window's start to the last one's end) is the same are one class.
+   All but its first occurrence match that one over the whole extension.
+2. An anchor with several classes stands in different surroundings. The first occurrence of each class is held against the anchor's
+   first occurrence and extended word by word to the left and right as long as both agree; a window inside the match starts earlier.
+3. Windows beyond that match can only equal others beyond it. They are compared by their own hash, and all but the first are repeats.
+
+Matches of neighbouring seeds that overlap or touch make up the maximal repeats, of 20 words or more. A window is removed
+if, and only if, its word sequence starts somewhere earlier.
+
+Every step is a star from a first occurrence, by minima taken before the shuffle and joins of stored tables: no pairs are
+emitted, and the rows at each step are at most the seeds or the windows of a document set.
 Words are compared by 64-bit hashes.
 """
 
@@ -59,39 +65,45 @@ def extended(hashes: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.nd
 
 def _seed_rows(with_places: bool):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, anchors, extensions, starts, counts = [], [], [], [], []
-        for doc, text in zip(column(batch, "doc"), column(batch, "text"), strict=True):
+        owners, anchors, extensions, starts, counts, offsets = [], [], [], [], [], []
+        for row, text in enumerate(column(batch, "text")):
             hashes = word_hashes(text)
             at, first, count = seeds(hashes)
             if len(at):
                 anchors.append(gram_hashes(hashes, ANCHOR)[at])
                 if with_places:
-                    docs.append(np.full(len(at), doc))
+                    owners.append(np.full(len(at), row))
                     extensions.append(extended(hashes, at, first, count))
                     starts.append(first)
                     counts.append(count)
+                    offsets.append(at - first)
         joined = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, dtype=kind)
         out = {"anchor": (signed(joined(anchors, np.uint64)), pa.int64())}
         if with_places:
-            out |= {"doc": (joined(docs, np.int64), pa.int64()), "extension": (signed(joined(extensions, np.uint64)), pa.int64()), "start": (joined(starts, np.int32), pa.int32()), "count": (joined(counts, np.int32), pa.int32())}
+            rows = pa.array(joined(owners, np.int64))
+            out |= {k: (batch.column(batch.schema.get_field_index(k)).take(rows), pa.int64()) for k in ("doc", "version")}
+            out |= {"extension": (signed(joined(extensions, np.uint64)), pa.int64())} | {k: (joined(v, np.int32), pa.int32()) for k, v in (("start", starts), ("count", counts), ("offset", offsets))}
         return batch_of(**out)
 
     return kernel
 
 
 def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    docs, starts, hashes = [], [], []
-    for doc, text, places in zip(column(batch, "doc"), column(batch, "text"), column(batch, "places"), strict=True):
-        grams = gram_hashes(word_hashes(text), WINDOW)
-        at = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["count"]) for p in places]))
-        docs.append(np.full(len(at), doc))
-        starts.append(at)
-        hashes.append(grams[at])
-    return batch_of(doc=(np.concatenate(docs), pa.int64()), start=(np.concatenate(starts).astype(np.int32), pa.int32()), gram=(signed(np.concatenate(hashes)), pa.int64()))
+    """The hashes of the windows that each listed seed of a document anchors."""
+    owners, found, windows = [], [], []
+    for row, (text, places) in enumerate(zip(column(batch, "text"), column(batch, "places"), strict=True)):
+        grams = signed(gram_hashes(word_hashes(text), WINDOW))
+        owners += [row] * len(places)
+        found += places
+        windows += [grams[p["start"] : p["start"] + p["count"]] for p in places]
+    rows = pa.array(owners, type=pa.int64())
+    out = {k: (batch.column(batch.schema.get_field_index(k)).take(rows), pa.int64()) for k in ("doc", "version")}
+    out |= {k: ([p[k] for p in found], t) for k, t in (("anchor", pa.int64()), ("start", pa.int32()), ("offset", pa.int32()), ("is_hub", pa.bool_()))}
+    return batch_of(**out, windows=(windows, pa.list_(pa.int64())))
 
 
 def _cut(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
-    totals, removed, digests, kept_texts = [], [], [], []
+    totals, removed, digests, repeats, kept_texts = [], [], [], [], []
     for text, places in zip(column(batch, "text"), column(batch, "places"), strict=True):
         words = text.split()
         gone = np.zeros(len(words) + 1, dtype=np.int64)
@@ -107,42 +119,80 @@ def _cut(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
         digests.append(hashlib.sha256(kept).hexdigest())
         if with_text:
             kept_texts.append(kept.decode())
-    out = {"kept_text": (kept_texts, pa.string())} if with_text else {}
+            edges = np.flatnonzero(np.diff(np.r_[True, stay, True].astype(np.int8)))
+            repeats.append([{"start": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    out = {"kept_text": (kept_texts, pa.string()), "repeats": (repeats, kind)} if with_text else {}
     return batch_of(doc_id=(batch.column(batch.schema.get_field_index("doc_id")), pa.int64()), n_words=(totals, pa.int64()), n_removed=(removed, pa.int64()), kept_sha256=(digests, pa.string()), **out)
 
 
+def classes_of(found: DataFrame) -> DataFrame:
+    """(extension, anchor, doc, version, start, count, offset, classes, is_hub): the first occurrence of each extension, with its anchor's
+    number of extensions and whether it is the anchor's first occurrence."""
+    order = F.struct("doc", "version", "start", "count", "offset")
+    firsts = stored(found.groupBy("extension").agg(F.min(order).alias("first"), F.min("anchor").alias("anchor")), "firsts")
+    hubs = firsts.groupBy("anchor").agg(F.min("first").alias("hub"), F.count(F.lit(1)).alias("classes"))
+    out = stored(firsts.join(hubs, "anchor").select("extension", "anchor", "first.*", "classes", (F.col("first") == F.col("hub")).alias("is_hub")), "classes")
+    drop(found.sparkSession, firsts)
+    return out
+
+
+def matched(grams: DataFrame) -> DataFrame:
+    """grams(doc, version, anchor, start, offset, windows, is_hub) to (doc, version, start, windows, same array<boolean>): every seed but its
+    anchor's first, and which of its windows are inside the match with that one."""
+    hubs = grams.where("is_hub").select("anchor", F.col("offset").alias("hub_offset"), F.col("windows").alias("hub_windows")).dropDuplicates(["anchor"])
+    held = grams.where("not is_hub").join(hubs, "anchor")
+    # Equal windows have the anchor at the same place, so that a window faces the first occurrence's window at the same distance from it.
+    facing = lambda i: i + F.col("hub_offset") - F.col("offset")
+    same = F.transform("windows", lambda w, i: (facing(i) >= 0) & F.coalesce(F.get("hub_windows", F.greatest(facing(i), F.lit(0))) == w, F.lit(False)))
+    return held.select("doc", "version", "start", "windows", same.alias("same"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, start, count): runs of windows, `count` from word `start` on, that also start earlier."""
+    """(doc, version, start, count): runs of windows, `count` from word `start` on, that also start earlier; docs(doc, version, text)."""
     spark = docs.sparkSession
-    texts = docs.select("doc", "text")
-    anchors = arrow_map(texts, _seed_rows(False), "anchor long")
+    texts = docs.select("doc", "version", "text")
+    anchors = arrow_map(docs.select("text"), _seed_rows(False), "anchor long")
     common = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = arrow_map(texts, _seed_rows(True), "anchor long, doc long, extension long, start int, count int")
-    found = stored(found.join(common, "anchor", "left_semi").select("doc", "extension", "start", "count"), "seeds")
+    found = arrow_map(texts, _seed_rows(True), "anchor long, doc long, version long, extension long, start int, count int, offset int")
+    found = stored(found.join(common, "anchor", "left_semi"), "seeds")
     drop(spark, common)
-    first = stored(found.groupBy("extension").agg(F.min(F.struct("doc", "start")).alias("first")), "first")
-    held = found.join(first, "extension").withColumn("is_first", (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")))
-    held = stored(held.select("doc", "start", "count", "is_first"), "held")
-    drop(spark, found, first)
-    places = held.where("is_first").groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("places"))
-    windows = stored(arrow_map(texts.join(places, "doc"), _window_rows, "doc long, start int, gram long"), "windows")
+    classes = classes_of(found)
+    # Seeds that have the extension of an earlier one.
+    first = classes.select("extension", *(F.col(c).alias(f"first_{c}") for c in ("doc", "version", "start")))
+    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("version") == F.col("first_version")) & (F.col("start") == F.col("first_start"))
+    whole = stored(found.select("extension", "doc", "version", "start", "count").join(first, "extension").where(~is_first).select("doc", "version", "start", "count"), "whole")
+    drop(spark, found)
+    # Anchors in several surroundings: the windows of each class's first occurrence.
+    places = classes.where("classes > 1").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "start", "count", "offset", "is_hub")).alias("places"))
+    grams = arrow_map(texts.join(places, ["doc", "version"]), _window_rows, "doc long, version long, anchor long, start int, offset int, is_hub boolean, windows array<long>")
+    grams = stored(grams, "windows")
+    drop(spark, classes)
+    held = stored(matched(grams), "matched")
+    drop(spark, grams)
+    at = lambda wanted: F.filter(F.transform("same", lambda s, i: F.when(s == F.lit(wanted), i)), lambda i: i.isNotNull())
+    inside = held.select("doc", "version", "start", at(True).alias("at")).where("size(at) > 0")
+    inside = inside.select("doc", "version", (F.col("start") + F.col("at")[0]).alias("start"), F.size("at").alias("count"))
+    beyond = held.select("doc", "version", "start", "windows", F.explode(at(False)).alias("i"))
+    beyond = stored(beyond.select("doc", "version", (F.col("start") + F.col("i")).alias("start"), F.get("windows", F.col("i")).alias("gram")), "beyond")
     # Rows that repeat a doc_id and a text give the same window twice: neither is earlier.
-    earliest = stored(windows.groupBy("gram").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first"), "earliest")
-    later = windows.join(earliest, "gram").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    out = stored(later.select("doc", "start", F.lit(1).alias("count")).unionByName(held.where("not is_first").select("doc", "start", "count")), "repeats")
-    drop(spark, held, windows, earliest)
+    earliest = beyond.groupBy("gram").agg(F.min(F.struct("doc", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first")
+    later = beyond.join(earliest, "gram").where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", F.lit(1).alias("count"))
+    out = stored(whole.unionByName(inside).unionByName(later), "repeats")
+    drop(spark, whole, held, beyond)
     return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]), one row for each row of docs.
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text, repeats]), one row for each row of docs.
 
     A word goes if a 20-word window that covers it also starts earlier (smaller doc_id, or the same
-    document and an earlier start). Null text: no words. A null doc_id counts as the largest. Rows with
-    equal doc_id and text are one document, and each gets its result. Empty table: no rows.
+    document and an earlier start). repeats: the maximal runs of removed words, ends exclusive. Null text: no words. A null
+    doc_id counts as the largest. Rows with equal doc_id (or none) and equal text are one document, and each gets its result;
+    different texts of one doc_id, or without one, come in the order of xxhash64(text), a signed number. Other columns are left out. Empty table: no rows.
     """
     base = documents(docs, id_col, text_col)
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("text").cast("binary").alias("text"))
-    places = repeated_windows(base).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("places"))
-    rows = base.join(places, "doc", "left").select("doc_id", "text", "places")
-    return arrow_map(rows, lambda batch: _cut(batch, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    base = base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
+    places = repeated_windows(base).groupBy("doc", "version").agg(F.collect_set(F.struct("start", "count")).alias("places"))
+    rows = base.join(places, ["doc", "version"], "left").select("doc_id", "text", "places")
+    return arrow_map(rows, lambda batch: _cut(batch, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, repeats array<struct<start:int,end:int>>" * with_text)

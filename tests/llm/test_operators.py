@@ -181,8 +181,10 @@ def test_line_dedup_odd(spark):
 
 
 def brute_repeats(rows):
+    """{(doc_id, text): result}; null ids come last, texts of one id by their signed hash."""
     seen, out = set(), {}
-    for d, text in sorted(rows):
+    version = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    for d, text in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, version(r[1]))):
         words = words_of(text)
         gone = set()
         for i in range(len(words) - 19):
@@ -191,20 +193,43 @@ def brute_repeats(rows):
                 gone |= set(range(i, i + 20))
             seen.add(w)
         kept = " ".join(w for i, w in enumerate(words) if i not in gone)
-        out[d] = (len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        out[d, text] = (len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
 
 
+def check_repeats(spark, rows):
+    want = brute_repeats(rows)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((d, *want[d, t or ""]) for d, t in rows)
+    for r in got:
+        assert sum(x.end - x.start for x in r.repeats) == r.n_removed and all(x.end - x.start >= 20 for x in r.repeats)
+        assert len(r.kept_text.split()) == r.n_words - r.n_removed
+
+
 def test_substring_dedup(spark, sf_dir):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op4_substring_dedup(spark, sf_dir).collect()}
-    assert got == brute_repeats(texts(spark, sf_dir))
+    assert got == {d: v for (d, _), v in brute_repeats(texts(spark, sf_dir)).items()}
 
 
 def test_substring_dedup_small_alphabet(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(list("ab"), rng.integers(0, 120)))) for i in range(60)] + [(100, "x " * 70), (101, "x " * 19)]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_repeats(rows)
+    check_repeats(spark, rows)
+
+
+def test_substring_dedup_ids(spark):
+    """Several null ids, one id with two texts, repeated rows and a random mix of passages."""
+    long, more = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(30, 95))
+    check_repeats(spark, [(None, long), (None, "short text"), (5, long)])
+    check_repeats(spark, [(4, long), (4, "short text"), (5, long)])
+    check_repeats(spark, [(None, long), (None, more), (None, long), (4, more), (4, long + " " + more), (4, None)])
+    rng = np.random.default_rng(12)
+    passages = [" ".join(rng.choice([f"p{k}" for k in range(60)], rng.integers(8, 70))) for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        parts = [passages[k] if rng.random() < 0.7 else " ".join(f"u{x}" for x in rng.integers(0, 5000, 9)) for k in rng.integers(0, 12, rng.integers(0, 6))]
+        rows.append((None if rng.random() < 0.2 else int(rng.integers(0, 60)), " ".join(parts)))
+    check_repeats(spark, rows)
 
 
 def test_substring_dedup_odd(spark):
