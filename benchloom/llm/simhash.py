@@ -1,18 +1,24 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits. A probe flips at most one bit of one segment and its table key keeps the
-other segments whole. Two fingerprints at distance 2 or less always meet in such an entry, and no entry
-can hold more than 65 fingerprints, whatever the data, so a group of thousands of near copies makes no
-quadratic bucket and needs no cap. What meets in an entry is fetched and its whole distance verified.
+A fingerprint has 64 bits in two segments of 32, and each segment has a table from its value to the fingerprints that have it.
+Of two fingerprints within 2 bits either the first segments are within 1 bit, or the second ones are equal: so a
+fingerprint looks up the ball of radius 1 around its first segment (33 values) and its second segment itself, fetches what the tables
+hold there, and verifies the whole distance.
+
+Entries of a table can hold any number of fingerprints, as of thousands of near copies. What is in an entry of over HOT fingerprints is
+indexed again by segments of its other bits, 2 of 16 and then 2 of 8, and a probe goes on there with the bits that it has left to
+differ in. An entry of the last level holds at most 256 fingerprints, whatever the data: nothing is capped.
 
 `near_duplicates` looks for texts whose five-word shingles have a similarity of 0.8 or more. Their
-fingerprints differ in 4 to 11 bits, too many for small balls (README), so that to the fingerprint's table
+fingerprints differ in 4 to 14 bits, too many for small balls (README), so that to the fingerprints' links
 it adds index tables over the segments (bands) of a MinHash signature of the same shingles. The whole
 signatures only sort out what is far from similar; the rest is verified on whole sets of shingles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +30,8 @@ from pyspark.sql.types import DoubleType
 from ..operators.clusters import connected_components
 from .common import LOWER, arrow_map, batch_of, column, documents, drop, stored
 
-BITS, SEGMENTS, SEED = 64, 4, 42
+#: Bits of a fingerprint, bits in which linked ones may differ, fingerprints in an entry from which on it is indexed again.
+BITS, RADIUS, HOT, SEED = 64, 2, 64, 42
 
 #: Near duplicates: words a shingle, least similarity, bands of a signature and values in a band. A pair at
 #: 0.8 meets in a band with probability 1 - (1 - 0.8^6)^32 = 0.9999; the standard error of an
@@ -67,23 +74,99 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return arrow_map(rows, kernel, "doc_id long, fp long")
 
 
-def flips() -> list[int]:
-    """0 and the 64 one-bit masks, as signed numbers, segment by segment."""
-    width = BITS // SEGMENTS
-    return [0] + [int(np.uint64(1 << (s * width + i)).view(np.int64)) for s in range(SEGMENTS) for i in range(width)]
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def segments(level: int) -> list[tuple[int, int]]:
+    """(bits already fixed, bits of the segment) of each table of a level, as masks.
+
+    Level 0 has the two halves of all bits. Each table's other bits are halved again for the tables of the next level.
+    """
+    if not level:
+        return [(0, (1 << BITS // 2) - 1), (0, (1 << BITS) - (1 << BITS // 2))]
+    out = []
+    for fixed, own in segments(level - 1):
+        free = [b for b in range(BITS) if not (fixed | own) >> b & 1]
+        halves = free[: len(free) // 2], free[len(free) // 2 :]
+        out += [(fixed | own, sum(1 << b for b in half)) for half in halves]
+    return out
+
+
+def ball(own: int, radius: int) -> list[int]:
+    """0, and with radius 1 every one-bit mask of a segment, as signed numbers."""
+    return [0] + [_signed(1 << b) for b in range(BITS) if radius and own >> b & 1]
+
+
+def table_rows(rows: DataFrame, level: int, parents: bool) -> DataFrame:
+    """rows(fp, rep[, table]) as rows of the level's tables: (fp, rep, table, key). With parents, of the children of their table."""
+    at = [F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(fixed | own))).alias("key")) for t, (fixed, own) in enumerate(segments(level))]
+    mine = F.array(*at)
+    if parents:
+        mine = F.filter(mine, lambda x: F.shiftright(x["table"], 1) == F.col("table"))
+    return rows.select("fp", "rep", F.explode(mine).alias("at")).select("fp", "rep", "at.*")
+
+
+def probes(rows: DataFrame, level: int, parents: bool) -> DataFrame:
+    """rows(fp, rep[, table, flip, left]) to their lookups (fp, rep, table, key, flip, left) in the level's tables.
+
+    left: bits that may still differ outside of what the key holds; flip: the bits in which the key differs. Of two segments that differ in
+    `left` bits together, with 2 left the first is within 1 or the second is equal; with 1 left either is equal.
+    """
+    left, flip = (F.col("left"), F.col("flip")) if parents else (F.lit(RADIUS), F.lit(0).cast("long"))
+    lookups = []
+    for t, (fixed, own) in enumerate(segments(level)):
+        for mask in ball(own, 1 - t % 2):
+            wanted = (left == RADIUS) if mask else F.lit(True)
+            if parents:
+                wanted = wanted & (F.col("table") == t // 2)
+            used = flip.bitwiseXOR(F.lit(mask))
+            lookup = F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseXOR(used).bitwiseAND(F.lit(_signed(fixed | own))).alias("key"), used.alias("flip"), (left - (1 if mask else 0)).alias("left"))
+            lookups.append(F.when(wanted, lookup))
+    made = rows.select("fp", "rep", F.explode(F.filter(F.array(*lookups), lambda x: x.isNotNull())).alias("at"))
+    return made.select("fp", "rep", "at.*")
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_links(classes: DataFrame) -> DataFrame:
-    """(a, b): links of classes(fp long, rep long) at distance 1 or 2, as a star from each table entry's smallest rep."""
-    probes = classes.select("fp", "rep", F.explode(F.array(*map(F.lit, flips()))).alias("mask"))
-    probes = probes.select("fp", "rep", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    entry = Window.partitionBy("key").orderBy("rep", "fp")
-    met = probes.select("fp", "rep", F.first("fp").over(entry).alias("hub_fp"), F.first("rep").over(entry).alias("hub"))
-    return met.where((F.col("rep") != F.col("hub")) & (distance(F.col("fp"), F.col("hub_fp")) <= 2)).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+def verified(lookups: DataFrame, entries: DataFrame) -> DataFrame:
+    """(a, bit, b): of all fingerprints fetched within RADIUS bits of a's and differing from it in this bit, the least rep b.
+
+    Fingerprints that are one bit from the same value are all within 2 bits of each other, and each of them meets all others of them
+    under the bit that parts it from that value. So the least ones hold such a clique together, and a fingerprint of thousands of
+    neighbours gives at most 64 rows.
+    """
+    fetched = lookups.select("table", "key", "fp", "rep").join(entries.select("table", "key", F.col("fp").alias("other"), F.col("rep").alias("b")), ["table", "key"])
+    differ = F.col("fp").bitwiseXOR(F.col("other"))
+    near = fetched.where((F.col("fp") != F.col("other")) & (distance(F.col("fp"), F.col("other")) <= RADIUS)).select("rep", "b", differ.alias("differ"))
+    low = F.col("differ").bitwiseAND(-F.col("differ"))
+    bits = F.array_distinct(F.array(low, F.when(low == F.col("differ"), low).otherwise(F.col("differ").bitwiseXOR(low))))
+    return near.select(F.col("rep").alias("a"), F.explode(bits).alias("bit"), "b").groupBy("a", "bit").agg(F.min("b").alias("b"))
+
+
+def near_links(classes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b): links of classes(fp long, rep long), one row for each fp, that join all fingerprints within RADIUS bits."""
+    spark = classes.sparkSession
+    levels = 3
+    held, asked, parents = classes, classes, False
+    found = []
+    for level in range(levels):
+        entries, lookups = table_rows(held, level, parents), probes(asked, level, parents)
+        crowded = None
+        if level + 1 < levels:
+            crowded = stored(entries.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("table", "key"), "crowded")
+            if not crowded.take(1):
+                drop(spark, crowded)
+                crowded = None
+        cold = entries.join(crowded, ["table", "key"], "left_anti") if crowded is not None else entries
+        found.append(stored(verified(lookups, cold), "links"))
+        if crowded is None:
+            break
+        held, asked = (stored(rows.join(crowded, ["table", "key"], "left_semi"), "crowded") for rows in (entries, lookups))
+        parents = True
+    return reduce(DataFrame.unionByName, found).select("a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,18 +266,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     classes = stored(known.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("text_key").alias("class_key"), "rep"), (F.col("text_key") == F.col("class_key")) & (F.col("doc_id") == F.col("rep")))
     reps = stored(reps.select("rep", "text_key", "fp", "bands", "signature").dropDuplicates(["rep"]), "reps")
-    balls = reps.select("rep", F.lit(-1).alias("table"), F.explode(F.array(*map(F.lit, flips()))).alias("mask"), "fp").select("rep", "table", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    probes = balls.unionByName(reps.select("rep", F.posexplode("bands").alias("table", "key")))
+    prints = stored(reps.groupBy("fp").agg(F.min("rep").alias("hub")), "fingerprints")
+    by_print = near_links(prints.select("fp", F.col("hub").alias("rep")))
+    same_print = reps.select("fp", "rep").join(prints, "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    members = reps.select("rep", F.posexplode("bands").alias("table", "key"))
     # The first class of each entry that several share; both sides of the join are stored or scanned, so that Spark can split a hot entry.
     order = F.struct(F.when(F.col("table") % 2 == 0, F.col("rep")).otherwise(F.xxhash64("rep", "table")).alias("order"), "rep")
-    hubs = stored(probes.groupBy("table", "key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "key", F.col("hub.rep").alias("hub")), "hubs")
-    pairs = probes.join(hubs, ["table", "key"]).where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    hubs = stored(members.groupBy("table", "key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "key", F.col("hub.rep").alias("hub")), "hubs")
+    pairs = members.join(hubs, ["table", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    pairs = pairs.unionByName(by_print).unionByName(same_print).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "candidates")
     left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b"))
     held = stored(pairs.join(left, "a"), "held")
     near = stored(held.join(right, "b").where(agreement("signature_a", "signature_b") >= similarity - SLACK).select("a", "b"), "near")
-    drop(spark, hubs, pairs, held)
+    drop(spark, prints, hubs, pairs, held)
     ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
     sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(ends, "rep"), shingle), "sets")
     held = stored(near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("shingles_a")), "a"), "held")
@@ -210,10 +296,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 def keep_one(docs: DataFrame, **options: float) -> DataFrame:
     """docs without all but the row with the smallest doc_id of each near-duplicate component; columns as they were.
 
-    Of rows that repeat that doc_id one stays. Rows with a null doc_id can't be told apart by it and all stay.
+    Of rows that repeat that doc_id one stays. Rows with a null doc_id can't be told apart by it and all stay. Null and blank
+    texts are copies of each other. Columns of docs can have any names. Empty table: no rows.
     """
     found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    named = own.where("__id is not null").join(kept, "__id", "left_semi").dropDuplicates(["__id"])
-    return named.unionByName(own.where("__id is null")).select(*docs.columns)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    # All columns travel in one struct, so that none can clash with a name used here.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("kept"))
+    named = own.where("kept is not null").join(kept, "kept", "left_semi").dropDuplicates(["kept"])
+    return named.unionByName(own.where("kept is null")).select("row.*")

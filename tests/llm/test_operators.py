@@ -86,25 +86,66 @@ def test_simhash_links_within_two_bits(spark):
     assert {i: labels.get(i, i) for i in prints} == brute_components(prints)
 
 
+@pytest.mark.parametrize("hot", [1, 8, 64])
+def test_simhash_crowded_segments(spark, hot):
+    """Thousands of fingerprints that share a segment, so that tables are indexed down to the last level."""
+    from benchloom.operators.clusters import connected_components
+
+    rng = np.random.default_rng(3)
+    family = rng.integers(0, 2**9, 400, dtype=np.uint64) | np.uint64(0xABCD_0000_0000_0000)
+    split = np.array([0x1234_5678_0000_0000 ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 64, (300, 2))], dtype=np.uint64)
+    far = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    prints = {i: int(v) for i, v in enumerate(dict.fromkeys(np.concatenate([family, split, far]).tolist()))}
+    classes = spark.createDataFrame([(int(np.uint64(v).view(np.int64)), i) for i, v in prints.items()], "fp long, rep long")
+    links = simhash.near_links(classes, hot=hot).collect()
+    assert all(bin(prints[r.a] ^ prints[r.b]).count("1") <= 2 for r in links)
+    labels = {r.node: r.label for r in connected_components(spark.createDataFrame(links)).collect()}
+    assert {i: labels.get(i, i) for i in prints} == brute_components(prints)
+
+
+def test_simhash_tables():
+    """Every pair within 2 bits meets in a table of each level: the ball around one segment or the other holds it."""
+    assert [len(simhash.segments(k)) for k in range(3)] == [2, 4, 8]
+    assert all(bin(own).count("1") == 32 >> k for k in range(3) for _, own in simhash.segments(k))
+    assert sum(len(simhash.ball(own, 1 - t % 2)) for t, (_, own) in enumerate(simhash.segments(0))) == 34
+
+
 def test_simhash_odd(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.simhash_components(odd(spark)).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (6, 4), (None, 4)} <= got
     assert simhash.simhash_components(empty(spark)).count() == 0
 
 
-def test_near_duplicates(spark, sf_dir):
-    rows = dict(texts(spark, sf_dir))
-    shingles = {d: {" ".join(w[i : i + 5]) for w in [words_of(t.translate(LOWER))] for i in range(max(1, len(w) - 4))} for d, t in rows.items()}
-    by = defaultdict(set)
-    for d, s in shingles.items():
+def brute_near_duplicates(rows, least=0.8):
+    """{doc_id: component} over all pairs of distinct texts whose sets of five-word shingles are similar; and those pairs."""
+    shingles = {d: frozenset(" ".join(w[i : i + 5]) for w in [words_of((t or "").translate(LOWER))] for i in range(max(1, len(w) - 4))) for d, t in rows}
+    of, holders = {}, defaultdict(list)
+    for d in sorted(shingles):
+        of.setdefault(shingles[d], d)
+    parent = {d: of[s] for d, s in shingles.items()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = []
+    for s, d in of.items():
+        met = Counter(o for x in s for o in holders[x])
+        for o, both in met.items():
+            if both >= least * (len(s) + len(shingles[o]) - both):
+                pairs.append((o, d))
+                a, b = find(d), find(o)
+                parent[max(a, b)] = min(a, b)
         for x in s:
-            by[x].add(d)
-    pairs = {(a, b) for g in by.values() if len(g) < 60 for a in g for b in g if a < b}
-    similarity = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+            holders[x].append(d)
+    return {d: find(d) for d in shingles}, pairs
+
+
+def test_near_duplicates(spark, sf_dir):
+    want, pairs = brute_near_duplicates(texts(spark, sf_dir))
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, sf_dir)).collect()}
-    similar = [(a, b) for a, b in pairs if similarity(a, b) >= 0.85]
-    assert similar and sum(got[a] == got[b] for a, b in similar) >= 0.98 * len(similar)
-    assert all(got[d] == d or max(similarity(d, o) for o in got if o != d and got[o] == got[d]) >= 0.65 for d in got)
+    assert pairs and got == want
 
 
 def test_near_duplicates_by_true_similarity(spark):
@@ -123,6 +164,8 @@ def test_keep_one(spark):
     rows = spark.createDataFrame([(5, long), (3, long + " more"), (9, long.upper()), (7, "other text"), (1, None), (2, "")], "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(rows).collect()} == {3, 7, 1}
     assert simhash.keep_one(odd(spark)).columns == odd(spark).columns
+    clashing = simhash.keep_one(rows.withColumn("__id", F.col("doc_id") * 11).withColumn("kept", F.lit("x")).withColumn("a.b", F.lit(1))).collect()
+    assert {(r.doc_id, r["__id"]) for r in clashing} == {(3, 33), (7, 77), (1, 11)}
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
