@@ -518,6 +518,41 @@ def test_secrets_by_model(spark, sf_dir):
     assert all(got[i] == "" for i in range(len(secret), len(rows)))
 
 
+def test_secret_models_on_held_out_samples(spark, sf_dir):
+    got = {r.random: (r.n, r.flagged) for r in secret_scan.held_out_rates(samples(spark, sf_dir)).collect()}
+    assert got[True][0] > 500 and got[True][1] >= 0.97 * got[True][0]
+    assert got[False][0] > 1000 and got[False][1] <= 0.001 * got[False][0]
+
+
+def test_secrets_in_long_texts(spark, sf_dir):
+    """A token of a million characters and tens of thousands of matches in one text take seconds."""
+    import time
+
+    rng = np.random.default_rng(11)
+    token = "".join(rng.choice(list("ghXYZQ01"), 1_000_000))
+    many = " ".join(f"AKIA{k:016d} token=abc{k:05d} somewhat_long_identifier_{k}" for k in range(20_000))
+    rows = [(1, f"see {token} end"), (2, many)]
+    tokens = samples(spark, sf_dir)
+    start = time.monotonic()
+    got = {r.doc_id: r for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), tokens).collect()}
+    assert time.monotonic() - start < 60
+    check_secrets(got, rows)
+    assert got[1].spans == "random:4:1000004" and (got[2].n_access, got[2].n_assign) == (20_000, 20_000)
+
+
+def test_tokens_apart_from_base_spans(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(300):
+        spans = [sorted(map(int, rng.choice(60, 2, replace=False))) for _ in range(int(rng.integers(0, 9)))]
+        cut = int(rng.integers(0, len(spans) + 1))
+        rows.append((i, [(a, b, f"{a}") for a, b in spans[:cut]], [(a, 0, b) for a, b in spans[cut:]]))
+    frame = spark.createDataFrame(rows, "i int, tokens array<struct<start:int,end:int,value:string>>, base array<struct<start:int,rank:int,end:int>>")
+    for r in frame.select("i", secret_scan.apart(F.col("tokens"), F.col("base")).alias("free")).collect():
+        _, tokens, base = rows[r.i]
+        assert sorted(map(tuple, r.free)) == sorted(t for t in tokens if not any(a < t[1] and t[0] < b for a, _, b in base))
+
+
 def test_secrets_native(spark, sf_dir):
     plan = queries.op9_secret_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
