@@ -1,10 +1,9 @@
 """Cross-site boilerplate lines by distinct-site spread.
 
-A HyperLogLog sketch of the sites is kept for each line hash and merged by aggregation, before the
-shuffle and after it. Lines whose estimate is near the threshold get an exact distinct count. A line that
-stands on SITES sites or more goes, unless such lines make up over MAX_SHARE of the document's words: such a
-document is a copy of a whole, not a page with boilerplate, and is left to document-level dedup.
-`remove_spread` exempts no document: there a line must also stand in SITES classes of copies or near copies.
+HyperLogLog sketches of the sites and of the texts are kept for each line hash and merged by aggregation, before the
+shuffle and after it. Lines whose estimates are near the threshold get exact distinct counts. A line that
+stands on SITES sites or more, in as many distinct texts, goes from every document: a whole that was copied to many sites
+is one text, so that it doesn't make its own lines boilerplate. `remove_spread` counts classes of near copies in the place of texts.
 Everything is built of DataFrame functions.
 """
 
@@ -15,96 +14,96 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, drop, stored
 
-#: Sites from which on a line is boilerplate; share of a document's words that lines may take; log2 of a sketch's registers;
-#: estimates within so many sites, or so large a share, of the threshold are counted exactly (over 6 standard errors).
-SITES, MAX_SHARE, REGISTERS, NEAR, NEAR_SHARE = 10, 0.5, 12, 1.0, 0.1
+#: Sites, and texts, from which on a line is boilerplate; log2 of a sketch's registers; estimates within so many sites, or so
+#: large a share, of the threshold are counted exactly (over 6 standard errors).
+SITES, REGISTERS, NEAR, NEAR_SHARE = 10, 12, 1.0, 0.1
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _FILLED = r"(?:\A|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
 
 
-def words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
 def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """(h1, h2) of lines(h1, h2, site) that stand on `sites` distinct sites or more."""
+    """(h1, h2) of lines(h1, h2, site, class) that stand on `sites` distinct sites and in as many distinct classes, or more."""
     near = max(NEAR, NEAR_SHARE * sites)
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+    kinds = ("site", "class")
+    sketched = lines.groupBy("h1", "h2").agg(*(F.hll_sketch_agg(k, F.lit(REGISTERS)).alias(k) for k in kinds), F.count(F.lit(1)).alias("n"))
     # A line on so many sites stands at least as often anywhere.
-    guessed = stored(sketched.where(F.col("n") >= sites).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("guess")).where(F.col("guess") > sites - near), "spread")
-    close = guessed.where(F.col("guess") < sites + near).select("h1", "h2")
-    exact = lines.join(close, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= sites)
-    return guessed.where(F.col("guess") >= sites + near).select("h1", "h2").unionByName(exact.select("h1", "h2"))
+    guessed = sketched.where(F.col("n") >= sites).select("h1", "h2", *(F.hll_sketch_estimate(k).alias(k) for k in kinds))
+    guessed = stored(guessed.where(F.least(*kinds) > sites - near), "spread")
+    sure = F.least(*kinds) >= sites + near
+    held = lines.select("h1", "h2", *kinds).join(guessed.where(~sure).select("h1", "h2"), ["h1", "h2"], "left_semi")
+    exact = [held.select("h1", "h2", k).distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("h1", "h2") for k in kinds]
+    return guessed.where(sure).select("h1", "h2").unionByName(exact[0].join(exact[1], ["h1", "h2"], "left_semi"))
+
+
+def _cleaned(rows: DataFrame, sites: int) -> DataFrame:
+    """rows(row, doc, version, site, class, text) to (row, text, n_lines, n_removed)."""
+    spark = rows.sparkSession
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = rows.select("doc", "version", "site", "class", F.posexplode(F.split(text, "\n")).alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
+    # Texts are parted once; what follows reads places and hashes.
+    lines = stored(lines.select("doc", "version", "site", "class", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")), "parted")
+    common = stored(spread_lines(lines, sites), "lines")
+    hits = lines.select("doc", "version", "place", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
+    hits = stored(hits.groupBy("doc", "version").agg(F.collect_set("place").alias("places")), "hits")
+    drop(spark, common, lines)
+    joined = rows.select("row", "doc", "version", "text").join(hits, ["doc", "version"], "left")
+    all_places = lambda parts: F.sequence(F.lit(0), F.size(parts) - 1)
+    rest = F.transform(F.array(F.split(text, "\n")), lambda parts: F.array_join(F.transform(F.array_except(all_places(parts), F.col("places")), lambda i: F.get(parts, i)), "\n"))[0]
+    filled = F.regexp_count(text, F.lit(_FILLED)).cast("long")
+    return joined.select("row", F.when(F.col("places").isNotNull(), rest).otherwise(F.col("text")).alias("text"), filled.alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """(row, doc, version, site, text): all columns travel in one struct, so that none can clash with a name used here."""
+    text = F.col(f"`{text_col}`").cast("string")
+    doc, site = F.col(f"`{id_col}`").cast("long"), F.col(f"`{site_col}`")
+    whole = F.struct(*(F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(whole.alias("row"), F.coalesce(doc, F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"), F.when(site.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(site, F.lit(1))).alias("site"), text.alias("text"))
 
-def remove_boilerplate(docs: DataFrame, sites: int = SITES, max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", class_col: str | None = None) -> DataFrame:
+
+def remove_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with text_col rewritten, and long columns n_lines and n_removed (lines with a word) added.
 
-    Lines are parted by \\n and compared without white space at their ends. A null site is one site of its own. With
-    class_col, a line must stand in as many distinct values of it as on sites. A null text stays null, with no
-    lines. Rows that repeat doc_id and text get the same result. Columns of docs that are called n_lines or n_removed are replaced. Empty table: no rows.
+    Lines are parted by \\n and compared without white space at their ends. A line on `sites` distinct sites or more, in as many
+    distinct texts, goes, whatever its share of a document: one may be left empty. A null site is one site of its own.
+    A null text stays null, with no lines. Rows that repeat doc_id and text get the same result; rows without a
+    doc_id are told apart by their texts. Columns of docs that are called n_lines or n_removed are replaced; others can have any name. Empty table: no rows.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kind, kinds = ([F.xxhash64(class_col).alias("class")], ["class"]) if class_col else ([], [])
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.coalesce(F.xxhash64(site_col, F.lit(1)), F.lit(0)).alias("site"), F.split(text, "\n").alias("lines"), *kind)
-    lines = base.select("doc", "version", "site", *kinds, F.posexplode("lines").alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
-    # Texts are parted once; what follows reads places and hashes.
-    lines = stored(lines.select("doc", "version", "site", *kinds, "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words(F.col("line")).alias("n")), "parted")
-    common = stored(spread_lines(lines.select("h1", "h2", "site"), sites), "lines")
-    if class_col:
-        on_sites = common
-        held = lines.join(on_sites, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("class").alias("site"))
-        common = stored(spread_lines(held, sites), "lines")
-        drop(spark, on_sites)
-    hits = lines.select("doc", "version", "place", "n", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
-    hits = hits.groupBy("doc", "version").agg(F.collect_set(F.struct("place", "n")).alias("hits"))
-    hits = stored(hits.select("doc", "version", F.transform("hits", lambda h: h["place"]).alias("places"), F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["n"]).alias("words")), "hits")
-    drop(spark, common, lines)
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    own = docs.select(*rest, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64(text).alias("__version"))
-    renamed = hits.select(*(F.col(c).alias(f"__{c}") for c in hits.columns))
-    joined = own.join(renamed, ["__doc", "__version"], "left")
-    cut = F.col("__places").isNotNull() & (F.col("__words") <= F.lit(max_share) * words(text))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
-    filled = F.regexp_count(text, F.lit(_FILLED)).cast("long")
-    columns = [F.when(cut, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in rest]
-    return joined.select(*columns, filled.alias("n_lines"), F.when(cut, F.size("__places")).otherwise(0).cast("long").alias("n_removed"))
+    rows = _keyed(docs, id_col, text_col, site_col).withColumn("class", F.col("version"))
+    return _cleaned(rows, sites).select(*_back(docs, text_col), "n_lines", "n_removed")
+
+
+def _back(docs: DataFrame, text_col: str) -> list[Column]:
+    return [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
 
 
 def remove_spread(docs: DataFrame, classes: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs as of remove_boilerplate, but every line that reaches the threshold goes, whatever its share of the document.
+    """docs without lines that stand on `sites` distinct sites and in as many distinct classes of copies or near copies; columns as they were.
 
-    To reach it a line must stand on `sites` distinct sites and in as many distinct classes of copies or near copies, so that
-    copies of a whole can't make their own lines spread. classes has (doc_id, component_id); rows of docs with a null or
-    unknown doc_id are classed by text.
+    So neither copies nor near copies of a whole can make their own lines spread. classes has (doc_id, component_id); rows
+    of docs with a null or unknown doc_id are classed by text. Every row stays, with a null text if it had one. Empty table: no rows.
     """
-    known = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__class"))
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).join(known, "__id", "left")
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = own.select(*docs.columns, F.coalesce(F.concat(F.lit("c"), "__class"), F.concat(F.lit("t"), text)).alias("__class"))
-    return remove_boilerplate(stored(own, "classed"), sites, 1.0, class_col="__class").drop("__class")
+    known = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("component_id").alias("component"))
+    rows = _keyed(docs, "doc_id", "text", "source").join(known, "doc", "left")
+    rows = rows.withColumn("class", F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("class"), "component")).otherwise(F.xxhash64(F.lit("text"), "version"))).drop("component")
+    kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return _cleaned(stored(rows, "classed"), sites).select(*kept)
 
 
 #: remove_boilerplate over documents, as DuckDB SQL.
 SQL = rf"""
 with lines as (
-  select doc_id, source, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as place from documents
+  select doc_id, source, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as place from documents
 ), filled as (
-  select doc_id, source, place, raw, regexp_replace(raw, '{_EDGES}', '', 'g') as line,
-    len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) as n from lines
+  select doc_id, source, text, place, raw, regexp_replace(raw, '{_EDGES}', '', 'g') as line from lines
 ), spread as (
-  select line from filled where line <> '' group by line having count(distinct source) >= {SITES}
-), shares as (
-  select doc_id, sum(case when s.line is not null then n else 0 end) as gone, sum(n) as total
-  from filled f left join spread s on f.line = s.line group by doc_id
+  select line from filled where line <> '' group by line having count(distinct coalesce('x' || source, '')) >= {SITES} and count(distinct text) >= {SITES}
 ), kept as (
-  select f.doc_id, string_agg(case when s.line is null or gone > {MAX_SHARE} * total then raw end, chr(10) order by place) as text,
-    sum(case when f.line <> '' then 1 else 0 end)::bigint as n_lines,
-    sum(case when s.line is not null and gone <= {MAX_SHARE} * total then 1 else 0 end)::bigint as n_removed
-  from filled f left join spread s on f.line = s.line join shares h on f.doc_id = h.doc_id group by f.doc_id
+  select f.doc_id, string_agg(case when s.line is null then raw end, chr(10) order by place) as text,
+    sum(case when f.line <> '' then 1 else 0 end)::bigint as n_lines, sum(case when s.line is not null then 1 else 0 end)::bigint as n_removed
+  from filled f left join spread s on f.line = s.line group by f.doc_id
 )
 select doc_id, coalesce(text, '') as text, n_lines, n_removed from kept
 """

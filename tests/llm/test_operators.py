@@ -214,6 +214,37 @@ def test_line_dedup_threshold(spark):
     assert all("both" not in r.text and r.n_removed == 1 for r in got.values()) and all("shared" in got[s].text for s in range(9))
     copies = [(s, "a whole document\nthat was copied", f"site{s}") for s in range(12)]
     assert all(r.n_removed == 0 for r in line_dedup.remove_boilerplate(spark.createDataFrame(copies, "doc_id long, text string, source string")).collect())
+    # A document may be nothing but boilerplate.
+    menus = [(s, "menu" if s % 2 else f"menu\nown {s}", f"site{s}") for s in range(24)]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(menus, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id, r.text, r.n_removed) for r in got} == {(s, "" if s % 2 else f"own {s}", 1) for s in range(24)}
+
+
+def test_line_dedup_random(spark):
+    """Spread and class counts around the threshold, against a plain count; null sites and ids, clashing names."""
+    rng = np.random.default_rng(14)
+    rows = [(None if k % 17 == 0 else k, "\n".join(f" line {x} " for x in (rng.integers(0, 40, rng.integers(0, 5)) * rng.random()).astype(int)), None if k % 7 == 0 else f"s{rng.integers(0, 14)}") for k in range(160)]
+    sites, texts_ = defaultdict(set), defaultdict(set)
+    for _, text, site in rows:
+        for x in text.split("\n"):
+            sites[x.strip()].add(site)
+            texts_[x.strip()].add(text)
+    spread = {x for x in sites if x and min(len(sites[x]), len(texts_[x])) >= 10}
+    assert spread and any(8 <= len(s) < 10 for s in sites.values())
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, doc int, __doc int, `a.b` int")
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in line_dedup.remove_boilerplate(frame).collect())
+    want = Counter((d, "\n".join(x for x in t.split("\n") if x.strip() not in spread), sum(x.strip() in spread for x in t.split("\n"))) for d, t, _ in rows)
+    assert got == want
+
+
+def test_spread_counts_near_copies_once(spark):
+    near = [(s, f"one line\nanother line\nlast words {s}", f"site{s}") for s in range(12)]
+    other = [(100 + s, f"licence\nown words {s}", f"site{s}") for s in range(12)]
+    frame = spark.createDataFrame(near + other + [(None, "licence", None)], "doc_id long, text string, source string").withColumn("__class", F.lit(1))
+    classes = spark.createDataFrame([(s, 0) for s in range(12)] + [(100 + s, 100 + s) for s in range(12)], "doc_id long, component_id long")
+    got = line_dedup.remove_spread(frame, classes)
+    assert got.columns == frame.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(d, t) for d, t, _ in near} | {(100 + s, f"own words {s}") for s in range(12)} | {(None, "")}
 
 
 def test_line_dedup_odd(spark):
