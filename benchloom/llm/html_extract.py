@@ -4,7 +4,8 @@ A page is parted into blocks of text. Over all blocks with the same root-to-leaf
 punctuation and the text inside links are summed; text and punctuation for each block are two ratios of the path. Both
 are smoothed over the page's order, fused, and paths over a threshold hold the content; outside an <article> or <main> the
 threshold is higher if the page has one. The blocks kept are those of all content paths, and the headings, paragraphs, lists and tables
-that stand beside them in the same box. Parts that say what they are by tag or name (menus, headers, footers, sidebars, notices, adverts, forms, comments) never are content.
+that stand beside them in the same box; blocks of links count only in an <article> or <main>, elsewhere they are menus. Parts that say what
+they are by tag or name (menus, headers, footers, sidebars, notices, adverts, forms, comments) never are content.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ NOT_CONTENT = frozenset(
 
 # Words that say nothing about a part beside one of NOT_CONTENT, as in site-footer; elements of running text inside a box.
 NEUTRAL = frozenset("site page main global primary secondary top bottom left right bar box area list block section wrapper wrap container inner links link items item post entry article content".split())
+# Names of boxes around several parts: what starts with one of the first and ends with one of the others holds the content too, as in content-sidebar-wrap.
+HOLDS, WRAPS = frozenset("content main article primary".split()), frozenset("wrap wrapper container inner area".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption details summary address center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -63,9 +66,11 @@ def names_of(attributes: str) -> tuple[set[str], bool]:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
             for token in value.split():
-                parts = {p for p in _PARTS.split(token) if p}
+                ordered = [p for p in _PARTS.split(token) if p]
+                parts = set(ordered)
                 names |= parts
-                gone = gone or (not NOT_CONTENT.isdisjoint(parts) and parts <= NOT_CONTENT | NEUTRAL)
+                around = bool(ordered) and ordered[0] in HOLDS and ordered[-1] in WRAPS
+                gone = gone or (not around and not NOT_CONTENT.isdisjoint(parts) and parts <= NOT_CONTENT | NEUTRAL)
         elif key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
             gone = True
     return names, gone
@@ -79,10 +84,15 @@ def blocks(page: str) -> list[Block]:
 
     def text(piece: str) -> None:
         nonlocal current
+        skip = bool(stack) and stack[-1][1]
+        if current is not None and current.skip != skip:
+            if skip:
+                return  # an inline part of a block that isn't content, such as a share button
+            current = None
         if not piece or (current is None and not piece.strip()):
             return
         if current is None:
-            current = Block(tuple(s for t, _, s in stack if t not in INLINE), bool(stack) and stack[-1][1])
+            current = Block(tuple(s for t, _, s in stack if t not in INLINE), skip)
             out.append(current)
         current.parts.append(piece)
         if any(t == "a" for t, _, _ in stack):
@@ -90,7 +100,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(at: int) -> None:
         nonlocal current
-        if any(t not in INLINE for t, _, _ in stack[at:]) or (stack and stack[at][1] != (at > 0 and stack[at - 1][1])):
+        if any(t not in INLINE for t, _, _ in stack[at:]):
             current = None
         del stack[at:]
 
@@ -137,14 +147,15 @@ def blocks(page: str) -> list[Block]:
         attributes = m[3] or ""
         names, gone = names_of(attributes)
         skip = (bool(stack) and stack[-1][1]) or tag in SKIPPED or (tag not in ("html", "body", "article", "main") and gone)
-        if tag not in INLINE or skip != (bool(stack) and stack[-1][1]):
+        if tag not in INLINE:
             current = None
         if not attributes.rstrip().endswith("/") or tag not in INLINE:
             stack.append((tag, skip, tag + "".join(f".{n}" for n in sorted(names))))
     return out
 
 
-def extract(page: str) -> str:
+def extract(page: str, threshold: float = THRESHOLD, smooth: float = SMOOTH) -> str:
+    """The page's main text, its blocks joined by line breaks."""
     found = []
     for b in blocks(page):
         if not b.skip and (t := " ".join(html.unescape("".join(b.parts)).split())):
@@ -161,12 +172,12 @@ def extract(page: str) -> str:
     for sums in (length, total([len(_PUNCTUATION.findall(t)) for _, t, _ in found])):
         by_block = (sums / count)[of]
         ordered = np.r_[by_block[:1], by_block, by_block[-1:]]
-        smooth = SMOOTH * ordered[:-2] + (1 - 2 * SMOOTH) * by_block + SMOOTH * ordered[2:]
-        ratios.append(smooth / max(smooth.mean(), 1e-9))
+        even = smooth * ordered[:-2] + (1 - 2 * smooth) * by_block + smooth * ordered[2:]
+        ratios.append(even / max(even.mean(), 1e-9))
     fused = np.bincount(of, np.sqrt(ratios[0] * (ratios[1] + 0.1))) / count
     names = [[s.split(".")[0] for s in p] for p in paths]
     hinted = np.array(["article" in n or "main" in n for n in names])
-    least = THRESHOLD * np.average(fused, weights=length) * np.where(hinted | (not hinted.any()), 1, OUTSIDE)
+    least = threshold * np.average(fused, weights=length) * np.where(hinted | (not hinted.any()), 1, OUTSIDE)
     content = (fused >= least) & (linked <= LINKS)
     if not content.any():
         return ""
@@ -174,7 +185,8 @@ def extract(page: str) -> str:
     boxes = [p[: max((i + 1 for i, t in enumerate(n) if t not in TEXTUAL), default=0)] for p, n in zip(paths, names, strict=True)]
     held = {boxes[k] for k in np.flatnonzero(content)}
     around = {b[:i] for b in held for i in range(1, len(b)) if b[i - 1].split(".")[0] not in ("html", "body")}
-    keep = [bool(content[k]) or (linked[k] <= LINKS and (b in held or (b in around and not HEADINGS.isdisjoint(names[k])))) for k, b in enumerate(boxes)]
+    beside = [b in held or (b in around and not HEADINGS.isdisjoint(names[k])) for k, b in enumerate(boxes)]
+    keep = [bool(content[k]) or (beside[k] and (linked[k] <= LINKS or bool(hinted[k]))) for k in range(len(paths))]
     return "\n".join(t for p, t, _ in found if keep[paths[p]])
 
 

@@ -323,7 +323,7 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Sit
 
 def test_html():
     assert html_extract.extract(PAGE) == "Heading\nFirst & best, really.\nSecond paragraph — with text, and more.\nOk."
-    assert html_extract.extract("") == "" and html_extract.extract("<p") == "<p" or True
+    assert html_extract.extract("") == "" and html_extract.extract("<p") == "<p" and html_extract.extract("<p></p>") == ""
     plain = "<body><div id=menu><a href=x>One</a> <a href=y>Two</a></div><div class=content>" + "".join(f"<p>Sentence number {i}, which is long enough, says something.</p>" for i in range(5)) + "</div></body>"
     assert html_extract.extract(plain).count("\n") == 4 and "One" not in html_extract.extract(plain)
 
@@ -344,6 +344,34 @@ def test_html_paths_choose_blocks():
         assert html_extract.extract(f"<div {name}><p>{text}</p></div><div><p>{text}</p></div>") == text
 
 
+TEXT = "A sentence, which is long enough, says something; it goes on, and ends here."
+PARAGRAPHS = "".join(f"<p>{TEXT} {k}</p>" for k in range(6))
+
+
+def test_html_threshold_chooses():
+    """Without an article it is the paths' ratios that part content from the rest: another threshold gives another text."""
+    rest = "".join(f"<div class=teaser>Short words {k}</div>" for k in range(8))
+    page = f"<body><div class=top>{rest}</div><div class=story>{PARAGRAPHS}<p>Ok.</p></div><div class=end>{rest}</div></body>"
+    want = "\n".join([*(f"{TEXT} {k}" for k in range(6)), "Ok."])
+    assert html_extract.extract(page) == want
+    assert "Short words" in html_extract.extract(page, threshold=0.0)
+    assert html_extract.extract(page, threshold=50.0) == ""
+
+
+def test_html_wrappers_and_parts():
+    want = "\n".join(f"{TEXT} {k}" for k in range(6))
+    for name in ("content has-sidebar", "content-sidebar-wrap", "main-sidebar-container", "page no-comments"):
+        page = f"<body><div class='{name}'><div class=story>{PARAGRAPHS}</div><div class=sidebar><p>{TEXT}</p></div></div></body>"
+        assert html_extract.extract(page) == want, name
+    two = f"<article class=a>{PARAGRAPHS}</article><article class=b><h2>Next</h2><p>{TEXT}</p><p>{TEXT}</p></article>"
+    assert html_extract.extract(two) == f"{want}\nNext\n{TEXT}\n{TEXT}"
+    links = f"<body><ul class=list><li><a href=x>Elsewhere</a></li></ul><article>{PARAGRAPHS}<ul><li><a href=x>A source</a></li><li><a href=y>Another source</a></li></ul></article></body>"
+    assert html_extract.extract(links) == f"{want}\nA source\nAnother source"
+    # An inline part that isn't content doesn't part its paragraph.
+    share = f"<div class=story>{PARAGRAPHS}<p>Before it <span class=share>Share this</span>and after it.</p><p><span class=share>Share</span>Then, this.</p></div>"
+    assert html_extract.extract(share) == f"{want}\nBefore it and after it.\nThen, this."
+
+
 def test_html_pages(spark, sf_dir):
     rows = {r.page_id: r.html for r in queries.table(spark, sf_dir, "pages").collect()}
     import html
