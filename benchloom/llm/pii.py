@@ -33,22 +33,29 @@ _SPELT = re.compile(r"[\x20]?[\[(]at[\])][\x20]?([A-Za-z0-9-]+(?:(?:\.|[\x20]?[\
 _USER_URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/(?:[^\s\"'<>]*[^\s\"'<>.,;:!?)])?)?")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?:\x20(?:no|nr|number|num)\b\.?)?\x20?[:#=]?\x20?([A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,17})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"\.?(?:\x20(?i:no|nr|number|num)\b\.?)?\x20?[:#=]?\x20?([A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,17})(?![A-Za-z0-9])")
 
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for anchor, kind in [("@", "@"), ("+", "+"), ("://", "://"), *((d, "digit") for d in "0123456789"), *((a, "at") for a in ("[at]", "(at)", "[AT]", "(AT)"))]:
+    for anchor, kind in [("@", "@"), ("+", "+"), ("://", "://"), *((d, "digit") for d in "0123456789"), ("[at]", "at"), ("(at)", "at")]:
         found.add_word(anchor, (kind, len(anchor)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
 _ANCHORS = _automaton()
 
+_SMALL = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def small(text: str) -> str:
+    """The text in small letters, with every character at its place: some capitals become two small letters."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text.translate(_SMALL)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -71,7 +78,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the order of start, then kind."""
     found: list[tuple[str, int, int]] = []
     after = dict.fromkeys(("email", "ip", "card", "phone", "iban"), 0)
-    for last, (anchor, width) in _ANCHORS.iter(text):
+    for last, (anchor, width) in _ANCHORS.iter(small(text)):
         at = last - width + 1
         if anchor == "digit":
             if at >= after["ip"]:

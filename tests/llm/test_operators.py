@@ -523,6 +523,44 @@ def test_more_personal_data():
     assert pii.spans("in 2012, 5 of 1,000 people; account for it all. See http://x.org/a?b=1") == []
 
 
+def test_cues_in_any_case():
+    for text, value in [("Account Number: 12345678", "12345678"), ("ACCOUNT NO 12-345-678", "12-345-678"), ("Social Security 078-05-1120", "078-05-1120"), ("Passport No: X1234567", "X1234567"), ("İ SoCiAl sEcUrItY: 078051120", "078051120"), ("Kontonummer 123456789", "123456789")]:
+        assert [(k, text[s:e]) for k, s, e in pii.spans(text)] == [("account", value)], text
+    assert [(k, s, e) for k, s, e in pii.spans("x joe [At] mail [DOT] org")] == [("hidden_email", 2, 25)]
+
+
+def test_recall_of_added_kinds(spark, sf_dir):
+    """Spans planted in the driver's texts, in several spellings: all are found at their places, and texts without them gain none."""
+    rng = np.random.default_rng(15)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def iban():
+        body = "WEST" + digits(14)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+        return f"GB{check:02d}{body}"
+
+    made = {
+        "hidden_email": lambda k: f"joe{k}" + [" [at] ", "(AT)", " (at) ", "[At]"][k % 4] + "mail" + [" [dot] ", "."][k % 2] + "org",
+        "url": lambda k: f"https://user{k}:pw{digits(4)}@host{k}.org/a?b={k}",
+        "iban": lambda k: iban(),
+        "account": lambda k: "1" + digits(9),
+    }
+    cue = ["Account Number: ", "ACCOUNT NO. ", "Passport: ", "Konto" + "nummer "]
+    planted = missed = gained = 0
+    for d, text in texts(spark, sf_dir)[:400]:
+        bare = [x for x in pii.spans(text) if x[0] not in pii.BASE]
+        gained += len(bare)
+        for k, (kind, make) in enumerate(made.items()):
+            value, at = make(d), text.find(" ", len(text) // 2) + 1
+            before = (cue[d % 4] if kind == "account" else "see ") if at else ""
+            if not at:
+                continue
+            planted += 1
+            start = at + len(before)
+            missed += (kind, start, start + len(value)) not in pii.spans(f"{text[:at]}{before}{value} {text[at:]}")
+    assert planted > 1000 and missed == 0 and gained == 0
+
+
 def test_personal_data_odd(spark):
     got = pii.find_personal_data(odd(spark)).collect()
     assert len(got) == len(ODD) and {r.spans for r in got} == {""} and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
