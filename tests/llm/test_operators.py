@@ -694,14 +694,30 @@ def test_leaks(spark):
         if d % 3:
             at = int(rng.integers(0, len(words) + 1))
             words[at:at] = [w.upper() + "," for w in item]
+        if d % 11 == 0:
+            words += ["Too short", "to tell.", "w1"] if d % 2 else ["too", "short", "and", "to", "tell"]
         rows.append((d, " ".join(words)))
-    want = {(d, i): n for d, t in rows for i, x in items if x and len(w := decontaminate.normal(x).split()) >= 8 for n in [brute_distance(w, decontaminate.normal(t).split())] if n <= decontaminate.budget(len(w))}
+    want = {(d, i): n for d, t in rows for i, x in items if x and (w := decontaminate.normal(x).split()) for n in [brute_distance(w, decontaminate.normal(t).split())] if n <= decontaminate.budget(len(w))}
     a, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(a, b).collect()}
-    assert got == want and len(want) > 30
+    assert got == want and len(want) > 30 and {d for d, i in want if i == 50} == {d for d in range(120) if d % 22 == 11}
     assert {r.doc_id for r in decontaminate.without_leaks(a, b).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_leaks_in_scripts_without_blanks():
+    item = "这个问题的答案是什么请选择正确的一项"
+    matcher = decontaminate.Matcher([(1, item), (2, "短问题")])
+    assert matcher.find(f"前面的文字。{item}后面") == {1: 0} and matcher.find("前面" + item.replace("答案", "结果") + "后面") == {1: 2}
+    assert matcher.find("一个短问题。") == {2: 0} and matcher.find("没有关系的文字") == {} and matcher.find("短 题问") == {}
+
+
+def test_leaks_of_repeated_items(spark):
+    rows = spark.createDataFrame([(1, "a " * 3 + "one two three four five six seven eight nine")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "one two three four five six seven eight nine") for i in (1, 1, 1, 2, 3)], "item_id long, text string")
+    assert sorted((r.item_id, r.distance) for r in decontaminate.leaks(rows, items).collect()) == [(1, 0), (2, 0), (3, 0)]
+    assert sum(b.count() for b in decontaminate.item_blocks(items.distinct(), 50)) == 3
+
+
 def test_leaks_in_blocks(spark, sf_dir, monkeypatch):
     whole = from_spark(queries.op10_decontamination(spark, sf_dir))
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (2000,))
