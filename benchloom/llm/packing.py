@@ -10,6 +10,7 @@ task's memory; the loss from packing groups apart is at most a few windows for e
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -34,24 +35,28 @@ _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b
 _encoders: dict[str, "Encoder"] = {}
 
 
+#: The tokenizer whose ids are those of its chunks; others are run over whole texts.
+CHUNKED = "word_bpe_49k.json"
+
+
 class Encoder(dict):
-    """The ids of each white-space separated chunk as little-endian 32-bit bytes, remembered.
+    """The ids of each white-space separated chunk as little-endian 32-bit bytes, remembered within `limit` bytes.
 
-    White space never takes part in this tokenizer's ids, so a text's ids are its chunks' ids in turn.
+    White space never takes part in the ids of CHUNKED, so a text's ids are its chunks' ids in turn. With any
+    other tokenizer nothing is parted or remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1 << 26, longest: int = 128):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.longest, self.held = Tokenizer.from_file(path), limit, longest, 0
+        self.chunked = Path(path).name == CHUNKED
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         text = chunk.decode()
         core = text.rstrip(_MARKS)
         if core != text and core.isalpha() and core.lower().isalpha():
@@ -63,7 +68,12 @@ class Encoder(dict):
             out = self.word(text) if small == text else self[small.encode()] if small.isalpha() else self.ids(text)
         else:
             out = self.ids(text)
-        self[chunk] = out
+        if len(chunk) <= self.longest:
+            self.held += len(chunk) + len(out) + 150  # and what Python keeps for an entry
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self[chunk] = out
         return out
 
     def word(self, letters: str) -> bytes:
@@ -73,7 +83,7 @@ class Encoder(dict):
         return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], dtype="<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:  # special tokens may be written out in it
+        if not self.chunked or b"<|" in text:  # special tokens may be written out in it
             return self.ids(text.decode())
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -158,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece.
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece, in any tokenizer's ids.
 
     Null and empty texts have the end id alone; a null doc_id and repeated rows are packed like others. Ties go by
     doc_id and start. Sequence ids are distinct, not consecutive. Empty table: no rows.
@@ -174,7 +184,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         return frame.drop(columns="bin").assign(sequence_id=[2 * ((number << 32) + p) for p in place], offset=offset)
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    rests = made.where(F.col("length") < length).withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast(IntegerType()))
+    rests = made.where(F.col("length") < length)
+    # Rows are dealt by their place in the stored table too, so that repeated ones spread over all groups.
+    rests = rests.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast(IntegerType()))
     fitted = rests.groupBy("bin").applyInPandas(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     # A full window is a sequence by itself, with an odd number; its rows are numbered where they lie.
     full = made.where(F.col("length") == length).select(*columns, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
