@@ -83,11 +83,13 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 
 def sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """The `most` rows whose doc_id hashes least: the same ones however the rows are dealt out.
+    """The `most` distinct rows whose columns hash least: the same ones however the rows are dealt out.
 
-    Of many rows only those under a hash that lets a fifth more through are ordered, so that no task sends `most` rows.
+    Of many rows only those under a hash that lets about a third more through are ordered, so that no task sends many more than
+    `most`. Rows that repeat count once, so that a hot one neither fills the sample nor empties it.
     """
-    order, n = F.xxhash64("doc_id", F.lit(seed)), rows.count()
+    order = F.xxhash64(*rows.columns, F.lit(seed))
+    n = rows.agg(F.approx_count_distinct(order, 0.02)).first()[0]
     if n > 2 * most:
-        rows = rows.where(order < -(2**63) + int(2**64 * 1.2 * most / n))
-    return rows.orderBy(order, "doc_id").limit(most)
+        rows = rows.where(order < -(2**63) + int(2**64 * 1.3 * most / n))
+    return rows.distinct().orderBy(order).limit(most)

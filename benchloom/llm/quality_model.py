@@ -123,7 +123,11 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't rejected, columns as they were: each row is judged where it lies, without a shuffle."""
+    """The rows of docs that aren't rejected, columns as they were: each row is judged where it lies, without a shuffle.
+
+    Null text: judged as empty. Rows without a doc_id and repeated rows are judged by their text like others. Without labels of both kinds
+    every score is the share of good labels, so that all rows stay unless that share is under CUT. Empty table: no rows.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, documents, stored
+from .common import arrow_map, batch_of, documents, drop, stored
 from .docstats import FEATURES, sample, statistics
 
 TREES, SUBSAMPLE, FIT_ROWS, SEED = 300, 256, 20_000, 11
@@ -103,7 +103,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels(doc_id, quality): 1 good, 0 bad; other values and null are unlabelled, and of a doc_id labelled
     both ways both count. Without labels of both kinds only the base rules reject. Null text: as empty, so
-    base_failed. Empty table: no rows.
+    base_failed. Repeated rows and rows without a doc_id get a row each and count once in the sample that the forest is fitted on. Empty table: no rows.
     """
     spark = docs.sparkSession
     stats = stored(statistics(documents(docs)), "statistics")
@@ -118,6 +118,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     names = [c for c in stats.columns if c != "features"]
     scored = stored(arrow_map(stats, kernel, ", ".join(f"{n} long" for n in names) + ", anomaly double"), "scored")
+    drop(spark, stats)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").distinct()
     bins = scored.where(~failed).join(known, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "quality").count()

@@ -189,6 +189,31 @@ def test_quality_rules_find_junk(spark, sf_dir):
     assert r.good >= 0.99 and r.bad <= 0.3
 
 
+def test_quality_rules_on_held_out_labels(spark, sf_dir):
+    """The threshold from four fifths of the labels, judged on the rest."""
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    labels = queries.table(spark, sf_dir, "labels")
+    found = quality_rules.judge(docs(spark, sf_dir), labels.where(~held)).join(labels.where(held), "doc_id").where("not base_failed")
+    r = found.groupBy().agg(*(F.avg(F.when(F.col("quality") == q, F.col("kept").cast("int"))).alias(n) for q, n in ((1, "good"), (0, "bad")))).first()
+    assert r.good >= 0.98 and r.bad <= 0.2
+
+
+def test_sample_of_hot_rows(spark):
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1.0).alias("x"))
+    assert docstats.sample(rows, 100, 3).count() == 1
+    mixed = rows.unionByName(spark.range(50_000).select(F.col("id").alias("doc_id"), F.rand(1).alias("x")))
+    got = docstats.sample(mixed, 1000, 3)
+    assert got.count() == 1000 and got.distinct().count() == 1000 and got.where("doc_id is null").count() <= 1
+
+
+def test_quality_rules_without_ids(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("the quick words of a plain text number"), "id", F.repeat(F.lit("and so on, more or less, "), 8)).alias("text"))
+    odd_one = spark.createDataFrame([(1, "## $$ %% && " * 40), (2, "the quick words of a plain text number 5 " + "and so on, more or less, " * 8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    got = quality_rules.judge(rows.unionByName(odd_one), labels)
+    assert got.agg(F.max("anomaly")).first()[0] > 0 and got.count() == 3002
+
+
 def test_quality_rules_odd(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality_rules.judge(odd(spark), none).collect()}
@@ -417,7 +442,7 @@ def test_encoder_is_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokenizer, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path, limit=500), np.random.default_rng(4)
+    tokenizer, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path, limit=40_000, longest=8), np.random.default_rng(4)
     alphabet = list("aAbBzZéÉßẞİıσΣςñ'.,!*#09 \n\t́中\U0001f600’-_|<>sStTǅ")
     for _ in range(3000):
         text = "".join(rng.choice(alphabet, rng.integers(0, 15)))
@@ -425,6 +450,32 @@ def test_encoder_is_the_tokenizer():
     assert np.frombuffer(encoder.encode(b"a <|endoftext|> b"), "<u4").tolist() == tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
 
 
+def test_other_tokenizers(spark, tmp_path):
+    """A tokenizer for which chunks can't be parted is run over whole texts."""
+    from tokenizers import Tokenizer, models
+
+    letters = Tokenizer(models.BPE(vocab={"a": 0, " ": 1, "b": 2, "a ": 3}, merges=[("a", " ")]))
+    letters.save(str(tmp_path / "letters.json"))
+    encoder = packing.Encoder(str(tmp_path / "letters.json"))
+    assert np.frombuffer(encoder.encode(b"a b a"), "<u4").tolist() == letters.encode("a b a").ids == [3, 2, 1, 0]
+
+
+def test_encoder_is_bounded():
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), limit=20_000)
+    for k in range(3000):
+        encoder.encode(f"word{k} {'x' * 400}{k}".encode())
+    assert len(encoder) < 200 and encoder.held <= 20_000 and max(map(len, encoder)) <= 128
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = packing.pack(rows, group=100)
+    per_group = got.groupBy((F.col("sequence_id") / 2**33).cast("long").alias("g")).count().collect()
+    assert got.count() == 3000 and len(per_group) == 30 and max(r["count"] for r in per_group) < 200
+
+
 def test_best_fit():
     rng = np.random.default_rng(5)
     lengths = sorted(rng.integers(1, 100, 400).tolist(), reverse=True)
