@@ -51,4 +51,5 @@ def components_of_keys(rows: DataFrame, node: str, keys: str) -> DataFrame:
     pairs = rows.select(F.col(node).alias("a"), F.explode(keys).alias("key")).distinct()
     hubs = stored(pairs.groupBy("key").agg(F.min("a").alias("b")), "hubs")
     labels = connected_components(pairs.join(hubs, "key").select("a", "b"))
+    drop(rows.sparkSession, hubs)
     return rows.select(node).distinct().join(labels.withColumnRenamed("node", node), node, "left").select(node, F.coalesce("label", node).alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Seconds between two requests to clear shuffle files, and when the last one was.
+CLEAR_EVERY = 10.0
+_cleared = 0.0
+
+
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes frames made by stored() that nothing reads any more, and lets Spark clear old shuffle files."""
+    """Deletes frames made by stored() that nothing reads any more.
+
+    Spark removes shuffle files once the driver's collector has found their plans unused, by itself every 30 minutes: too late for
+    jobs that shuffle their whole input several times. So a collection is asked for, at most every CLEAR_EVERY seconds.
+    """
+    global _cleared
     jvm = spark.sparkContext._jvm
     for frame in frames:
         path = jvm.org.apache.hadoop.fs.Path(frame._benchloom_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+    if time.monotonic() - _cleared > CLEAR_EVERY:
+        jvm.System.gc()
+        _cleared = time.monotonic()
