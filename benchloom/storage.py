@@ -31,7 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Seconds between two requests to clear shuffle files, and when the last one was.
-CLEAR_EVERY = 10.0
+CLEAR_EVERY = 3.0
 _cleared = 0.0
 
 
