@@ -126,14 +126,13 @@ def _cut(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     return batch_of(doc_id=(batch.column(batch.schema.get_field_index("doc_id")), pa.int64()), n_words=(totals, pa.int64()), n_removed=(removed, pa.int64()), kept_sha256=(digests, pa.string()), **out)
 
 
-def classes_of(found: DataFrame) -> DataFrame:
-    """(extension, anchor, doc, version, start, count, offset, classes, is_hub): the first occurrence of each extension, with its anchor's
-    number of extensions and whether it is the anchor's first occurrence."""
-    order = F.struct("doc", "version", "start", "count", "offset")
-    firsts = stored(found.groupBy("extension").agg(F.min(order).alias("first"), F.min("anchor").alias("anchor")), "firsts")
-    hubs = firsts.groupBy("anchor").agg(F.min("first").alias("hub"), F.count(F.lit(1)).alias("classes"))
-    out = stored(firsts.join(hubs, "anchor").select("extension", "anchor", "first.*", "classes", (F.col("first") == F.col("hub")).alias("is_hub")), "classes")
-    drop(found.sparkSession, firsts)
+def surroundings(firsts: DataFrame) -> DataFrame:
+    """Of firsts(extension, anchor, first): those whose anchor has several extensions, as (anchor, doc, version, start, count, offset, is_hub)."""
+    hubs = firsts.groupBy("anchor").agg(F.min("first").alias("hub"), F.count(F.lit(1)).alias("n"))
+    # Stored first, so that the join is between two plain shuffles that Spark can split at a hot anchor.
+    hubs = stored(hubs.where("n > 1").select("anchor", "hub"), "hubs")
+    out = stored(firsts.join(hubs, "anchor").select("anchor", "first.*", (F.col("first") == F.col("hub")).alias("is_hub")), "classes")
+    drop(firsts.sparkSession, hubs)
     return out
 
 
@@ -157,14 +156,17 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = arrow_map(texts, _seed_rows(True), "anchor long, doc long, version long, extension long, start int, count int, offset int")
     found = stored(found.join(common, "anchor", "left_semi"), "seeds")
     drop(spark, common)
-    classes = classes_of(found)
+    order = F.struct("doc", "version", "start", "count", "offset")
+    firsts = stored(found.groupBy("extension").agg(F.min(order).alias("first"), F.min("anchor").alias("anchor")), "firsts")
     # Seeds that have the extension of an earlier one.
-    first = classes.select("extension", *(F.col(c).alias(f"first_{c}") for c in ("doc", "version", "start")))
+    first = firsts.select("extension", *(F.col("first").getField(c).alias(f"first_{c}") for c in ("doc", "version", "start")))
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("version") == F.col("first_version")) & (F.col("start") == F.col("first_start"))
     whole = stored(found.select("extension", "doc", "version", "start", "count").join(first, "extension").where(~is_first).select("doc", "version", "start", "count"), "whole")
     drop(spark, found)
     # Anchors in several surroundings: the windows of each class's first occurrence.
-    places = classes.where("classes > 1").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "start", "count", "offset", "is_hub")).alias("places"))
+    classes = surroundings(firsts)
+    drop(spark, firsts)
+    places = classes.groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "start", "count", "offset", "is_hub")).alias("places"))
     grams = arrow_map(texts.join(places, ["doc", "version"]), _window_rows, "doc long, version long, anchor long, start int, offset int, is_hub boolean, windows array<long>")
     grams = stored(grams, "windows")
     drop(spark, classes)
