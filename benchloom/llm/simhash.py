@@ -141,7 +141,8 @@ def verified(lookups: DataFrame, entries: DataFrame) -> DataFrame:
     fetched = lookups.select("table", "key", "fp", "rep").join(entries.select("table", "key", F.col("fp").alias("other"), F.col("rep").alias("b")), ["table", "key"])
     differ = F.col("fp").bitwiseXOR(F.col("other"))
     near = fetched.where((F.col("fp") != F.col("other")) & (distance(F.col("fp"), F.col("other")) <= RADIUS)).select("rep", "b", differ.alias("differ"))
-    low = F.col("differ").bitwiseAND(-F.col("differ"))
+    # The least number is its own negative, which ANSI arithmetic refuses.
+    low = F.col("differ").bitwiseAND(F.coalesce(F.try_subtract(F.lit(0), F.col("differ")), F.col("differ")))
     bits = F.array_distinct(F.array(low, F.when(low == F.col("differ"), low).otherwise(F.col("differ").bitwiseXOR(low))))
     return near.select(F.col("rep").alias("a"), F.explode(bits).alias("bit"), "b").groupBy("a", "bit").agg(F.min("b").alias("b"))
 

@@ -95,6 +95,7 @@ def test_simhash_crowded_segments(spark, hot):
     family = rng.integers(0, 2**9, 400, dtype=np.uint64) | np.uint64(0xABCD_0000_0000_0000)
     split = np.array([0x1234_5678_0000_0000 ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 64, (300, 2))], dtype=np.uint64)
     far = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    far = np.concatenate([far, far[:20] ^ np.uint64(1 << 63), far[10:30] ^ np.uint64(1 << 63 | 1)])
     prints = {i: int(v) for i, v in enumerate(dict.fromkeys(np.concatenate([family, split, far]).tolist()))}
     classes = spark.createDataFrame([(int(np.uint64(v).view(np.int64)), i) for i, v in prints.items()], "fp long, rep long")
     links = simhash.near_links(classes, hot=hot).collect()
