@@ -23,31 +23,39 @@ _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _FILLED = r"(?:\A|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
 
 
-def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """(h1, h2) of lines(h1, h2, site, class) that stand on `sites` distinct sites and in as many distinct classes, or more."""
-    near = max(NEAR, NEAR_SHARE * sites)
-    kinds = ("site", "class")
-    sketched = lines.groupBy("h1", "h2").agg(*(F.hll_sketch_agg(k, F.lit(REGISTERS)).alias(k) for k in kinds), F.count(F.lit(1)).alias("n"))
+def spread_lines(lines: DataFrame, over: str, least: int) -> DataFrame:
+    """(h1, h2) of lines(h1, h2, ...) that stand on `least` distinct values of the column `over` or more."""
+    near = max(NEAR, NEAR_SHARE * least)
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg(over, F.lit(REGISTERS)).alias("sketch"), F.count(F.lit(1)).alias("n"))
     # A line on so many sites stands at least as often anywhere.
-    guessed = sketched.where(F.col("n") >= sites).select("h1", "h2", *(F.hll_sketch_estimate(k).alias(k) for k in kinds))
-    guessed = stored(guessed.where(F.least(*kinds) > sites - near), "spread")
-    sure = F.least(*kinds) >= sites + near
-    held = lines.select("h1", "h2", *kinds).join(guessed.where(~sure).select("h1", "h2"), ["h1", "h2"], "left_semi")
-    exact = [held.select("h1", "h2", k).distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("h1", "h2") for k in kinds]
-    return guessed.where(sure).select("h1", "h2").unionByName(exact[0].join(exact[1], ["h1", "h2"], "left_semi"))
+    guessed = stored(sketched.where(F.col("n") >= least).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("guess")).where(F.col("guess") > least - near), "spread")
+    close = guessed.where(F.col("guess") < least + near).select("h1", "h2")
+    exact = lines.select("h1", "h2", over).join(close, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    out = stored(guessed.where(F.col("guess") >= least + near).select("h1", "h2").unionByName(exact.select("h1", "h2")), "lines")
+    drop(lines.sparkSession, guessed)
+    return out
 
 
-def _cleaned(rows: DataFrame, sites: int) -> DataFrame:
-    """rows(row, doc, version, site, class, text) to (row, text, n_lines, n_removed)."""
+def _cleaned(rows: DataFrame, sites: int, known: DataFrame | None = None) -> DataFrame:
+    """rows(row, doc, version, site, text) to (row, text, n_lines, n_removed).
+
+    The second count is of texts, or of the classes of known(doc, component) where it has one.
+    """
     spark = rows.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = rows.select("doc", "version", "site", "class", F.posexplode(F.split(text, "\n")).alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
+    lines = rows.select("doc", "version", "site", F.posexplode(F.split(text, "\n")).alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
     # Texts are parted once; what follows reads places and hashes.
-    lines = stored(lines.select("doc", "version", "site", "class", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")), "parted")
-    common = stored(spread_lines(lines, sites), "lines")
-    hits = lines.select("doc", "version", "place", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
+    lines = stored(lines.select("doc", "version", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")), "parted")
+    on_sites = spread_lines(lines, "site", sites)
+    held = lines.join(on_sites, ["h1", "h2"], "left_semi").select("doc", "version", "place", "h1", "h2")
+    if known is not None:
+        held = held.join(known, "doc", "left")
+    by_class = F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("class"), "component")).otherwise(F.col("version")) if known is not None else F.col("version")
+    held = stored(held.select("doc", "version", "place", "h1", "h2", by_class.alias("class")), "held")
+    common = spread_lines(held, "class", sites)
+    hits = held.select("doc", "version", "place", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
     hits = stored(hits.groupBy("doc", "version").agg(F.collect_set("place").alias("places")), "hits")
-    drop(spark, common, lines)
+    drop(spark, lines, on_sites, held, common)
     joined = rows.select("row", "doc", "version", "text").join(hits, ["doc", "version"], "left")
     all_places = lambda parts: F.sequence(F.lit(0), F.size(parts) - 1)
     rest = F.transform(F.array(F.split(text, "\n")), lambda parts: F.array_join(F.transform(F.array_except(all_places(parts), F.col("places")), lambda i: F.get(parts, i)), "\n"))[0]
@@ -71,8 +79,7 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_i
     A null text stays null, with no lines. Rows that repeat doc_id and text get the same result; rows without a
     doc_id are told apart by their texts. Columns of docs that are called n_lines or n_removed are replaced; others can have any name. Empty table: no rows.
     """
-    rows = _keyed(docs, id_col, text_col, site_col).withColumn("class", F.col("version"))
-    return _cleaned(rows, sites).select(*_back(docs, text_col), "n_lines", "n_removed")
+    return _cleaned(_keyed(docs, id_col, text_col, site_col), sites).select(*_back(docs, text_col), "n_lines", "n_removed")
 
 
 def _back(docs: DataFrame, text_col: str) -> list[Column]:
@@ -86,10 +93,8 @@ def remove_spread(docs: DataFrame, classes: DataFrame, sites: int = SITES) -> Da
     of docs with a null or unknown doc_id are classed by text. Every row stays, with a null text if it had one. Empty table: no rows.
     """
     known = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("component_id").alias("component"))
-    rows = _keyed(docs, "doc_id", "text", "source").join(known, "doc", "left")
-    rows = rows.withColumn("class", F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("class"), "component")).otherwise(F.xxhash64(F.lit("text"), "version"))).drop("component")
     kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return _cleaned(stored(rows, "classed"), sites).select(*kept)
+    return _cleaned(_keyed(docs, "doc_id", "text", "source"), sites, known).select(*kept)
 
 
 #: remove_boilerplate over documents, as DuckDB SQL.

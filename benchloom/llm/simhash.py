@@ -193,8 +193,8 @@ def text_key(text: bytes) -> np.int64:
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, fp, bands array<long>, signature binary) for every row.
 
-    signature: the least of the shingles' hashes under each of BANDS * ROWS permutations, 32 bits of it; bands: a
-    hash of each band of it; fp: the shingles' SimHash; text_key: a hash of the lower-cased words.
+    bands: a hash of the least of the shingles' hashes under each of BANDS * ROWS permutations, ROWS of them in a band; signature: a byte
+    of each of these least hashes; fp: the shingles' SimHash; text_key: a hash of the lower-cased words.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -209,9 +209,10 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             with np.errstate(over="ignore"):
                 for at in range(0, len(hashes), 400):
                     np.minimum(least, (hashes[at : at + 400, None] * odd + add).min(axis=0), out=least)
-            signature = (least >> np.uint64(32)).astype("<u4").tobytes()
-            signatures.append(signature)
-            digests = np.array([xxhash.xxh64_intdigest(signature[at : at + 4 * ROWS], b) for b, at in enumerate(range(0, 4 * size, 4 * ROWS))], dtype=np.uint64)
+            values = (least >> np.uint64(32)).astype("<u4")
+            signatures.append(values.astype(np.uint8).tobytes())
+            raw = values.tobytes()
+            digests = np.array([xxhash.xxh64_intdigest(raw[at : at + 4 * ROWS], b) for b, at in enumerate(range(0, 4 * size, 4 * ROWS))], dtype=np.uint64)
             bands.append(digests.view(np.int64))
         return batch_of(doc_id=(batch.column(0), pa.int64()), text_key=(keys, pa.int64()), fp=(fps, pa.int64()), bands=(bands, pa.list_(pa.int64())), signature=(signatures, pa.binary()))
 
@@ -221,11 +222,11 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of places where two signatures agree: an unbiased estimate of the shingles' similarity."""
+    """From the share of places where two signatures agree an unbiased estimate of the shingles' similarity: unlike hashes share a byte once in 256."""
     if not len(a):
         return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(s), dtype="<u4").reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(axis=1))
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pd.Series(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -263,10 +264,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     """
     spark = docs.sparkSession
     sketched = stored(sketches(docs, shingle), "sketches")
-    known = sketched.where("doc_id is not null")
-    classes = stored(known.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("text_key").alias("class_key"), "rep"), (F.col("text_key") == F.col("class_key")) & (F.col("doc_id") == F.col("rep")))
-    reps = stored(reps.select("rep", "text_key", "fp", "bands", "signature").dropDuplicates(["rep"]), "reps")
+    keys = stored(sketched.select("doc_id", "text_key"), "keys")
+    classes = stored(keys.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep")), "classes")
+    # The rows of a class's smallest doc_id have one text: one of them is kept, where the join has brought them together.
+    reps = sketched.join(classes.select(F.col("text_key").alias("key"), "rep"), (F.col("text_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")))
+    reps = stored(reps.dropDuplicates(["key", "rep"]).select("rep", "text_key", "fp", "bands", "signature"), "reps")
+    drop(spark, sketched)
     prints = stored(reps.groupBy("fp").agg(F.min("rep").alias("hub")), "fingerprints")
     by_print = near_links(prints.select("fp", F.col("hub").alias("rep")))
     same_print = reps.select("fp", "rep").join(prints, "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -290,8 +293,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     drop(spark, near, sets, held)
     labels = connected_components(links)
     named = stored(classes.join(labels, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("label", "rep").alias("component_id")), "named")
-    drop(spark, reps, links, labels)
-    return sketched.select("doc_id", "text_key").join(named, "text_key", "left")
+    drop(spark, classes, reps, links, labels)
+    return keys.join(named, "text_key", "left")
 
 
 def keep_one(docs: DataFrame, **options: float) -> DataFrame:
