@@ -179,3 +179,39 @@ def difficulty(tags: Column, hard: tuple[str, ...], medium: tuple[str, ...]) ->
 def tolerant_json(text: Column, most: int = 3) -> Column:
     """A JSON text parsed as variant, with up to `most` closing braces added if that is what it lacks."""
     return F.coalesce(*(F.try_parse_json(F.concat(text, F.lit("}" * k))) for k in range(most + 1)))
+
+
+# Numbers that a translation must keep, and the token that stands for one.
+KEPT_NUMBER, NUMBER_MARK = r"(?U)[+−-]?\d+(?:[.,]\d+)*%?", r"\[\[N_[0-9]{6}\]\]"
+
+
+def _replaced(text: Column, pattern: str, new: Column) -> Column:
+    """The text with its matches of pattern, in their order, replaced by the elements of an array."""
+    gaps = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+
+
+def protect_numbers(paragraphs: Column) -> Column:
+    """struct(paragraphs, tokens): the numbers of a document's array of paragraphs as numbered tokens, and what each stands for."""
+    found = lambda p: F.regexp_extract_all(p, F.lit(KEPT_NUMBER), F.lit(0))
+    mark = lambda n: F.format_string("[[N_%06d]]", n)
+    # The first token of each paragraph is numbered by the numbers before it.
+    firsts = F.transform(paragraphs, lambda p, i: F.aggregate(F.slice(paragraphs, 1, i), F.lit(0), lambda n, q: n + F.size(found(q))))
+    masked = F.zip_with(paragraphs, firsts, lambda p, n: _replaced(p, KEPT_NUMBER, F.transform(found(p), lambda _, k: mark(n + k))))
+    tokens = F.map_from_entries(F.transform(F.flatten(F.transform(paragraphs, found)), lambda v, k: F.struct(mark(k), v)))
+    return F.struct(masked.alias("paragraphs"), tokens.alias("tokens"))
+
+
+def restore_numbers(translated: Column, masked: Column, tokens: Column) -> Column:
+    """struct(paragraphs, error): the numbers put back, if each paragraph still has its tokens, each as often, and no digits besides."""
+    marks = lambda p: F.regexp_extract_all(p, F.lit(NUMBER_MARK), F.lit(0))
+
+    def fault(after: Column, before: Column) -> Column:
+        gone = (strip(after) == "") != (strip(before) == "")
+        moved = F.sort_array(marks(after)) != F.sort_array(marks(before))
+        added = F.regexp_replace(after, NUMBER_MARK, "").rlike(r"(?U)\d")
+        return F.when(gone, "missing_paragraph").when(moved, "numeric_placeholder_changed").when(added, "unprotected_number_added")
+
+    faults = F.when(F.size(translated) != F.size(masked), F.array(F.lit("paragraph_ids_or_order_changed"))).otherwise(F.array_compact(F.zip_with(translated, masked, fault)))
+    back = F.transform(translated, lambda p: _replaced(p, NUMBER_MARK, F.transform(marks(p), lambda m: F.try_element_at(tokens, m))))
+    return F.transform(F.array(faults), lambda f: F.struct(F.when(F.size(f) == 0, back).alias("paragraphs"), F.get(f, 0).alias("error")))[0]

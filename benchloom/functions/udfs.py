@@ -11,7 +11,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -92,45 +91,6 @@ def bind(template: pd.Series, labels: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else bind_template(t, dict(v or {})) for t, v in zip(template, labels, strict=True)], dtype=object)
 
 
-_PROTECTED, _TOKEN = re.compile(r"[+−-]?\d+(?:[.,]\d+)*%?"), re.compile(r"\[\[N_\d{6}\]\]")
-
-
-def protect(paragraphs: list[str]) -> tuple[list[str], dict[str, str]]:
-    """Numbers of a document as numbered tokens, and what each stands for."""
-    tokens: dict[str, str] = {}
-
-    def name(m: re.Match) -> str:
-        token = f"[[N_{len(tokens):06d}]]"
-        tokens[token] = m[0]
-        return token
-
-    return [_PROTECTED.sub(name, p) for p in paragraphs], tokens
-
-
-def restore(translated: list[str], masked: list[str], tokens: dict[str, str]) -> tuple[list[str] | None, str | None]:
-    """(paragraphs, error): the numbers put back, if each paragraph still has its tokens and no other digits."""
-    if len(translated) != len(masked):
-        return None, "paragraph_ids_or_order_changed"
-    for text, before in zip(translated, masked, strict=True):
-        if bool(text.strip()) != bool(before.strip()):
-            return None, "missing_paragraph"
-        if Counter(_TOKEN.findall(text)) != Counter(_TOKEN.findall(before)):
-            return None, "numeric_placeholder_changed"
-        if re.search(r"\d", _TOKEN.sub("", text)):
-            return None, "unprotected_number_added"
-    return [_TOKEN.sub(lambda m: tokens[m[0]], t) for t in translated], None
-
-
-@F.pandas_udf(StructType([StructField("paragraphs", ArrayType(StringType())), StructField("tokens", MapType(StringType(), StringType()))]))
-def protect_numbers(paragraphs: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([protect(list(p) if p is not None else []) for p in paragraphs], columns=["paragraphs", "tokens"])
-
-
-@F.pandas_udf(StructType([StructField("paragraphs", ArrayType(StringType())), StructField("error", StringType())]))
-def restore_numbers(translated: pd.Series, masked: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([restore(list(t), list(m), dict(k)) for t, m, k in zip(translated, masked, tokens, strict=True)], columns=["paragraphs", "error"])
-
-
 @F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, as difflib counts it (an edit distance is not the same)."""
@@ -207,6 +167,34 @@ def repair_json(text: str) -> str | None:
 
 json_repaired = _texts(repair_json, StringType())
 
+_STRING, _BETWEEN = re.compile(r'"(?:[^"\\]|\\.)*"', re.S), str.maketrans("", "", "[]{}:, \t\r\n")
+
+
+def edited_json(text: str, edits: list[tuple[str, str]]) -> tuple[str | None, str | None]:
+    """(JSON text, error) after edits of its punctuation, in turn. Each names a place that occurs once, and may change nothing
+    but brackets, colons, commas and white space outside of strings."""
+    changed = text
+    for old, new in edits:
+        if old == "" or len(changed.split(old)) != 2:
+            return None, "nonunique_edit_anchor"
+        if old.translate(_BETWEEN) != new.translate(_BETWEEN):
+            return None, "edit_changes_nonpunctuation_content"
+        changed = new.join(changed.split(old))
+    if _STRING.findall(changed) != _STRING.findall(text):
+        return None, "edit_changes_json_string_contents"
+    try:
+        json.loads(changed)
+    except ValueError:
+        return None, "still_invalid"
+    return changed, None
+
+
+@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
+def json_edited(text: pd.Series, edits: pd.Series) -> pd.DataFrame:
+    """edited_json over a column of texts and one of arrays of struct(old, new)."""
+    found = [edited_json(t, [(e["old"], e["new"]) for e in es]) if t is not None and es is not None else (None, None) for t, es in zip(text, edits, strict=True)]
+    return pd.DataFrame(found, columns=["json", "error"])
+
 
 @F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
 def image_size(content: pd.Series) -> pd.DataFrame:

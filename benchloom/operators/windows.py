@@ -55,3 +55,8 @@ def interpolated(points: DataFrame, keys: list[str], x: str, y: str, at: float)
     g = points.groupBy(*keys).agg(below.alias("b"), above.alias("a"))
     line = F.col(f"b.{y}") + (F.col(f"a.{y}") - F.col(f"b.{y}")) * F.try_divide(at - F.col(f"b.{x}"), F.col(f"a.{x}") - F.col(f"b.{x}"))
     return g.select(*keys, F.coalesce(line, f"b.{y}", f"a.{y}").alias("value"))
+
+
+def matrix_line(points: DataFrame, keys: list[str], line: str, value: str, over: float) -> DataFrame:
+    """(keys, line, greatest, above): of each row or column of a matrix of points its greatest value, and how many values are over a threshold."""
+    return points.groupBy(*keys, line).agg(F.max(value).alias("greatest"), F.count_if(F.col(value) > over).alias("above"))

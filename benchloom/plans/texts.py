@@ -183,10 +183,9 @@ def ascii_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, text, true as restored from documents")
 def numbers_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers masked over all paragraphs of a document and put back."""
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
-    masked = docs.withColumn("p", udfs.protect_numbers(F.split("text", "\n")))
-    back = masked.withColumn("r", udfs.restore_numbers("p.paragraphs", "p.paragraphs", "p.tokens"))
+    masked = docs.withColumn("p", text.protect_numbers(F.split("text", "\n")))
+    back = masked.withColumn("r", text.restore_numbers(F.col("p.paragraphs"), F.col("p.paragraphs"), F.col("p.tokens")))
     return back.select("doc_id", F.array_join("r.paragraphs", "\n").alias("text"), F.col("r.error").isNull().alias("restored"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,12 +66,28 @@ def csv_rows(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
 
 
 def csv_grid(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """(file, row, column, text): a headerless file as a grid of cells."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x != "")).alias("row", "line"))
+    """(file, row, column, text): a headerless file as a grid of cells; quoted cells may hold separators, quotes and line breaks. Blank lines are no rows."""
     quoted = re.escape(separator)
-    cells = F.regexp_extract_all("line", F.lit(rf'(?:^|{quoted})("(?:[^"]|"")*"|[^{quoted}]*)'), F.lit(1))
-    plain = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-    return lines.select("file", "row", F.posexplode(plain).alias("column", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
+    # A cell with what ends it: a quoted one up to its closing quote, a plain one up to a separator or line break.
+    cell = rf'("(?:[^"]|"")*"|[^{quoted}\r\n]*)({quoted}|\r?\n|\z)'
+    texts, ends = (F.regexp_extract_all("value", F.lit(cell), F.lit(k)) for k in (1, 2))
+    cells = whole.select("file", F.posexplode(F.arrays_zip(texts.alias("text"), ends.alias("end"))).alias("place", "cell")).select("file", "place", "cell.*")
+    return _grid(cells)
+
+
+def _grid(cells: DataFrame) -> DataFrame:
+    at = Window.partitionBy("file").orderBy("place")
+    breaks = F.col("end").rlike("\n")
+    rows = cells.withColumn("line", F.coalesce(F.sum(breaks.cast("int")).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # After the last cell the pattern matches once more, empty, at the text's end, unless that cell is the empty one after a separator.
+    last = F.lag("end").over(at)
+    rows = rows.withColumn("extra", (F.col("text") == "") & (F.col("end") == "") & F.coalesce(last == "", F.lit(False))).where("not extra")
+    by_line = Window.partitionBy("file", "line")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(by_line)).where("n > 1 or text <> ''")
+    rows = rows.withColumns({"row": F.dense_rank().over(Window.partitionBy("file").orderBy("line")) - 1, "column": F.row_number().over(by_line.orderBy("place")) - 1})
+    plain = F.when(F.col("text").startswith('"'), F.replace(F.substring("text", F.lit(2), F.length("text") - 2), F.lit('""'), F.lit('"'))).otherwise(F.col("text"))
+    return rows.select("file", "row", "column", plain.alias("text"))
 
 
 def sources(spark: SparkSession, pattern: str) -> DataFrame:
@@ -91,6 +107,7 @@ def inventory(rows: DataFrame) -> DataFrame:
 
 
 def marker_counts(spark: SparkSession, path: str, markers: dict[str, str]) -> DataFrame:
-    """One row with, for each name, how many files below path match its pattern; contents aren't read."""
+    """(name, files): for each name how many files below path match its pattern; contents aren't read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    return rows.agg(*(F.count_if(F.col("path").rlike(pattern)).alias(name) for name, pattern in markers.items()))
+    found = rows.agg(*(F.count_if(F.col("path").rlike(pattern)).alias(name) for name, pattern in markers.items()))
+    return found.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("files")) for n in markers))))

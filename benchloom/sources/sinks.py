@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import io
+import time
+import uuid
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The file that names a table's current version; bytes that an archive made on the driver may have.
+POINTER, MOST_ZIPPED = "_current", 1 << 28
+
 
 def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None, single: bool = False, mode: str = "error") -> None:
     """JSON lines, non-ASCII as it is; `single` asks for one file, for results of known small size."""
@@ -21,17 +26,38 @@ def write_csv(rows: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def replace_atomically(rows: DataFrame, path: str) -> None:
-    """Writes next to path and renames: readers see the old rows or the new ones, never a part."""
+    """Writes rows as a new version below path and then points to it; `current` reads the version pointed to.
+
+    The pointer is one small file, replaced by a rename that overwrites: readers see the old rows or the new ones, at any moment, never
+    a part and never none. A writer that dies leaves a version that nothing points to. The version before the last is kept for
+    readers that have just begun; older ones are deleted.
+    """
     spark = rows.sparkSession
-    jvm, staging, old = spark.sparkContext._jvm, f"{path}.staging", f"{path}.old"
-    rows.write.mode("overwrite").parquet(staging)
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(Path(old), True)
-    if fs.exists(Path(path)):
-        fs.rename(Path(path), Path(old))
-    fs.rename(Path(staging), Path(path))
-    fs.delete(Path(old), True)
+    jvm, version = spark.sparkContext._jvm, f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows.write.parquet(f"{path}/{version}")
+    Path, conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    root = Path(path)
+    fs = root.getFileSystem(conf)
+    new, pointer = Path(root, f"_{version}.pointer"), Path(root, POINTER)
+    out = fs.create(new, True)
+    out.writeUTF(version)
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(pointer), options)
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.getPath().getName().startswith("version-"))
+    for old in versions[:-2]:
+        fs.delete(Path(root, old), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version that replace_atomically has last pointed to."""
+    jvm = spark.sparkContext._jvm
+    pointer = jvm.org.apache.hadoop.fs.Path(path, POINTER)
+    handle = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(pointer)
+    version = handle.readUTF()
+    handle.close()
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def append_keyed(rows: DataFrame, path: str) -> None:
@@ -40,9 +66,23 @@ def append_keyed(rows: DataFrame, path: str) -> None:
 
 
 def archive(rows: DataFrame, path: str, content: str = "content") -> DataFrame:
-    """Writes each distinct content once, below the first two digits of its hash; returns rows with the hash."""
+    """Adds the distinct contents that the archive at path lacks, below the first two digits of their hash; returns rows with the hash.
+
+    What is there stays. Contents that rows have again are read back, and one that no longer has the hash that it is filed under is an error.
+    Null contents have no hash and aren't archived.
+    """
+    spark = rows.sparkSession
     hashed = rows.withColumn("sha256", F.sha2(content, 256))
-    hashed.select("sha256", content, F.substring("sha256", 1, 2).alias("prefix")).dropDuplicates(["sha256"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
+    mine = hashed.where("sha256 is not null").select("sha256", F.col(content).alias("content"), F.substring("sha256", 1, 2).alias("prefix")).dropDuplicates(["sha256"])
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        there = spark.read.schema("sha256 string, content binary, prefix string").parquet(path)
+        again = there.join(mine.select("prefix", "sha256"), ["prefix", "sha256"], "left_semi")
+        changed = again.where(F.sha2("content", 256) != F.col("sha256")).select("sha256").first()
+        if changed is not None:
+            raise ValueError(f"archived content of {changed[0]} has changed")
+        mine = mine.join(there.select("prefix", "sha256"), ["prefix", "sha256"], "left_anti").select("sha256", "content", "prefix")
+    mine.withColumn("content", F.col("content").cast("binary")).write.mode("append").partitionBy("prefix").parquet(path)
     return hashed.drop(content)
 
 
@@ -56,8 +96,11 @@ def rooted(rows: DataFrame, columns: list[str], prefix: str) -> DataFrame:
     return rows.withColumns({c: F.concat(F.lit(prefix.rstrip("/") + "/"), F.col(c)) for c in columns})
 
 
-def zipped(rows: DataFrame, name: str = "path", content: str = "content") -> tuple[bytes, dict[str, str]]:
-    """(archive, {name: sha256}) of a few files, packed on the driver."""
+def zipped(rows: DataFrame, name: str = "path", content: str = "content", most: int = MOST_ZIPPED) -> tuple[bytes, dict[str, str]]:
+    """(archive, {name: sha256}) of a few files of `most` bytes or less together, packed on the driver; more is an error."""
+    size = rows.agg(F.sum(F.octet_length(content))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} bytes are too many for one archive on the driver ({most})")
     out, manifest = io.BytesIO(), {}
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for r in rows.select(name, content, F.sha2(content, 256).alias("sha")).orderBy(name).toLocalIterator():

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Folders that the keys of a sink are dealt over.
+BUCKETS = 64
+
 
 def watch(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
     """New Parquet files below a folder, as they come."""
@@ -15,7 +18,8 @@ def watch(spark: SparkSession, path: str, schema: StructType, files: int = 100)
 def append_new(results: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "attempt_number") -> None:
     """Adds terminal results of keys that the sink at path doesn't have yet, and stops when all that is there is read.
 
-    A batch that is replayed after a failure overwrites its own part, so each result is written once.
+    A batch that is replayed after a failure overwrites its own part, so each result is written once. Each part is dealt by a hash of
+    the key over BUCKETS folders, and a batch reads the folders of its own keys only.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -23,11 +27,13 @@ def append_new(results: DataFrame, path: str, checkpoint: str, key: str = "id",
         jvm = spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fresh = batch.where("status in ('completed', 'failed')").groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(order, "status")).alias("r")).select("r.*")
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        fresh = batch.where("status in ('completed', 'failed')").groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(order, "status")).alias("r")).select("r.*").withColumn("bucket", bucket)
         if fs.exists(root):
-            done = spark.read.parquet(path).where(F.col("batch") != number).select(key)
+            mine = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS or fewer
+            done = spark.read.parquet(path).where((F.col("batch") != number) & F.col("bucket").isin(mine)).select(key)
             fresh = fresh.join(done, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh.select(*batch.columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -19,7 +19,7 @@ def test_positions_and_splits(spark, tmp_path):
     wanted = rows.where("split = 'test' and row_index = 1").select("file", "row_index")
     assert readers.wanted_rows(rows, wanted, ["id"]).count() == 2
     assert readers.inventory(rows).count() == 3
-    assert readers.marker_counts(spark, str(tmp_path), {"tests": "/test-"}).first().tests == 2
+    assert readers.marker_counts(spark, str(tmp_path), {"tests": "/test-", "none": "/x-"}).collect() == [("tests", 2), ("none", 0)]
     with pytest.raises(FileNotFoundError):
         (tmp_path / "empty").mkdir()
         readers.local_files(spark, str(tmp_path / "empty"))
@@ -37,6 +37,13 @@ def test_csv_grid(spark, tmp_path):
     (tmp_path / "g.csv").write_text('a,"b, ""c""",\n1,2,3\n')
     got = [(r.row, r.column, r.text) for r in readers.csv_grid(spark, str(tmp_path / "g.csv")).orderBy("row", "column").collect()]
     assert got == [(0, 0, "a"), (0, 1, 'b, "c"'), (0, 2, ""), (1, 0, "1"), (1, 1, "2"), (1, 2, "3")]
+    import csv
+
+    content = 'x;"two\nlines; ""quoted""";\r\n\r\n;;\n"";last;'
+    (tmp_path / "h.csv").write_bytes(content.encode())
+    want = [(i, j, cell) for i, line in enumerate(r for r in csv.reader(content.splitlines(True), delimiter=";") if r) for j, cell in enumerate(line)]
+    got = [(r.row, r.column, r.text) for r in readers.csv_grid(spark, str(tmp_path / "h.csv"), ";").orderBy("row", "column").collect()]
+    assert got == want
 
 
 def test_jsonl_keeps_text(spark, tmp_path):
@@ -50,10 +57,20 @@ def test_replace_and_archive(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.replace_atomically(spark.range(3), path)
     sinks.replace_atomically(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
+    assert sinks.current(spark, path).count() == 5
+    old = sinks.current(spark, path)
+    sinks.replace_atomically(spark.range(7), path)
+    assert old.count() == 5 and sinks.current(spark, path).count() == 7 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("version-")]) == 2
     images = spark.createDataFrame([("a", b"1"), ("b", b"1"), ("c", b"2")], "id string, content binary")
     hashed = sinks.archive(images, str(tmp_path / "archive"))
     assert spark.read.parquet(str(tmp_path / "archive")).count() == 2
+    sinks.archive(spark.range(500).select(F.col("id").cast("string").cast("binary").alias("content")), str(tmp_path / "archive"))
+    sinks.archive(spark.range(400, 900).select(F.col("id").cast("string").cast("binary").alias("content")), str(tmp_path / "archive"))
+    kept = spark.read.parquet(str(tmp_path / "archive"))
+    assert kept.count() == kept.select("sha256").distinct().count() == 900
+    spark.createDataFrame([(hashed.first().sha256, b"other")], "sha256 string, content binary").write.mode("append").parquet(str(tmp_path / "archive" / f"prefix={hashed.first().sha256[:2]}"))
+    with pytest.raises(ValueError):
+        sinks.archive(images, str(tmp_path / "archive"))
     current = hashed.where("id = 'c'").select("sha256", F.lit("now").alias("path"))
     old = hashed.select("sha256", F.lit("archive").alias("path"))
     got = {(r.id, r.path, r.archived) for r in identity.archived_content(hashed, current, old).collect()}
@@ -83,6 +100,8 @@ def test_split_views(spark):
 def test_zip_manifest(spark):
     data, manifest = sinks.zipped(spark.createDataFrame([("x", b"1"), ("y", b"2")], "path string, content binary"))
     assert data[:2] == b"PK" and len(manifest) == 2
+    with pytest.raises(ValueError):
+        sinks.zipped(spark.createDataFrame([("x", b"1"), ("y", b"2")], "path string, content binary"), most=1)
 
 
 def test_provider_cache(spark, tmp_path):
@@ -94,6 +113,10 @@ def test_provider_cache(spark, tmp_path):
     assert got["a"] == got["b"] == ("completed", "r1") and got["c"][0] == "failed"
     again = {r.id: r.status for r in providers.ask_missing(rows, spark.read.parquet(path), providers.Replay({"q2": "r2"}), path).collect()}
     assert again == {"a": "completed", "b": "completed", "c": "completed"}
+    # A cache that lies elsewhere counts too.
+    other = spark.createDataFrame([(r.request_sha256, "completed", "known") for r in providers.requests_of(rows, "request").where("id = 'c'").collect()], providers.SCHEMA)
+    elsewhere = {r.id: r.response for r in providers.ask_missing(rows, other, replay, str(tmp_path / "new")).collect()}
+    assert elsewhere == {"a": "r1", "b": "r1", "c": "known"}
 
 
 def test_translation_batches():

@@ -70,15 +70,24 @@ def test_binding():
         udfs.bind_template("[[c]]", {})
 
 
-def test_numbers_protected_and_restored():
+def test_numbers_protected_and_restored(spark):
     source = ["$ 375 million at 5.0% in 2012.", "", "−3 of 4"]
-    masked, tokens = udfs.protect(source)
-    assert not any(c.isdigit() for m in masked for c in udfs._TOKEN.sub("", m))
-    assert udfs.restore(masked, masked, tokens) == (source, None)
-    assert udfs.restore([masked[0].replace("000000", "000001"), *masked[1:]], masked, tokens)[1] == "numeric_placeholder_changed"
-    assert udfs.restore([masked[0] + " 7", *masked[1:]], masked, tokens)[1] == "unprotected_number_added"
-    assert udfs.restore(["", *masked[1:]], masked, tokens)[1] == "missing_paragraph"
-    assert udfs.restore(masked[:1], masked, tokens)[1] == "paragraph_ids_or_order_changed"
+    rows = spark.createDataFrame([(source,)], "p array<string>").select(text.protect_numbers(F.col("p")).alias("m"))
+    masked, tokens = rows.select("m.*").first()
+    assert masked == ["$ [[N_000000]] million at [[N_000001]] in [[N_000002]].", "", "[[N_000003]] of [[N_000004]]"]
+    assert tokens == {"[[N_000000]]": "375", "[[N_000001]]": "5.0%", "[[N_000002]]": "2012", "[[N_000003]]": "−3", "[[N_000004]]": "4"}
+
+    def restored(paragraphs):
+        got = spark.createDataFrame([(paragraphs, masked, tokens)], "t array<string>, m array<string>, k map<string,string>")
+        return tuple(got.select(text.restore_numbers(F.col("t"), F.col("m"), F.col("k")).alias("r")).select("r.*").first())
+
+    assert restored(masked) == (source, None)
+    assert restored(["In [[N_000002]]: [[N_000000]], [[N_000001]]", *masked[1:]])[0][0] == "In 2012: 375, 5.0%"
+    assert restored([masked[0].replace("000000", "000001"), *masked[1:]]) == (None, "numeric_placeholder_changed")
+    assert restored([masked[0] + " 7", *masked[1:]]) == (None, "unprotected_number_added")
+    assert restored([masked[0], "", masked[2] + " ٣"]) == (None, "unprotected_number_added")
+    assert restored(["", *masked[1:]]) == (None, "missing_paragraph")
+    assert restored(masked[:1]) == (None, "paragraph_ids_or_order_changed")
 
 
 def test_json_repair():
@@ -87,6 +96,15 @@ def test_json_repair():
     assert udfs.repair_json("{x}") is None
 
 
+def test_json_edits():
+    broken = '{"x":[1,2]],"code":"a[0]"}'
+    assert udfs.edited_json(broken, [("2]],", "2],")]) == ('{"x":[1,2],"code":"a[0]"}', None)
+    assert udfs.edited_json(broken, [("2]],", "3],")])[1] == "edit_changes_nonpunctuation_content"
+    assert udfs.edited_json(broken, [('"a[0]"', '"a0"')])[1] == "edit_changes_json_string_contents"
+    assert udfs.edited_json(broken, [("]", "")])[1] == udfs.edited_json(broken, [("", "]")])[1] == "nonunique_edit_anchor"
+    assert udfs.edited_json(broken, [])[1] == "still_invalid"
+
+
 def test_localized_numbers(spark):
     cases = [("6th", "第6名", True), ("July 11, 2013", "2013年7月11日", True), ("July 11, 2013", "2013年7月12日", False), ("-8", "8", False), ("4-14 (K-8)", "4-14 岁（幼儿园至 8 年级）", True)]
     rows = spark.createDataFrame(cases, "a string, b string, want boolean")
