@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as str.isspace has it, as a regular-expression class.
+# White space as str.isspace has it, as characters and as a regular-expression class.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 # A plain number, with ASCII digits, thousands in groups of three and either minus sign.
@@ -58,7 +59,7 @@ OPEN_QUESTION = r"(?i)\b(?:explain|describe|why|imply|significance|demonstrate|c
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends; trim() only takes blanks."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:

@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
@@ -28,7 +29,16 @@ def _texts(function: Callable[[str], object], kind) -> Callable:
     return apply
 
 
-nfc = _texts(lambda t: unicodedata.normalize("NFC", t), StringType())
+_nfc = _texts(lambda t: t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t), StringType())
+
+
+def nfc(text: Column | str) -> Column:
+    """The text in Unicode's form C. ASCII is in it already and isn't sent to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    other = F.when(F.char_length(text) != F.octet_length(text), text)
+    return F.coalesce(_nfc(other), text)
+
+
 nfkc_casefold = _texts(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).casefold(), StringType())
 casefold = _texts(str.casefold, StringType())
 

@@ -162,10 +162,12 @@ def revision(old: DataFrame, new: DataFrame, allowed: tuple[str, ...], key: str
 
 
 def judgments(rows: DataFrame) -> DataFrame:
+    """rows(id, verdict, reason, language_compliance, category): known verdicts and compliances, a reason, a category (which may be empty)."""
     checks = [
         where("verdict", rows, ~F.col("verdict").isin(*VERDICTS), "id", F.col("verdict")),
         where("reason", rows, F.trim("reason") == "", "id"),
         where("language_compliance", rows, ~F.col("language_compliance").isin(*COMPLIANCE), "id", F.col("language_compliance")),
+        where("category", rows, F.col("category").isNull(), "id"),
     ]
     return report(rows.sparkSession, checks)
 
@@ -198,11 +200,47 @@ def geometry(boxes: DataFrame, cell: int = 256) -> DataFrame:
     return inside.unionByName(violations("overlap", pairs, F.col("image"), F.col("pair")))
 
 
-def admitted(rows: DataFrame) -> DataFrame:
-    """Variants with `admitted`: bound, laid out inside, glyphs complete, and reviewed well in every language that a case needs."""
-    fine = F.col("bound") & F.col("inside_canvas") & (F.size("missing_glyphs") == 0) & (F.col("review") == "pass")
-    by_case = rows.groupBy("case_id").agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("case_admitted"))
-    return rows.join(by_case, "case_id").withColumn("admitted", F.coalesce(fine, F.lit(False)))
+# What an inherited review of a case and one of a language must have passed, and answer types that need a person.
+CASE_REVIEWS = ("source_fidelity", "answer_preservation", "normal_qa")
+LANGUAGE_REVIEWS = ("translation", "answer_equivalence", "render_readability")
+CURATED_ANSWERS = ("long_text", "structured", "list")
+
+
+def admission(variants: DataFrame, locales: DataFrame, layouts: DataFrame, reviews: DataFrame, language_reviews: DataFrame, new_languages: tuple[str, ...] = ()) -> DataFrame:
+    """variants with `reasons`, the checks that keep each from being accepted, and `accepted` where there is none.
+
+    variants(case_id, id, image_language, query_language, answer_type, question, answer, before boolean: accepted already in the last release);
+    locales(case_id, language, question, answer, issues array, review_flags array): what should be asked, and what is suspicious in it;
+    layouts(case_id, language, inside boolean, missing_glyphs array): of the drawn image; reviews(case_id, CASE_REVIEWS, critical_issues array);
+    language_reviews(case_id, language, LANGUAGE_REVIEWS, query_fluency, issues array). What a variant has no row of isn't passed.
+    A review or locale counts for the language asked in and the language drawn; new languages must also read fluently.
+    """
+    empty = lambda c: F.coalesce(F.size(c) == 0, F.lit(False))
+    passed = lambda names: F.forall(F.array(*map(F.col, names)), lambda r: r.eqNullSafe(F.lit("pass")))
+    fluent = ~F.col("language").isin(*new_languages) | F.col("query_fluency").eqNullSafe(F.lit("pass"))
+    texts = locales.select("case_id", F.col("language").alias("query_language"), F.struct(F.col("question").alias("question"), F.col("answer").alias("answer"), empty(F.col("review_flags")).alias("uncurated")).alias("asked"))
+    clean = locales.select("case_id", "language", empty(F.col("issues")).alias("clean"))
+    spoken = language_reviews.select("case_id", "language", (passed(LANGUAGE_REVIEWS) & fluent & empty(F.col("issues"))).alias("spoken"))
+    by_language = clean.join(spoken, ["case_id", "language"], "left").select("case_id", "language", F.struct("clean", F.coalesce("spoken", F.lit(False)).alias("spoken")).alias("good"))
+    drawn = layouts.select("case_id", F.col("language").alias("image_language"), (F.coalesce("inside", F.lit(False)) & empty(F.col("missing_glyphs"))).alias("laid_out"))
+    whole = reviews.select("case_id", (passed(CASE_REVIEWS) & empty(F.col("critical_issues"))).alias("sound"))
+    rows = variants.join(texts, ["case_id", "query_language"], "left").join(drawn, ["case_id", "image_language"], "left").join(whole, "case_id", "left")
+    for side in ("query", "image"):
+        rows = rows.join(by_language.select("case_id", F.col("language").alias(f"{side}_language"), F.col("good").alias(f"{side}_good")), ["case_id", f"{side}_language"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    both = lambda name: yes(F.col(f"query_good.{name}")) & yes(F.col(f"image_good.{name}"))
+    old = ~F.col("query_language").isin(*new_languages) & ~F.col("image_language").isin(*new_languages)
+    checks = {
+        "not_bound": yes((F.col("question") == F.col("asked.question")) & (F.col("answer") == F.col("asked.answer"))),
+        "render_geometry_or_glyphs": yes(F.col("laid_out")),
+        "source_review": yes(F.col("sound")),
+        "language_review": both("spoken"),
+        "localization": both("clean"),
+        "needs_curation": yes(F.col("asked.uncurated")) & ~yes(F.col("answer_type").isin(*CURATED_ANSWERS)),
+        "not_accepted_before": ~old | yes(F.col("before")),
+    }
+    reasons = F.array_compact(F.array(*(F.when(~ok, name) for name, ok in checks.items())))
+    return rows.select(*variants.columns, reasons.alias("reasons")).withColumn("accepted", F.size("reasons") == 0)
 
 
 def code_data(rendered: DataFrame, specs: DataFrame) -> DataFrame:
@@ -254,20 +292,177 @@ def clean_release(rows: DataFrame, views: dict[str, DataFrame], files: DataFrame
     return report(rows.sparkSession, checks)
 
 
+def disagree(rows: DataFrame, other: DataFrame, on: list[str], fields: dict[str, tuple[list[str], list[str]]], key: str, detail: str | None = None) -> list[DataFrame]:
+    """For each name of fields, the rows whose first columns differ, null being a value, from the other relation's second columns; rows that it lacks are left out."""
+    theirs = other.select(*on, F.struct(*(F.col(c).alias(c) for c in other.columns if c not in on), F.lit(1).alias("there_")).alias("theirs_"))
+    joined = rows.join(theirs, on)
+    same = lambda mine, his: reduce(Column.__and__, (F.col(f"`{a}`").eqNullSafe(F.col("theirs_").getField(b)) for a, b in zip(mine, his, strict=True)))
+    return [violations(name, joined.where(~same(mine, his)), F.col(key), F.col(detail) if detail else F.lit(None)) for name, (mine, his) in fields.items()]
+
+
+def absent(name: str, rows: DataFrame, other: DataFrame, on: list[str], key: str, detail: str | None = None) -> DataFrame:
+    """Rows that another relation has no partner of."""
+    return violations(name, rows.join(other.select(*on).distinct(), on, "left_anti"), F.col(key), F.col(detail) if detail else F.lit(None))
+
+
+def source_alignment(cases: DataFrame, records: DataFrame) -> list[DataFrame]:
+    """cases(case_id, file, row_index, slot, question, answer, record, image_sha256) against the records(file, row_index, question, answer, record, image_sha256) read anew."""
+    from .identity import short_id
+
+    rows = cases.withColumn("expected_", short_id(F.col("file"), F.col("row_index"), F.col("slot")))
+    return [
+        unique("duplicate_case_ids", cases, ["case_id"]),
+        absent("source_rows_missing", cases, records, ["file", "row_index"], "case_id", "file"),
+        where("source_locator_id_mismatch", rows, F.col("case_id") != F.col("expected_"), "case_id", F.col("expected_")),
+        *disagree(cases, records, ["file", "row_index"], {"raw_record_mismatch": (["record"], ["record"]), "raw_qa_mismatch": (["question", "answer"], ["question", "answer"])}, "case_id"),
+        *disagree(cases.where("image_sha256 is not null"), records, ["file", "row_index"], {"raw_image_mismatch": (["image_sha256"], ["image_sha256"])}, "case_id"),
+    ]
+
+
+def request_alignment(links: DataFrame, requests: DataFrame) -> list[DataFrame]:
+    """links(case_id, request_sha256, payload_sha256) of what cases say they were made by, against requests(request_sha256, case_id, sha256, payload_sha256).
+
+    A request that isn't there any more is a warning: see `unavailable`.
+    """
+    named = links.where("request_sha256 is not null").withColumn("named", F.col("request_sha256"))
+    own = requests.select("request_sha256", F.col("case_id").alias("asked_for"), F.col("sha256").alias("found"), F.col("payload_sha256").alias("asked_with"))
+    fields = {"api_case_id_mismatch": (["case_id"], ["asked_for"]), "api_fingerprint_mismatch": (["named"], ["found"]), "request_input_mismatch": (["payload_sha256"], ["asked_with"])}
+    return disagree(named, own, ["request_sha256"], fields, "case_id", "request_sha256")
+
+
+def unavailable(links: DataFrame, requests: DataFrame) -> DataFrame:
+    """Warnings: requests that cases name and that are no longer kept."""
+    return absent("historical_api_request_unavailable", links.where("request_sha256 is not null"), requests, ["request_sha256"], "case_id", "request_sha256")
+
+
+def correction_alignment(cases: DataFrame, answers: DataFrame, corrections: DataFrame) -> list[DataFrame]:
+    """corrections(case_id, original_answer, file, row_index, corrected_answer) against cases(case_id, answer, file, row_index) and normalised answers(case_id, answer, answer_template)."""
+    return [
+        *disagree(corrections, cases, ["case_id"], {"adjudication_source_mismatch": (["original_answer", "file", "row_index"], ["answer", "file", "row_index"])}, "case_id"),
+        *disagree(corrections, answers, ["case_id"], {"adjudication_output_mismatch": (["corrected_answer", "corrected_answer"], ["answer", "answer_template"])}, "case_id"),
+    ]
+
+
+def output_alignment(locales: DataFrame, outputs: DataFrame, specs: DataFrame, answers: DataFrame) -> list[DataFrame]:
+    """Locales against what translators said and what they started from.
+
+    locales(case_id, language, question, question_original, answer_template, labels, polished: the polished question or null); outputs(case_id, language, question, answer_template,
+    labels), what the requests of a locale gave; specs(case_id, labels); answers(case_id, question, answer_template). Labels are JSON texts.
+    """
+    first = locales.withColumn("said", F.coalesce("question_original", "question"))
+    english = first.where("language = 'en'")
+    translated = {"translation_qa_output_mismatch": (["said", "answer_template"], ["question", "answer_template"]), "translation_labels_output_mismatch": (["labels"], ["labels"])}
+    return [
+        *disagree(first, outputs, ["case_id", "language"], translated, "case_id", "language"),
+        *disagree(english, specs, ["case_id"], {"english_locale_labels_mismatch": (["labels"], ["labels"])}, "case_id"),
+        *disagree(english, answers, ["case_id"], {"english_locale_source_mismatch": (["said", "answer_template"], ["question", "answer_template"])}, "case_id"),
+        where("query_polish_output_mismatch", locales.where("polished is not null"), F.col("question") != F.col("polished"), "case_id", F.col("language")),
+    ]
+
+
+def drawing_alignment(renderers: DataFrame, specs: DataFrame, locales: DataFrame, bases: DataFrame) -> list[DataFrame]:
+    """Frozen renderers(case_id, folder_language, base_id, language, data, labels) against specs(case_id, data, drawn_data), locales' labels and bases(case_id, base_id)."""
+    named = locales.select("case_id", F.col("language").alias("folder_language"), F.col("labels").alias("own_labels"))
+    return [
+        where("render_data_changed", specs, ~F.col("data").eqNullSafe(F.col("drawn_data")), "case_id"),
+        absent("renderer_missing", named, renderers, ["case_id", "folder_language"], "case_id", "folder_language"),
+        where("exported_code_language_mismatch", renderers, F.col("language") != F.col("folder_language"), "case_id", F.col("folder_language")),
+        *disagree(renderers, bases, ["case_id"], {"exported_code_base_mismatch": (["base_id"], ["base_id"])}, "case_id", "folder_language"),
+        *disagree(renderers, specs, ["case_id"], {"exported_code_data_mismatch": (["data"], ["drawn_data"])}, "case_id", "folder_language"),
+        *disagree(renderers, named, ["case_id", "folder_language"], {"exported_code_labels_mismatch": (["labels"], ["own_labels"])}, "case_id", "folder_language"),
+    ]
+
+
+def variant_alignment(variants: DataFrame, cases: DataFrame, localized: DataFrame, images: DataFrame, corrections: DataFrame | None = None, pivots: tuple[str, ...] = ("en", "zh")) -> list[DataFrame]:
+    """variants(case_id, variant_id, base_id, image_language, query_language, answer_language, question, answer, source_question, source_answer, image_path, image_sha256)
+    against cases(case_id, base_id, question, answer), localized(case_id, query_language, question, answer), images(case_id, image_language, path, sha256)."""
+    from .identity import variant_id
+
+    expected = variant_id(F.col("base_id"), F.col("image_language"), F.col("query_language"))
+    asked = F.col("query_language").isin(*pivots) | (F.col("query_language") == F.col("image_language"))
+    if corrections is not None:
+        fixed = corrections.select("case_id", F.col("corrected_answer").alias("fixed_"))
+        cases = cases.join(fixed, "case_id", "left").withColumn("answer", F.coalesce("fixed_", "answer")).drop("fixed_")
+    return [
+        unique("duplicate_variant_ids", variants, ["variant_id"]),
+        where("variant_identity_mismatch", variants, (F.col("variant_id") != expected) | (F.col("answer_language") != F.col("query_language")) | ~asked, "variant_id"),
+        *disagree(variants, cases, ["case_id"], {"variant_base_mismatch": (["base_id"], ["base_id"]), "variant_original_qa_mismatch": (["source_question", "source_answer"], ["question", "answer"])}, "variant_id"),
+        absent("variant_locale_missing", variants, localized, ["case_id", "query_language"], "variant_id", "query_language"),
+        *disagree(variants, localized, ["case_id", "query_language"], {"variant_localized_qa_mismatch": (["question", "answer"], ["question", "answer"])}, "variant_id"),
+        absent("variant_image_missing", variants, images, ["case_id", "image_language"], "variant_id", "image_language"),
+        *disagree(variants, images, ["case_id", "image_language"], {"variant_image_mismatch": (["image_path", "image_sha256"], ["path", "sha256"])}, "variant_id"),
+    ]
+
+
+def validation_alignment(references: DataFrame, variants: DataFrame) -> list[DataFrame]:
+    """references(id, case_id, query, answer, image_language, query_language, image_path, image_sha256) against the variants that they were made of."""
+    own = variants.withColumnRenamed("variant_id", "id")
+    qa = ["case_id", "question", "answer", "image_language", "query_language"]
+    return [
+        same_keys("validation_variant_set_mismatch", {"references": references, "variants": own}, ["id"]),
+        *disagree(references, own, ["id"], {"validation_qa_mismatch": (["case_id", "query", *qa[2:]], qa), "validation_image_mismatch": (["image_path", "image_sha256"],) * 2}, "id"),
+    ]
+
+
+def run_alignment(snapshot: DataFrame, requests: DataFrame, references: DataFrame) -> list[DataFrame]:
+    """A run's snapshot of references and its requests(id, question, image_path, image_sha256) against the references now."""
+    columns = [c for c in references.columns if c != "id"]
+    fields = ["query", "image_path", "image_sha256"]
+    return [
+        absent("evaluation_snapshot_unknown", snapshot, references, ["id"], "id"),
+        *disagree(snapshot, references, ["id"], {"evaluation_snapshot_mismatch": (columns, columns)}, "id"),
+        absent("evaluation_request_unknown", requests, references, ["id"], "id"),
+        *disagree(requests, references, ["id"], {"evaluation_request_mismatch": (["question", *fields[1:]], fields)}, "id"),
+    ]
+
+
+def semantic_flags(references: DataFrame) -> DataFrame:
+    """(case_id, variants): cases that a review failed or doubted; references(case_id, id, audit struct of CASE_REVIEWS)."""
+    doubted = F.exists(F.array(*(F.col(f"audit.{f}") for f in CASE_REVIEWS)), lambda r: r.isin("fail", "uncertain"))
+    return references.where(F.coalesce(doubted, F.lit(False))).groupBy("case_id").agg(F.count(F.lit(1)).alias("variants"))
+
+
+def dependencies(references: DataFrame, affected: DataFrame, images: DataFrame, languages: int) -> DataFrame:
+    """What must hold before context is added to affected(case_id) cases: all their configurations, images as recorded, one finite numeric answer.
+
+    references(id, case_id, query_language, image_language, answer, image_path, image_sha256), images(image_path, found_sha256).
+    """
+    mine = references.join(affected.select("case_id").distinct(), "case_id", "left_semi")
+    counted = mine.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_language").alias("asked"), F.countDistinct("answer").alias("answers"), F.min("answer").alias("answer"))
+    number = F.col("answer").try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))) & F.col("answer").rlike(r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\z")
+    return report(references.sparkSession, [
+        absent("affected_case_unknown", affected, references, ["case_id"], "case_id"),
+        where("incomplete_affected_configuration_coverage", counted, (F.col("n") != 3 * languages - 2) | (F.col("asked") != languages), "case_id", F.col("n")),
+        *disagree(mine, images, ["image_path"], {"affected_image_changed": (["image_sha256"], ["found_sha256"])}, "id", "image_path"),
+        where("affected_answers_need_language_review", counted, F.col("answers") > 1, "case_id", F.col("answers")),
+        where("affected_non_numeric_answer_requires_translation_review", counted.where("answers = 1"), ~finite, "case_id", F.col("answer")),
+    ])
+
+
+def weighted_means(rows: DataFrame, parts: str, value: str = "mean", weight: str = "n", by: list[str] | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Groups whose parts' weighted mean isn't the whole's: rows(by, parts, mean, n), the whole where `parts` is null."""
+    keys = by or []
+    whole, part = F.col(parts).isNull(), F.col(parts).isNotNull()
+    found = rows.groupBy(*keys).agg(F.max(F.when(whole, F.col(value))).alias("whole"), F.try_divide(F.sum(F.when(part, F.col(value) * F.col(weight))), F.sum(F.when(part, F.col(weight)))).alias("parts"))
+    key = F.concat_ws("/", *keys) if keys else F.lit("all")
+    return violations("subgroups_equal_whole", found.where(~F.coalesce(F.abs(F.col("whole") - F.col("parts")) <= tolerance, F.lit(False))), key, F.concat_ws(" / ", "parts", "whole"))
+
+
 def alignment(references: DataFrame, sources: DataFrame, rendered: DataFrame) -> DataFrame:
-    """References against the records they come from and the renderers that draw them.
+    """The part of the alignment that a release alone allows: references against the records they come from and the renderers that draw them.
 
     references(id, case_id, base_id, source, row_index, query, upstream_question, upstream_answer, image_language),
-    sources(base_id, source, row_index, question, answer), rendered(base_id, language, data, labels).
+    sources(base_id, source, row_index, question, answer), rendered(base_id, language, data, labels). With a build's files, unite the
+    lists of source_, request_, correction_, output_, drawing_, variant_, validation_ and run_alignment by `report`.
     """
-    s = sources.select("base_id", *(F.col(c).alias(f"__{c}") for c in ("source", "row_index", "question", "answer")))
-    rows = references.join(s, "base_id", "left")
-    drawn = rendered.select("base_id", F.col("language").alias("image_language")).distinct()
+    drawn = rendered.withColumnRenamed("language", "image_language")
+    fields = {"source_changed": (["source"], ["source"]), "row_changed": (["row_index"], ["row_index"]), "question_changed": (["upstream_question"], ["question"]), "answer_changed": (["upstream_answer"], ["answer"])}
     checks = [
         unique("unique_ids", references, ["id"]),
-        violations("source_missing", rows.where("__source is null"), F.col("id"), F.col("base_id")),
-        *(where(f"{n}_changed", rows.where("__source is not null"), ~F.col(a).eqNullSafe(F.col(f"__{b}")), "id") for n, a, b in (("source", "source", "source"), ("row", "row_index", "row_index"), ("question", "upstream_question", "question"), ("answer", "upstream_answer", "answer"))),
-        violations("renderer_missing", references.join(drawn, ["base_id", "image_language"], "left_anti"), F.col("id"), F.col("image_language")),
+        absent("source_missing", references, sources, ["base_id"], "id", "base_id"),
+        *disagree(references, sources, ["base_id"], fields, "id"),
+        absent("renderer_missing", references, drawn, ["base_id", "image_language"], "id", "image_language"),
         constant("data_constant", rendered, ["base_id"], ["data"]),
         no_placeholders("unbound", references, "id", ["query"]),
     ]

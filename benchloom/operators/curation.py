@@ -159,6 +159,34 @@ def corrected(rows: DataFrame, corrections: DataFrame, column: str = "answer", k
     return joined.withColumn(column, F.coalesce("__new", column)).select(*rows.columns), changes
 
 
+def corrected_release(cases: DataFrame, variants: DataFrame, references: DataFrame, corrections: DataFrame) -> dict[str, DataFrame]:
+    """A correction carried through a release: cases, variants, references, and the log of changed variants.
+
+    corrections(case_id, id, file, row_index, original_answer, corrected_answer) must name their case's record: others are in `errors` and change
+    nothing. cases(case_id, file, row_index, answer), variants(variant_id, case_id, answer, source_answer), references(id, case_id, answer, original_answer).
+    Every variant's question and image stay, so that predictions can be scored again without being made again.
+    """
+    record = cases.select("case_id", *(F.col(c).alias(f"own_{c}") for c in ("file", "row_index", "answer")))
+    met = corrections.join(record, "case_id", "left")
+    fits = F.coalesce((F.col("file") == F.col("own_file")) & (F.col("row_index") == F.col("own_row_index")) & (F.col("original_answer") == F.col("own_answer")), F.lit(False))
+    good = met.where(fits).select("case_id", F.col("id").alias("fix_id"), F.col("corrected_answer").alias("fix"))
+
+    def carried(rows: DataFrame, columns: list[str], upstream: str | None = None) -> DataFrame:
+        joined = rows.join(good, "case_id", "left")
+        before = {upstream: F.when(F.col("fix_id").isNotNull(), F.col(columns[-1]))} if upstream else {}
+        changed = {**before, **{c: F.coalesce("fix", c) for c in columns}, "reference_correction_id": F.col("fix_id")}
+        return joined.withColumns(changed).drop("fix_id", "fix")
+
+    changed = variants.join(good, "case_id").select(F.col("variant_id").alias("id"), "case_id", F.col("answer").alias("old_answer"), F.col("fix").alias("corrected_answer"), F.lit(True).alias("prediction_reusable"))
+    return {
+        "cases": carried(cases, ["answer"]),
+        "variants": carried(variants, ["answer", "source_answer"], "upstream_source_answer"),
+        "references": carried(references, ["answer", "original_answer"], "upstream_original_answer"),
+        "changes": changed,
+        "errors": met.where(~fits).select("case_id", "id"),
+    }
+
+
 def release_facts(rows: DataFrame) -> DataFrame:
     """One row: whether all texts lie inside, whether each case has one data hash, and the distinct missing glyphs."""
     per_case = rows.groupBy("case_id").agg((F.countDistinct("data_sha256") == 1).alias("one"), F.bool_and("text_inside_canvas").alias("inside"), F.array_distinct(F.flatten(F.collect_set("missing_glyphs"))).alias("glyphs"))

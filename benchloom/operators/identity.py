@@ -79,3 +79,19 @@ def nearest_revision(rows: DataFrame, chain: list[str], key: str) -> DataFrame:
     depth = F.array_position(F.array(*map(F.lit, chain)), F.col("revision"))
     ranked = rows.withColumn("__depth", depth).where("__depth > 0")
     return ranked.groupBy(key).agg(F.min_by(F.struct(*rows.columns), "__depth").alias("r")).select("r.*")
+
+
+def with_identity(candidates: DataFrame, identities: DataFrame, key: str = "id") -> DataFrame:
+    """candidates with their identity columns; a candidate without exactly one identity is an error when it is read."""
+    own = [c for c in identities.columns if c != key]
+    found = identities.groupBy(key).agg(F.count(F.lit(1)).alias("n_"), F.min(F.struct(*own)).alias("own_"))
+    joined = candidates.join(found, key, "left")
+    checked = joined.where(F.assert_true(F.coalesce(F.col("n_") == 1, F.lit(False)), F.concat(F.lit("no single identity of "), F.col(key).cast("string"))).isNull())
+    return checked.select(*candidates.columns, "own_.*")
+
+
+def with_evidence(pool: DataFrame, manifest: DataFrame) -> DataFrame:
+    """pool(file, row_index, slot, ...) with `provenance` from manifest(file, repo, revision, sha256), a row for each downloaded file."""
+    entry = manifest.select("file", F.col("repo").alias("repo_"), F.col("revision").alias("revision_"), F.col("sha256").alias("sha256_"))
+    made = F.struct(F.col("repo_").alias("repo"), F.col("revision_").alias("revision"), F.col("sha256_").alias("file_sha256_at_download"), "file", "row_index", "slot")
+    return pool.join(entry, "file").withColumn("provenance", made).drop("repo_", "revision_", "sha256_")

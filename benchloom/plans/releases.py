@@ -91,12 +91,27 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.representatives(variants(spark, sf_dir)).select("case_id", "image_language", "query_language")
 
 
-@query("select 0::bigint as violations where false")
+@query("""select 'configurations_of_case' as "check", 'src3' as key, '9, expected 10' as detail
+union all select 'configurations_of_case', 'src5', '11, expected 10' union all select 'unique_ids', 'variant_' || sha256('["src5", "en", "fr", "fr"]'), 'rows: 2' union all select 'unique_configurations', 'src5/en/fr', 'rows: 2'
+union all select 'one_hash_for_image', 'src7/de', 'image_sha256' union all select 'files', 'src7/es', 'missing' union all select 'files', '../src9/en', 'missing' union all select 'files', '../src9/en', 'outside the root'""")
 def release_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fan-out with one variant lost, one twice, one image of two hashes, one file lost and one path that leaves the root."""
+    whole = variants(spark, sf_dir).withColumn("id", F.col("variant_id"))
+    cell = lambda c, i, q: (F.col("case_id") == c) & (F.col("image_language") == i) & (F.col("query_language") == q)
+    rows = whole.where(~cell("src3", "es", "en")).unionByName(whole.where(cell("src5", "en", "fr")))
+    rows = rows.withColumn("image_sha256", F.when(cell("src7", "de", "en"), "other").otherwise(F.col("image_sha256")))
+    rows = rows.withColumn("image_path", F.when((F.col("case_id") == "src9") & (F.col("image_language") == "en"), F.concat(F.lit("../"), "image_path")).otherwise(F.col("image_path")))
+    files = whole.select(F.col("image_path").alias("path")).distinct().where("path <> 'src7/es'")
+    return audit.release(rows, files, 20, 4)
+
+
+@query("select 'none' as state, 0 as violations")
+def release_audit_of_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole fan-out has no violations."""
     rows = variants(spark, sf_dir).withColumn("id", F.col("variant_id"))
     n = rows.select("image_language").distinct().count()
-    return audit.release(rows, None, rows.select("case_id").distinct().count(), n).select(F.lit(0).cast("long").alias("violations"))
+    found = audit.release(rows, rows.select(F.col("image_path").alias("path")).distinct(), rows.select("case_id").distinct().count(), n)
+    return found.agg(F.lit("none").alias("state"), F.count(F.lit(1)).alias("violations"))
 
 
 @query(f"with {VARIANTS}, k as (select case_id, image_language, count(*) as n from v where query_language <> 'fr' or image_language <> 'de' group by all) select case_id, sum(n)::bigint as n from k group by case_id having sum(n) <> 10")

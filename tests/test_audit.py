@@ -47,7 +47,7 @@ def test_run(spark):
 
 def test_judgments(spark):
     rows = spark.createDataFrame([("a", "equivalent", "r", "pass"), ("b", "maybe", "r", "pass"), ("c", "different", " ", "pass"), ("d", "different", "r", None)], "id string, verdict string, reason string, language_compliance string")
-    assert {(r.check, r.key) for r in audit.judgments(rows).collect()} == {("verdict", "b"), ("reason", "c"), ("language_compliance", "d")}
+    assert {(r.check, r.key) for r in audit.judgments(rows.withColumn("category", F.when(F.col("id") != "a", ""))).collect()} == {("category", "a"), ("verdict", "b"), ("reason", "c"), ("language_compliance", "d")}
 
 
 def test_classifications(spark):
