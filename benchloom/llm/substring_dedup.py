@@ -140,11 +140,15 @@ def matched(grams: DataFrame) -> DataFrame:
     """grams(doc, version, anchor, start, offset, windows, is_hub) to (doc, version, start, windows, same array<boolean>): every seed but its
     anchor's first, and which of its windows are inside the match with that one."""
     hubs = grams.where("is_hub").select("anchor", F.col("offset").alias("hub_offset"), F.col("windows").alias("hub_windows")).dropDuplicates(["anchor"])
+    # Stored first, as in surroundings(): a hot anchor's seeds are then split over tasks.
+    hubs = stored(hubs, "hubs")
     held = grams.where("not is_hub").join(hubs, "anchor")
     # Equal windows have the anchor at the same place, so that a window faces the first occurrence's window at the same distance from it.
     facing = lambda i: i + F.col("hub_offset") - F.col("offset")
     same = F.transform("windows", lambda w, i: (facing(i) >= 0) & F.coalesce(F.get("hub_windows", F.greatest(facing(i), F.lit(0))) == w, F.lit(False)))
-    return held.select("doc", "version", "start", "windows", same.alias("same"))
+    out = stored(held.select("doc", "version", "start", "windows", same.alias("same")), "matched")
+    drop(grams.sparkSession, hubs)
+    return out
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     grams = arrow_map(texts.join(places, ["doc", "version"]), _window_rows, "doc long, version long, anchor long, start int, offset int, is_hub boolean, windows array<long>")
     grams = stored(grams, "windows")
     drop(spark, classes)
-    held = stored(matched(grams), "matched")
+    held = matched(grams)
     drop(spark, grams)
     at = lambda wanted: F.filter(F.transform("same", lambda s, i: F.when(s == F.lit(wanted), i)), lambda i: i.isNotNull())
     inside = held.select("doc", "version", "start", at(True).alias("at")).where("size(at) > 0")
