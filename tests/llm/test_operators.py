@@ -398,6 +398,19 @@ def test_html_wrappers_and_parts():
     assert html_extract.extract(share) == f"{want}\nBefore it and after it.\nThen, this."
 
 
+def test_html_ratios_without_names(spark, sf_dir, monkeypatch):
+    """With the lists of names and of parts emptied the paths' ratios alone have to find the articles; without their threshold none is found."""
+    pages = [r.html for r in queries.table(spark, sf_dir, "pages").collect()]
+    want = [html_extract.extract(p) for p in pages]
+    monkeypatch.setattr(html_extract, "NOT_CONTENT", frozenset())
+    plain = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
+    right = lambda rows, **options: sum(html_extract.extract(p, **options) == w for p, w in zip(rows, want, strict=True)) / len(want)
+    assert right(pages) >= 0.9 and right(plain) >= 0.75
+    assert right(pages, threshold=0.0) <= 0.05 and right(plain, threshold=0.0) <= 0.05
+    monkeypatch.setattr(html_extract, "SKIPPED", html_extract.RAW | frozenset({"head", "template", "svg"}))
+    assert right(pages) >= 0.7 and right(pages, threshold=0.0) == 0
+
+
 def test_html_pages(spark, sf_dir):
     rows = {r.page_id: r.html for r in queries.table(spark, sf_dir, "pages").collect()}
     import html
