@@ -370,3 +370,25 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("request", F.col("text"))
     known = providers.requests_of(rows.where("conv_id % 2 = 0"), "request").select("request_sha256", F.lit("completed").alias("status"), F.concat(F.lit("said: "), "text").alias("response")).distinct()
     return providers.ask_missing(rows, known, lambda request: f"said: {request}", folder(spark, "answers")).select("conv_id", "turn", "response")
+
+
+@query("""select c_custkey::varchar as id, case when c_custkey % 4 = 3 then 'failed' else 'completed' end as status, case c_custkey % 4 when 0 then 'five' when 1 then 'plain five' when 2 then 'late' end as prediction,
+case c_custkey % 4 when 0 then 1 when 1 then 2 when 2 then 4 end as selected_attempt, case c_custkey % 4 when 0 then 1 when 1 then 2 when 2 then 4 else 1 end as attempts, case when c_custkey % 4 = 3 then 'ProviderError' end as error_type from customer""")
+def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in JSON, answers that need the plain call, busy providers that a second run goes on with, and requests that are refused."""
+    ship(spark)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("request"))
+
+    def busy(request: str, mode: str) -> str:
+        kind = int(request) % 4
+        if kind > 1:
+            raise providers.ProviderError("busy" if kind == 2 else "bad request", http_status=503 if kind == 2 else 400)
+        return '```json\n{"answer": "five"}\n```' if kind == 0 else "plain five"
+
+    first = providers.infer(rows, busy, providers.Policy(tries=3, delay=0.0, interval=0.0, workers=4))
+    from ..storage import stored
+
+    log = stored(first, "attempts")
+    left = rows.where("id % 4 = 2")
+    more = providers.infer(left, lambda request, mode: '{"answer": "late"}', providers.Policy(tries=11, delay=0.0, interval=0.0, workers=4), log)
+    return providers.predictions(log.unionByName(more))
