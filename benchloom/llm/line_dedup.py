@@ -9,6 +9,8 @@ Everything is built of DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,26 +38,31 @@ def spread_lines(lines: DataFrame, over: str, least: int) -> DataFrame:
     return out
 
 
-def _cleaned(rows: DataFrame, sites: int, known: DataFrame | None = None) -> DataFrame:
-    """rows(row, doc, version, site, text) to (row, text, n_lines, n_removed).
-
-    The second count is of texts, or of the classes of known(doc, component) where it has one.
-    """
+def _cleaned(rows: DataFrame, sites: int, near_copies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """rows(row, doc, version, site, text) to (row, text, n_lines, n_removed)."""
     spark = rows.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = rows.select("doc", "version", "site", F.posexplode(F.split(text, "\n")).alias("place", "line")).withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
     # Texts are parted once; what follows reads places and hashes.
     lines = stored(lines.select("doc", "version", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")), "parted")
     on_sites = spread_lines(lines, "site", sites)
-    held = lines.join(on_sites, ["h1", "h2"], "left_semi").select("doc", "version", "place", "h1", "h2")
-    if known is not None:
-        held = held.join(known, "doc", "left")
-    by_class = F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("class"), "component")).otherwise(F.col("version")) if known is not None else F.col("version")
-    held = stored(held.select("doc", "version", "place", "h1", "h2", by_class.alias("class")), "held")
-    common = spread_lines(held, "class", sites)
+    held = stored(lines.join(on_sites, ["h1", "h2"], "left_semi").select("doc", "version", "place", "h1", "h2"), "held")
+    common = spread_lines(held, "version", sites)
+    drop(spark, lines, on_sites)
+    if near_copies is not None:
+        # Classes are no more than texts: only lines of so many texts, and the documents that hold them, need them.
+        wide = stored(held.join(common, ["h1", "h2"], "left_semi"), "wide")
+        drop(spark, held, common)
+        holders = rows.join(wide.select("doc", "version").distinct(), ["doc", "version"], "left_semi")
+        holders = stored(holders.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text"), "holders")
+        known = near_copies(holders).where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("component_id").alias("component"))
+        by_class = F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("class"), "component")).otherwise(F.col("version"))
+        held = stored(wide.join(known, "doc", "left").select("doc", "version", "place", "h1", "h2", by_class.alias("class")), "held")
+        common = spread_lines(held, "class", sites)
+        drop(spark, wide, holders)
     hits = held.select("doc", "version", "place", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
     hits = stored(hits.groupBy("doc", "version").agg(F.collect_set("place").alias("places")), "hits")
-    drop(spark, lines, on_sites, held, common)
+    drop(spark, held, common)
     joined = rows.select("row", "doc", "version", "text").join(hits, ["doc", "version"], "left")
     all_places = lambda parts: F.sequence(F.lit(0), F.size(parts) - 1)
     rest = F.transform(F.array(F.split(text, "\n")), lambda parts: F.array_join(F.transform(F.array_except(all_places(parts), F.col("places")), lambda i: F.get(parts, i)), "\n"))[0]
@@ -86,15 +93,15 @@ def _back(docs: DataFrame, text_col: str) -> list[Column]:
     return [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
 
 
-def remove_spread(docs: DataFrame, classes: DataFrame, sites: int = SITES) -> DataFrame:
+def remove_spread(docs: DataFrame, near_copies: Callable[[DataFrame], DataFrame], sites: int = SITES) -> DataFrame:
     """docs without lines that stand on `sites` distinct sites and in as many distinct classes of copies or near copies; columns as they were.
 
-    So neither copies nor near copies of a whole can make their own lines spread. classes has (doc_id, component_id); rows
-    of docs with a null or unknown doc_id are classed by text. Every row stays, with a null text if it had one. Empty table: no rows.
+    So neither copies nor near copies of a whole can make their own lines spread. near_copies gives (doc_id, component_id) of a table
+    (doc_id, text): of the documents with a line that so many sites and texts have, where alone classes matter. Rows
+    with a null doc_id, or one that it doesn't give, are classed by text. Every row stays, with a null text if it had one. Empty table: no rows.
     """
-    known = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("component_id").alias("component"))
     kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return _cleaned(_keyed(docs, "doc_id", "text", "source"), sites, known).select(*kept)
+    return _cleaned(_keyed(docs, "doc_id", "text", "source"), sites, near_copies).select(*kept)
 
 
 #: remove_boilerplate over documents, as DuckDB SQL.

@@ -268,7 +268,7 @@ def test_spread_counts_near_copies_once(spark):
     other = [(100 + s, f"licence\nown words {s}", f"site{s}") for s in range(12)]
     frame = spark.createDataFrame(near + other + [(None, "licence", None)], "doc_id long, text string, source string").withColumn("__class", F.lit(1))
     classes = spark.createDataFrame([(s, 0) for s in range(12)] + [(100 + s, 100 + s) for s in range(12)], "doc_id long, component_id long")
-    got = line_dedup.remove_spread(frame, classes)
+    got = line_dedup.remove_spread(frame, lambda holders: classes.join(holders, "doc_id", "left_semi"))
     assert got.columns == frame.columns
     assert {(r.doc_id, r.text) for r in got.collect()} == {(d, t) for d, t, _ in near} | {(100 + s, f"own words {s}") for s in range(12)} | {(None, "")}
 
