@@ -13,6 +13,10 @@ differ in. An entry of the last level holds at most 256 fingerprints, whatever t
 fingerprints differ in 4 to 14 bits, too many for small balls (README), so that to the fingerprints' links
 it adds index tables over the segments (bands) of a MinHash signature of the same shingles. The whole
 signatures only sort out what is far from similar; the rest is verified on whole sets of shingles.
+
+There, an entry's classes are held against its first one. Entries that still hold several components are looked through
+again: classes outside of an entry's largest component are held against all others in it while they are
+few, and entries with many of them (as of thousands of texts on one template) are indexed again by further bands.
 """
 
 from __future__ import annotations
@@ -39,6 +43,11 @@ BITS, RADIUS, HOT, SEED = 64, 2, 64, 42
 #: more than SLACK (5 standard errors) under the similarity.
 SHINGLE, SIMILARITY, BANDS, ROWS, SLACK = 5, 0.8, 32, 6, 0.15
 
+#: Classes outside of the largest component of an entry up to which each is held against the whole entry; further bands by which an entry
+#: with more of them is indexed again, and how often. STEPS * LEVELS < BANDS, so that no band is used twice. Texts at 0.7 to
+#: each other share an entry with probability 0.7^6 = 0.12 at first and 0.7^24 = 2e-4 at the last level.
+OUTSIDE, STEPS, LEVELS = 32, 10, 3
+
 
 def votes(hashes: np.ndarray) -> int:
     """The fingerprint of these hashes: a bit is set if it is in over half of them."""
@@ -252,15 +261,66 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose texts have sets of shingles of that similarity or more, stored. reps: (rep, text_key, signature)."""
+    spark = docs.sparkSession
+    left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a"))
+    right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b"))
+    held = stored(pairs.join(left, "a"), "held")
+    near = stored(held.join(right, "b").where(agreement("signature_a", "signature_b") >= similarity - SLACK).select("a", "b"), "near")
+    drop(spark, held)
+    if not near.take(1):
+        return near
+    ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
+    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(ends, "rep"), shingle), "sets")
+    held = stored(near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("shingles_a")), "a"), "held")
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("shingles_b"))
+    links = stored(held.join(right, "b").where(jaccard("shingles_a", "shingles_b") >= similarity).select("a", "b"), "verified")
+    drop(spark, near, sets, held)
+    return links
+
+
+def pairs_across(rows: DataFrame, reps: DataFrame, outside: int = OUTSIDE) -> DataFrame:
+    """(a, b): pairs of classes of different components that share an entry of rows(table, key, rep, label), stored.
+
+    In an entry with at most `outside` classes outside of its largest component each of those is held against every class of other
+    components, so that the pairs grow with the rows. The classes of other entries of several components are indexed again, by the entry and
+    one of their next STEPS bands; what is still together after LEVELS times is held against each other whole. reps: (rep, bands).
+    """
+    spark, entry = rows.sparkSession, ["table", "key"]
+    found, used = [], []
+    for level in range(LEVELS + 1):
+        sizes = rows.groupBy(*entry, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*entry)
+        mixed = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("lead"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+        mixed = stored(mixed, "mixed")
+        few = F.col("outside") <= outside if level < LEVELS else F.lit(True)
+        apart = rows.join(mixed.where(few), entry).where("label <> lead")
+        apart = stored(apart.select(*entry, F.col("rep").alias("other"), F.col("label").alias("other_label")), "apart")
+        pairs = rows.join(apart, entry).where("label <> other_label").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))
+        found.append(stored(pairs.distinct(), "across"))
+        used += [mixed, apart]
+        crowded = mixed.where(~few).select(*entry)
+        if not crowded.take(1):
+            break
+        step = F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step")
+        again = rows.join(crowded, entry).join(reps.select("rep", "bands"), "rep").select("rep", "label", "bands", "key", "table", step)
+        again = again.withColumn("table", F.pmod(F.col("table") + F.col("step"), F.lit(BANDS)))
+        rows = stored(again.select("table", F.xxhash64("key", F.get("bands", F.col("table"))).alias("key"), "rep", "label"), "again")
+        used.append(rows)
+    pairs = stored(reduce(DataFrame.unionByName, found).distinct(), "across")
+    drop(spark, *found, *used)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, component_id): exact and near copies share the smallest doc_id they reach.
 
     Texts with the same lower-cased words are one class, whose smallest doc_id stands for it. Classes
     are linked if they meet in an entry of a table and the sets of their shingles have a similarity (Jaccard) of
-    `similarity` or more. In an entry each class is held against the entry's first class, so that candidates grow with
-    the classes and a hot entry makes no pairs; entries of even bands are in the order of doc_id (an
-    original mostly comes before its copies), those of odd bands in an order of their own.
-    Blank and null texts are one class. A null doc_id takes its class's component.
+    `similarity` or more. In an entry each class is first held against the entry's first class, so that a hot entry makes no
+    pairs; entries of even bands are in the order of doc_id (an original mostly comes before its copies), those of
+    odd bands in an order of their own. Classes of different components that share an entry are then held against each other
+    (`pairs_across`), so that an unlike first class hides no link. Blank and null texts are one class. A null doc_id takes its class's component.
     """
     spark = docs.sparkSession
     sketched = stored(sketches(docs, shingle), "sketches")
@@ -277,23 +337,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     # The first class of each entry that several share; both sides of the join are stored or scanned, so that Spark can split a hot entry.
     order = F.struct(F.when(F.col("table") % 2 == 0, F.col("rep")).otherwise(F.xxhash64("rep", "table")).alias("order"), "rep")
     hubs = stored(members.groupBy("table", "key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "key", F.col("hub.rep").alias("hub")), "hubs")
-    pairs = members.join(hubs, ["table", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    shared = stored(members.join(hubs, ["table", "key"]), "shared")
+    pairs = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     pairs = pairs.unionByName(by_print).unionByName(same_print).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "candidates")
-    left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a"))
-    right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b"))
-    held = stored(pairs.join(left, "a"), "held")
-    near = stored(held.join(right, "b").where(agreement("signature_a", "signature_b") >= similarity - SLACK).select("a", "b"), "near")
-    drop(spark, prints, hubs, pairs, held)
-    ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(ends, "rep"), shingle), "sets")
-    held = stored(near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("shingles_a")), "a"), "held")
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("shingles_b"))
-    links = stored(held.join(right, "b").where(jaccard("shingles_a", "shingles_b") >= similarity).select("a", "b"), "verified")
-    drop(spark, near, sets, held)
+    links = similar(pairs, reps, docs, shingle, similarity)
+    drop(spark, prints, hubs, pairs)
     labels = connected_components(links)
+    rows = shared.join(labels, F.col("rep") == F.col("node"), "left").select("table", "key", "rep", F.coalesce("label", "rep").alias("label"))
+    rows = stored(rows, "labelled")
+    across = pairs_across(rows, reps)
+    more = similar(across, reps, docs, shingle, similarity)
+    drop(spark, shared, rows, across)
+    if more.take(1):
+        drop(spark, labels)
+        labels = connected_components(links.unionByName(more))
     named = stored(classes.join(labels, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("label", "rep").alias("component_id")), "named")
-    drop(spark, classes, reps, links, labels)
+    drop(spark, classes, reps, links, more, labels)
     return keys.join(named, "text_key", "left")
 
 

@@ -160,6 +160,19 @@ def test_near_duplicates_by_true_similarity(spark):
     assert all((got[2 * k + 1] == got[2 * k]) == (k % 2 == 0) for k in range(80))
 
 
+@pytest.mark.parametrize("outside", [4, simhash.OUTSIDE])
+def test_near_duplicates_on_a_template(spark, monkeypatch, outside):
+    """700 texts of similarity 0.7 to each other on one template, and among them 60 pairs at 0.82 to 0.86: in most entries the first text is unlike both."""
+    monkeypatch.setattr(simhash.pairs_across, "__defaults__", (outside,))
+    template = " ".join(f"t{i}" for i in range(500))
+    rows = [(k, template + "".join(f" k{k}w{i}" for i in range(100))) for k in range(700)]
+    rows += [(1000 + k, template + "".join(f" k{k}w{i}" if i < 45 + k % 10 else f" new{k}w{i}" for i in range(100))) for k in range(0, 600, 10)]
+    want, pairs = brute_near_duplicates(rows)
+    assert len(pairs) == 60
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = spark.createDataFrame([(5, long), (3, long + " more"), (9, long.upper()), (7, "other text"), (1, None), (2, "")], "doc_id long, text string")
