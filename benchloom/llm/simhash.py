@@ -45,8 +45,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS, SLACK = 5, 0.8, 32, 6, 0.15
 
 #: Classes outside of the largest component of an entry up to which each is held against the whole entry; further bands by which an entry
 #: with more of them is indexed again, and how often. STEPS * LEVELS < BANDS, so that no band is used twice. Texts at 0.7 to
-#: each other share an entry with probability 0.7^6 = 0.12 at first and 0.7^24 = 2e-4 at the last level.
-OUTSIDE, STEPS, LEVELS = 32, 10, 3
+#: each other share an entry with probability 0.7^6 = 0.12 at first and 0.7^18 = 2e-3 at the last level.
+OUTSIDE, STEPS, LEVELS = 4, 6, 2
 
 
 def votes(hashes: np.ndarray) -> int:
@@ -284,17 +284,18 @@ def pairs_across(rows: DataFrame, reps: DataFrame, outside: int = OUTSIDE) -> Da
     """(a, b): pairs of classes of different components that share an entry of rows(table, key, rep, label), stored.
 
     In an entry with at most `outside` classes outside of its largest component each of those is held against every class of other
-    components, so that the pairs grow with the rows. The classes of other entries of several components are indexed again, by the entry and
-    one of their next STEPS bands; what is still together after LEVELS times is held against each other whole. reps: (rep, bands).
+    components: at most `outside` pairs for each row. The classes of other entries of several components are indexed again, by the entry and
+    one of their next STEPS bands. What is crowded still after LEVELS times is held against the first class of its largest component, so
+    that nowhere all pairs of an entry are made; links between its other classes can be missed there. reps: (rep, bands).
     """
     spark, entry = rows.sparkSession, ["table", "key"]
     found, used = [], []
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy(*entry, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*entry)
-        mixed = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("lead"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+        sizes = rows.groupBy(*entry, "label").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).groupBy(*entry)
+        mixed = sizes.agg(F.max(F.struct("n", "label", "least")).alias("lead"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
         mixed = stored(mixed, "mixed")
-        few = F.col("outside") <= outside if level < LEVELS else F.lit(True)
-        apart = rows.join(mixed.where(few), entry).where("label <> lead")
+        few = F.col("outside") <= outside
+        apart = rows.join(mixed.where(few), entry).where("label <> lead.label")
         apart = stored(apart.select(*entry, F.col("rep").alias("other"), F.col("label").alias("other_label")), "apart")
         pairs = rows.join(apart, entry).where("label <> other_label").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))
         found.append(stored(pairs.distinct(), "across"))
@@ -302,6 +303,10 @@ def pairs_across(rows: DataFrame, reps: DataFrame, outside: int = OUTSIDE) -> Da
         crowded = mixed.where(~few).select(*entry)
         if not crowded.take(1):
             break
+        if level == LEVELS:
+            first = rows.join(mixed.where(~few), entry).where("label <> lead.label").select(F.col("rep"), F.col("lead.least").alias("other"))
+            found.append(stored(first.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct(), "across"))
+            break
         step = F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step")
         again = rows.join(crowded, entry).join(reps.select("rep", "bands"), "rep").select("rep", "label", "bands", "key", "table", step)
         again = again.withColumn("table", F.pmod(F.col("table") + F.col("step"), F.lit(BANDS)))
