@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, simhash, substring_dedup
+from . import conversation_repair, decontaminate, html_extract, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_damage(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_html_extraction, op6_packing, op7_quality_classifier, op8_pii, op9_secret_scan, op10_decontamination)
+    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_html_extraction, op6_packing, op7_quality_classifier, op8_pii, op9_secret_scan, op10_decontamination, op11_conversation_repair)
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op11_conversation_repair": conversation_repair.SQL}
