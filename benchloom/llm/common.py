@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import ship
 from ..storage import drop, stored  # noqa: F401  the operators take them from here
@@ -46,6 +48,32 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of a partition one by one; lists of numbers travel better as binary columns."""
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def in_batches(rows: Iterator[dict], schema: pa.Schema, most: int = BATCH_ROWS, size: Callable[[dict], int] = lambda row: 0) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of at most `most` rows and about BATCH_BYTES / 4 bytes, as size tells them."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) >= most or total > BATCH_BYTES >> 2:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def stream(df: DataFrame, kernel: Callable[[Iterator[dict]], Iterator[dict]], schema: str, **options: int | Callable[[dict], int]) -> DataFrame:
+    """kernel over each partition's rows, in their order; what it gives is sent in bounded batches (options: of in_batches)."""
+    prepare(df.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return df.mapInArrow(lambda batches: in_batches(kernel(rows_of(batches)), arrow, **options), schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

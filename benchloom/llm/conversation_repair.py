@@ -24,23 +24,20 @@ a fold over these small tables finds the way through the blocks, and each block'
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from .common import drop, prepare, stored
+from .common import drop, stored, stream
 
 #: What edits cost, and what a truncated turn that isn't deleted adds.
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 
-#: Turns and characters of a block at most (a longer turn is a block of its own); rows of a result batch.
-BLOCK_TURNS, BLOCK_CHARS, OUT_ROWS = 2048, 1 << 22, 500
+#: Turns and characters of a block at most (a longer turn is a block of its own).
+BLOCK_TURNS, BLOCK_CHARS = 2048, 1 << 22
 
 #: For each nonterminal the terminals that may follow it, each with the nonterminal that is complete then.
 AFTER: dict[str, tuple[tuple[str, str], ...]] = {
@@ -173,31 +170,8 @@ RUN = "run struct<low:long,high:long,distinct:long,first:string,last:string,blan
 WAYS = "ways array<struct<start:string,stop:string,cost:long,audit:string>>"
 
 
-def _stream(df: DataFrame, kernel: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """kernel over each partition's rows, read and given back in bounded batches."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(kernel(_rows(batches)), arrow)
-
-    return df.mapInArrow(run, schema)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
-
-
-def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(map(len, row.get("texts") or ()))
-        if len(held) >= OUT_ROWS or size > BLOCK_CHARS:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+def _size(row: dict) -> int:
+    return sum(map(len, row.get("texts") or ()))
 
 
 def _blocks(rows: Iterator[dict]) -> Iterator[list[dict]]:
@@ -312,17 +286,16 @@ def repair(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     their first letter can be reroled or deleted only. Other columns are left out. Empty table: no conversations.
     """
     spark = rows.sparkSession
-    prepare(spark)
     named = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(n) for c, n in ((role, "role"), (text, "text"))))
     kept = stored(named.withColumn("id", F.monotonically_increasing_id()), "turns")
     of = f"conv_id {named.schema['conv_id'].dataType.simpleString()}"
     order = ["conv_id", "turn", "role", "digest", "id"]
     dealt = with_faults(kept).repartitionByRange(*order).sortWithinPartitions(*order).drop("digest", "id")
-    blocks = stored(_stream(dealt, _parsed, f"at long, {of}, roles array<string>, texts array<string>, faults string, {RUN}, {TOTAL}, {WAYS}"), "blocks")
+    blocks = stored(stream(dealt, _parsed, f"at long, {of}, roles array<string>, texts array<string>, faults string, {RUN}, {TOTAL}, {WAYS}", size=_size), "blocks")
     drop(spark, kept)
     initials = F.transform("roles", lambda r: F.substring(r, 1, 1)).alias("initials")
     open_ = blocks.where("total is null").select("at", "conv_id", "run", "ways", initials)
-    pieces = stored(_stream(open_.repartition("conv_id").sortWithinPartitions("conv_id", "at"), _folded, f"of long, state string, piece string, {TOTAL}"), "pieces")
+    pieces = stored(stream(open_.repartition("conv_id").sortWithinPartitions("conv_id", "at"), _folded, f"of long, state string, piece string, {TOTAL}"), "pieces")
     totals = blocks.where("total is not null").select("conv_id", "total.*")
     ends = blocks.select("at", "conv_id").join(pieces.where("total is not null").select(F.col("of").alias("at"), "total"), "at")
     conversations = totals.unionByName(ends.select("conv_id", "total.*"))
@@ -331,7 +304,7 @@ def repair(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     rest = ways.where("audit is null").drop("audit").join(pieces.select(F.col("of").alias("at"), F.col("piece").alias("audit"), "state"), "at")
     columns = ["at", "conv_id", "roles", "texts", "audit", "state", "whole"]
     both = done.select(columns).unionByName(rest.withColumn("whole", F.lit(False)).select(columns))
-    return Repair(conversations, _stream(both, _edits, f"{of}, at long, whole boolean, edits string, roles array<string>, texts array<string>"))
+    return Repair(conversations, stream(both, _edits, f"{of}, at long, whole boolean, edits string, roles array<string>, texts array<string>", size=_size))
 
 
 def digests(repaired: Repair) -> DataFrame:
@@ -342,7 +315,7 @@ def digests(repaired: Repair) -> DataFrame:
     """
     shape = f"conv_id {repaired.blocks.schema['conv_id'].dataType.simpleString()}, repaired_sha256 string"
     open_ = repaired.blocks.where("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "at")
-    return _stream(repaired.blocks.where("whole"), _hashed, shape).unionByName(_stream(open_, _hashed, shape))
+    return stream(repaired.blocks.where("whole"), _hashed, shape).unionByName(stream(open_, _hashed, shape))
 
 
 def damaged(rows: DataFrame) -> DataFrame:

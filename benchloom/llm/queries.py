@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, html_extract, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, simhash, substring_dedup
+from . import conversation_repair, decontaminate, embedding_dedup, hard_negatives, html_extract, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +61,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired_damage(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.expr(hard_negatives.ANCHOR), label=hard_negatives.noisy_label())
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_html_extraction, op6_packing, op7_quality_classifier, op8_pii, op9_secret_scan, op10_decontamination, op11_conversation_repair)
+    for f in (op1_simhash_near_dedup, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_html_extraction, op6_packing, op7_quality_classifier, op8_pii, op9_secret_scan, op10_decontamination, op11_conversation_repair, op12_hard_negatives, op13_embedding_near_dedup)
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op11_conversation_repair": conversation_repair.SQL}
+SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op11_conversation_repair": conversation_repair.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_embedding_near_dedup": embedding_dedup.SQL}
