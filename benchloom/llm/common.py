@@ -82,14 +82,26 @@ def batch_of(**columns: tuple[list | np.ndarray, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
 
 
+def components_of(adjacent: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that it reaches."""
+    label, n = np.arange(len(adjacent)), len(adjacent)
+    while True:
+        new = np.minimum(label, np.where(adjacent, label[None, :], n).min(axis=1, initial=n))
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 #: Bytes hashed at once; longer texts are parted between words.
 BLOCK = 1 << 22
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_BASE = 0xD1342543DE82EF95
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+#: Bases of two hashes that are independent of each other, and for each the powers of it and of its inverse so far.
+_BASES = (0xD1342543DE82EF95, 0xA0761D6478BD642F)
+_powers: list[list[np.ndarray]] = [[np.ones(1, dtype=np.uint64)] * 2 for _ in _BASES]
 
 
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -102,27 +114,27 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return bounds[::2], bounds[1::2]
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of a text: differences of one running polynomial over its bytes, brought to the same power."""
+def word_hashes(raw: bytes, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word of a text: differences of one running polynomial over its bytes, brought to the same power. which: 0 or 1, of two hashes."""
     found = []
     while len(raw) > BLOCK and (cut := max(raw.rfind(blank, 0, BLOCK) for blank in (b" ", b"\n", b"\t", b"\r"))) > 0:
-        found.append(_block_hashes(raw[:cut]))
+        found.append(_block_hashes(raw[:cut], which))
         raw = raw[cut:]
-    return np.concatenate([*found, _block_hashes(raw)])
+    return np.concatenate([*found, _block_hashes(raw, which)])
 
 
-def _block_hashes(raw: bytes) -> np.ndarray:
-    n = len(raw)
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+def _block_hashes(raw: bytes, which: int) -> np.ndarray:
+    n, powers = len(raw), _powers[which]
+    if len(powers[0]) <= n:
+        for k, b in enumerate((_BASES[which], pow(_BASES[which], -1, 2**64))):
             steps = np.full(2 * n + 1, b, dtype=np.uint64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
+            powers[k] = np.multiply.accumulate(steps)
     starts, ends = word_bounds(raw)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.add.accumulate((np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+        np.add.accumulate((np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * powers[0][:n], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * powers[1][starts] + (ends - starts).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

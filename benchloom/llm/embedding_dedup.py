@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import connected_components
-from .common import arrow_map, batch_of, column, drop, stored, stream
+from .common import arrow_map, batch_of, column, components_of, drop, stored, stream
 from .vectors import as_doubles, usable
 
 #: Least cosine of a link.
@@ -111,17 +111,6 @@ def passed_filters(classes: DataFrame, words: int) -> DataFrame:
     return arrow_map(classes.select("c", "embedding"), kernel, "c long, dims long, unit binary, filters array<long>")
 
 
-def components_of(adjacent: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric matrix the first row that it reaches."""
-    label, n = np.arange(len(adjacent)), len(adjacent)
-    while True:
-        new = np.minimum(label, np.where(adjacent, label[None, :], n).min(axis=1, initial=n))
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compared(rows: Iterator[dict]) -> Iterator[dict]:
     """Tiles to (c, links, hub): how many vectors a class is linked to by pairs whose least shared filter is this one, and the least class that it reaches in the tile."""
     for (_, number, lo, hi), held in groupby(rows, key=lambda r: (r["dims"], r["filter"], r["lo"], r["hi"])):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -26,7 +27,7 @@ CUES = ("account number", "account no", "acct", "ssn", "social security", "passp
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_NUMBERS, _IP = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_NUMBERS, _DOTTED = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPS, _CARD = re.compile(r"[0-9\x20-]+"), re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELT = re.compile(r"[\x20]?[\[(]at[\])][\x20]?([A-Za-z0-9-]+(?:(?:\.|[\x20]?[\[(]dot[\])][\x20]?)[A-Za-z0-9-]+)+)", re.I)
@@ -74,6 +75,16 @@ def _byte(part: str) -> bool:
     return len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255
 
 
+def addresses(dotted: str, at: int) -> Iterator[tuple[int, int]]:
+    """Places of the addresses in numbers joined by points, which begin at `at`: four parts each, the rest is left over."""
+    parts = dotted.split(".")
+    for k in range(0, len(parts) - 3, 4):
+        end = at + sum(map(len, parts[k : k + 4])) + 3
+        if all(map(_byte, parts[k : k + 4])):
+            yield at, end
+        at = end + 1
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the order of start, then kind."""
     found: list[tuple[str, int, int]] = []
@@ -83,7 +94,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         if anchor == "digit":
             if at >= after["ip"]:
                 end = after["ip"] = _NUMBERS.match(text, at).end()
-                found += [("ip", *m.span()) for m in _IP.finditer(text, at, end) if all(map(_byte, m[0].split(".")))]
+                found += [("ip", *place) for m in _DOTTED.finditer(text, at, end) for place in addresses(m[0], m.start())]
             if at >= after["card"]:
                 end = after["card"] = _GROUPS.match(text, at).end()
                 for m in _CARD.finditer(text, at, end):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import arrow_map, batch_of, column, documents, prepare
+from .common import arrow_map, batch_of, column, documents, drop, prepare, stored
 from .docstats import measure, sample, statistics
 
 FIT_ROWS, SEED = 20_000, 5
@@ -96,11 +96,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> BoostedTrees:
-    """A model from rows that aren't held out; `labels` may name a doc_id twice, each counts."""
+    """A model from at most fit_rows distinct rows that aren't held out; `labels` may name a doc_id twice, each counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     known = sample(known.where(~held_out(F.col("doc_id"))).distinct(), fit_rows, SEED)
-    rows = documents(docs).join(F.broadcast(known), "doc_id")  # at most fit_rows pairs of numbers
-    features = statistics(rows).join(known, "doc_id").orderBy("doc_id", "quality").select("features", "quality").toPandas()
+    known = stored(known, "known")
+    rows = documents(docs).join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")  # at most fit_rows numbers
+    # A doc_id can have any number of rows: they are bounded once more, where they have their labels.
+    labelled = stored(statistics(rows).join(known, "doc_id").select("doc_id", "features", "quality"), "labelled")
+    features = sample(labelled, fit_rows, SEED).orderBy("doc_id", "quality").select("features", "quality").toPandas()
+    drop(docs.sparkSession, known, labelled)
     x = np.array(features["features"].tolist(), dtype=float)
     return BoostedTrees().fit(x, features["quality"].to_numpy(dtype=float))
 

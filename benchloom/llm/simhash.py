@@ -14,14 +14,15 @@ fingerprints differ in 4 to 14 bits, too many for small balls (README), so that
 it adds index tables over the segments (bands) of a MinHash signature of the same shingles. The whole
 signatures only sort out what is far from similar; the rest is verified on whole sets of shingles.
 
-There, an entry's classes are held against its first one. Entries that still hold several components are looked through
-again: classes outside of an entry's largest component are held against all others in it while they are
-few, and entries with many of them (as of thousands of texts on one template) are indexed again by further bands.
+There, an entry's classes are held against its first one. In entries that still hold several components every two classes of
+different components are compared, in tiles: entries of thousands of texts on one template make many tiles, and no pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..operators.clusters import connected_components
-from .common import LOWER, arrow_map, batch_of, column, documents, drop, stored
+from .common import LOWER, arrow_map, batch_of, column, components_of, documents, drop, stored, stream
 
 #: Bits of a fingerprint, bits in which linked ones may differ, fingerprints in an entry from which on it is indexed again.
 BITS, RADIUS, HOT, SEED = 64, 2, 64, 42
@@ -43,10 +44,8 @@ BITS, RADIUS, HOT, SEED = 64, 2, 64, 42
 #: more than SLACK (5 standard errors) under the similarity.
 SHINGLE, SIMILARITY, BANDS, ROWS, SLACK = 5, 0.8, 32, 6, 0.15
 
-#: Classes outside of the largest component of an entry up to which each is held against the whole entry; further bands by which an entry
-#: with more of them is indexed again, and how often. STEPS * LEVELS < BANDS, so that no band is used twice. Texts at 0.7 to
-#: each other share an entry with probability 0.7^6 = 0.12 at first and 0.7^18 = 2e-3 at the last level.
-OUTSIDE, STEPS, LEVELS = 4, 6, 2
+#: Classes of a tile's part on average, what tells tiles apart, columns of an incidence matrix held at once.
+TILE, TILE_KEY, COLUMNS = 256, ("table", "key", "kind", "lo", "hi"), 4096
 
 
 def votes(hashes: np.ndarray) -> int:
@@ -194,9 +193,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def text_key(text: bytes) -> np.int64:
-    """A hash of the lower-cased words."""
-    return np.uint64(xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER).split()), SEED)).view(np.int64)
+def text_key(text: bytes) -> bytes:
+    """A hash of 128 bits of the lower-cased words: texts with the same one count as equal."""
+    return xxhash.xxh3_128_digest(b" ".join(text.translate(LOWER).split()), SEED)
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -223,10 +222,10 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             raw = values.tobytes()
             digests = np.array([xxhash.xxh64_intdigest(raw[at : at + 4 * ROWS], b) for b, at in enumerate(range(0, 4 * size, 4 * ROWS))], dtype=np.uint64)
             bands.append(digests.view(np.int64))
-        return batch_of(doc_id=(batch.column(0), pa.int64()), text_key=(keys, pa.int64()), fp=(fps, pa.int64()), bands=(bands, pa.list_(pa.int64())), signature=(signatures, pa.binary()))
+        return batch_of(doc_id=(batch.column(0), pa.int64()), text_key=(keys, pa.binary()), fp=(fps, pa.int64()), bands=(bands, pa.list_(pa.int64())), signature=(signatures, pa.binary()))
 
     rows = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return arrow_map(rows, kernel, "doc_id long, text_key long, fp long, bands array<long>, signature binary")
+    return arrow_map(rows, kernel, "doc_id long, text_key binary, fp long, bands array<long>, signature binary")
 
 
 @F.pandas_udf(DoubleType())
@@ -280,41 +279,104 @@ def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, si
     return links
 
 
-def pairs_across(rows: DataFrame, reps: DataFrame, outside: int = OUTSIDE) -> DataFrame:
-    """(a, b): pairs of classes of different components that share an entry of rows(table, key, rep, label), stored.
+def tiles_of(rows: DataFrame) -> DataFrame:
+    """rows(table, key, rep, label) of entries that hold several components, dealt into tiles: (table, key, kind, lo, hi, part, rep, label).
 
-    In an entry with at most `outside` classes outside of its largest component each of those is held against every class of other
-    components: at most `outside` pairs for each row. The classes of other entries of several components are indexed again, by the entry and
-    one of their next STEPS bands. What is crowded still after LEVELS times is held against the first class of its largest component, so
-    that nowhere all pairs of an entry are made; links between its other classes can be missed there. reps: (rep, bands).
+    Only classes of different components need to be held against each other. So an entry's largest component and its other classes are each dealt into parts
+    of about TILE; a tile holds a part of either (kind 0) or two parts of the others, or one with itself (kind 1).
     """
-    spark, entry = rows.sparkSession, ["table", "key"]
-    found, used = [], []
-    for level in range(LEVELS + 1):
-        sizes = rows.groupBy(*entry, "label").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).groupBy(*entry)
-        mixed = sizes.agg(F.max(F.struct("n", "label", "least")).alias("lead"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-        mixed = stored(mixed, "mixed")
-        few = F.col("outside") <= outside
-        apart = rows.join(mixed.where(few), entry).where("label <> lead.label")
-        apart = stored(apart.select(*entry, F.col("rep").alias("other"), F.col("label").alias("other_label")), "apart")
-        pairs = rows.join(apart, entry).where("label <> other_label").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))
-        found.append(stored(pairs.distinct(), "across"))
-        used += [mixed, apart]
-        crowded = mixed.where(~few).select(*entry)
-        if not crowded.take(1):
-            break
-        if level == LEVELS:
-            first = rows.join(mixed.where(~few), entry).where("label <> lead.label").select(F.col("rep"), F.col("lead.least").alias("other"))
-            found.append(stored(first.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct(), "across"))
-            break
-        step = F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step")
-        again = rows.join(crowded, entry).join(reps.select("rep", "bands"), "rep").select("rep", "label", "bands", "key", "table", step)
-        again = again.withColumn("table", F.pmod(F.col("table") + F.col("step"), F.lit(BANDS)))
-        rows = stored(again.select("table", F.xxhash64("key", F.get("bands", F.col("table"))).alias("key"), "rep", "label"), "again")
-        used.append(rows)
-    pairs = stored(reduce(DataFrame.unionByName, found).distinct(), "across")
-    drop(spark, *found, *used)
-    return pairs
+    entry = ["table", "key"]
+    sizes = rows.groupBy(*entry, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*entry)
+    mixed = sizes.agg(F.max(F.struct("n", "label")).alias("lead"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    held = rows.join(mixed, entry)
+    first, others = (F.ceil(F.col(c) / TILE).cast("long") for c in ("lead.n", "outside"))
+    is_first = F.col("label") == F.col("lead.label")
+    part = F.pmod(F.xxhash64("rep"), F.when(is_first, first).otherwise(others))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    tile = lambda kind, lo, hi, part: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), part.alias("part"))
+    own, far = F.col("own"), F.lit(-1).cast("long")
+    of_first = F.transform(upto(others), lambda j: tile(0, own, j, far))
+    of_others = F.concat(F.transform(upto(first), lambda i: tile(0, i, own, own)), F.transform(upto(others), lambda j: tile(1, F.least(own, j), F.greatest(own, j), own)))
+    placed = held.withColumn("own", part).select(*entry, "rep", "label", F.explode(F.when(is_first, of_first).otherwise(of_others)).alias("tile"))
+    return placed.select(*entry, "tile.*", "rep", "label")
+
+
+def _tiles(rows: Iterator[dict]) -> Iterator[tuple[list[dict], np.ndarray]]:
+    """The rows of each tile, and which pairs of them it is to compare: of different labels, and of its two parts if it has two."""
+    for (*_, kind, lo, hi), held in groupby(rows, key=lambda r: tuple(r[c] for c in TILE_KEY)):
+        held = sorted(held, key=lambda r: (r["part"], r["rep"]))
+        part, label = (np.array([r[c] for r in held]) for c in ("part", "label"))
+        wanted = label[:, None] != label[None, :]
+        if kind == 0 or lo != hi:
+            wanted &= part[:, None] != part[None, :]
+        if wanted.any():
+            yield held, wanted
+
+
+def _may_be_similar(least: float) -> Callable[[Iterator[dict]], Iterator[dict]]:
+    def kernel(rows: Iterator[dict]) -> Iterator[dict]:
+        for held, wanted in _tiles(rows):
+            signatures = np.frombuffer(b"".join(r["signature"] for r in held), dtype=np.uint8).reshape(len(held), -1)
+            keep = np.zeros(len(held), dtype=bool)
+            for k in range(len(held)):
+                share = ((signatures[k + 1 :] == signatures[k]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                mates = np.flatnonzero(wanted[k, k + 1 :] & (share >= least)) + k + 1
+                keep[mates] = True
+                keep[k] |= len(mates) > 0
+            for k in np.flatnonzero(keep):
+                yield {c: held[k][c] for c in (*TILE_KEY, "part", "rep", "label")}
+
+    return kernel
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two of these sets of distinct numbers share: a product of their incidence matrix, some columns at a time."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(column, minlength=len(values)) > 1  # what one set alone has, no two share
+    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        marks = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        marks[row[a:b], column[a:b] - at] = 1
+        out += marks @ marks.T
+    return out
+
+
+def _joined_by_similarity(similarity: float) -> Callable[[Iterator[dict]], Iterator[dict]]:
+    def kernel(rows: Iterator[dict]) -> Iterator[dict]:
+        for held, wanted in _tiles(rows):
+            sets = [np.frombuffer(r["shingles"], dtype="<u8") for r in held]
+            sizes = np.array([len(s) for s in sets], dtype=float)
+            both = overlaps(sets).astype(float)
+            either = sizes[:, None] + sizes[None, :] - both
+            near = wanted & (np.divide(both, either, out=np.ones_like(both), where=either > 0) >= similarity)
+            for k, hub in enumerate(components_of(near).tolist()):
+                if hub != k:
+                    yield {"a": held[k]["rep"], "b": held[hub]["rep"]}
+
+    return kernel
+
+
+def links_across(rows: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all classes of different components which share an entry of rows(table, key, rep, label) and are similar, stored.
+
+    Every such pair is compared, in tiles, so that entries of any number of classes make no pairs: first by their signatures, which drops classes without any
+    likely partner in the tile, then by their whole sets of shingles. Of a tile come links from each class to the first of its component there.
+    reps: (rep, text_key, signature).
+    """
+    spark = docs.sparkSession
+    shape = "table int, key long, kind int, lo long, hi long, part long, rep long, label long"
+    placed = tiles_of(rows).join(reps.select("rep", "signature"), "rep").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    likely = stored(stream(placed, _may_be_similar(similarity - SLACK), shape, most=10_000), "likely")
+    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(likely.select("rep").distinct(), "rep"), shingle), "sets")
+    placed = likely.join(sets, "rep").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    links = stored(stream(placed, _joined_by_similarity(similarity), "a long, b long", most=10_000).distinct(), "across")
+    drop(spark, likely, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -325,7 +387,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     `similarity` or more. In an entry each class is first held against the entry's first class, so that a hot entry makes no
     pairs; entries of even bands are in the order of doc_id (an original mostly comes before its copies), those of
     odd bands in an order of their own. Classes of different components that share an entry are then held against each other
-    (`pairs_across`), so that an unlike first class hides no link. Blank and null texts are one class. A null doc_id takes its class's component.
+    (`links_across`), so that an unlike first class hides no link. Blank and null texts are one class. A null doc_id takes its class's component.
     """
     spark = docs.sparkSession
     sketched = stored(sketches(docs, shingle), "sketches")
@@ -351,9 +413,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     labels = connected_components(links)
     rows = shared.join(labels, F.col("rep") == F.col("node"), "left").select("table", "key", "rep", F.coalesce("label", "rep").alias("label"))
     rows = stored(rows, "labelled")
-    across = pairs_across(rows, reps)
-    more = similar(across, reps, docs, shingle, similarity)
-    drop(spark, shared, rows, across)
+    more = links_across(rows, reps, docs, shingle, similarity)
+    drop(spark, shared, rows)
     if more.take(1):
         drop(spark, labels)
         labels = connected_components(links.unionByName(more))

@@ -15,7 +15,7 @@ if, and only if, its word sequence starts somewhere earlier.
 
 Every step is a star from a first occurrence, by minima taken before the shuffle and joins of stored tables: no pairs are
 emitted, and the rows at each step are at most the seeds or the windows of a document set.
-Words are compared by 64-bit hashes.
+Words are compared by two independent 64-bit hashes: the first finds, and both must be equal.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def extended(hashes: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.nd
 
 def _seed_rows(with_places: bool):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owners, anchors, extensions, starts, counts, offsets = [], [], [], [], [], []
+        owners, anchors, extensions, checks, starts, counts, offsets = [], [], [], [], [], [], []
         for row, text in enumerate(column(batch, "text")):
             hashes = word_hashes(text)
             at, first, count = seeds(hashes)
@@ -74,6 +74,7 @@ def _seed_rows(with_places: bool):
                 if with_places:
                     owners.append(np.full(len(at), row))
                     extensions.append(extended(hashes, at, first, count))
+                    checks.append(extended(word_hashes(text, 1), at, first, count))
                     starts.append(first)
                     counts.append(count)
                     offsets.append(at - first)
@@ -82,7 +83,7 @@ def _seed_rows(with_places: bool):
         if with_places:
             rows = pa.array(joined(owners, np.int64))
             out |= {k: (batch.column(batch.schema.get_field_index(k)).take(rows), pa.int64()) for k in ("doc", "version")}
-            out |= {"extension": (signed(joined(extensions, np.uint64)), pa.int64())} | {k: (joined(v, np.int32), pa.int32()) for k, v in (("start", starts), ("count", counts), ("offset", offsets))}
+            out |= {"extension": (signed(joined(extensions, np.uint64)), pa.int64()), "extension_check": (signed(joined(checks, np.uint64)), pa.int64())} | {k: (joined(v, np.int32), pa.int32()) for k, v in (("start", starts), ("count", counts), ("offset", offsets))}
         return batch_of(**out)
 
     return kernel
@@ -90,16 +91,17 @@ def _seed_rows(with_places: bool):
 
 def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The hashes of the windows that each listed seed of a document anchors."""
-    owners, found, windows = [], [], []
+    owners, found, windows, checks = [], [], [], []
     for row, (text, places) in enumerate(zip(column(batch, "text"), column(batch, "places"), strict=True)):
-        grams = signed(gram_hashes(word_hashes(text), WINDOW))
+        grams, second = (signed(gram_hashes(word_hashes(text, which), WINDOW)) for which in (0, 1))
         owners += [row] * len(places)
         found += places
         windows += [grams[p["start"] : p["start"] + p["count"]] for p in places]
+        checks += [second[p["start"] : p["start"] + p["count"]] for p in places]
     rows = pa.array(owners, type=pa.int64())
     out = {k: (batch.column(batch.schema.get_field_index(k)).take(rows), pa.int64()) for k in ("doc", "version")}
     out |= {k: ([p[k] for p in found], t) for k, t in (("anchor", pa.int64()), ("start", pa.int32()), ("offset", pa.int32()), ("is_hub", pa.bool_()))}
-    return batch_of(**out, windows=(windows, pa.list_(pa.int64())))
+    return batch_of(**out, windows=(windows, pa.list_(pa.int64())), checks=(checks, pa.list_(pa.int64())))
 
 
 def _cut(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
@@ -137,16 +139,17 @@ def surroundings(firsts: DataFrame) -> DataFrame:
 
 
 def matched(grams: DataFrame) -> DataFrame:
-    """grams(doc, version, anchor, start, offset, windows, is_hub) to (doc, version, start, windows, same array<boolean>): every seed but its
+    """grams(doc, version, anchor, start, offset, windows, checks, is_hub) to (doc, version, start, windows, checks, same array<boolean>): every seed but its
     anchor's first, and which of its windows are inside the match with that one."""
-    hubs = grams.where("is_hub").select("anchor", F.col("offset").alias("hub_offset"), F.col("windows").alias("hub_windows")).dropDuplicates(["anchor"])
+    hubs = grams.where("is_hub").select("anchor", F.col("offset").alias("hub_offset"), F.col("windows").alias("hub_windows"), F.col("checks").alias("hub_checks")).dropDuplicates(["anchor"])
     # Stored first, as in surroundings(): a hot anchor's seeds are then split over tasks.
     hubs = stored(hubs, "hubs")
     held = grams.where("not is_hub").join(hubs, "anchor")
     # Equal windows have the anchor at the same place, so that a window faces the first occurrence's window at the same distance from it.
     facing = lambda i: i + F.col("hub_offset") - F.col("offset")
-    same = F.transform("windows", lambda w, i: (facing(i) >= 0) & F.coalesce(F.get("hub_windows", F.greatest(facing(i), F.lit(0))) == w, F.lit(False)))
-    out = stored(held.select("doc", "version", "start", "windows", same.alias("same")), "matched")
+    equal = lambda hub, w, i: F.coalesce(F.get(hub, F.greatest(facing(i), F.lit(0))) == w, F.lit(False))
+    same = F.transform("windows", lambda w, i: (facing(i) >= 0) & equal("hub_windows", w, i) & equal("hub_checks", F.get("checks", i), i))
+    out = stored(held.select("doc", "version", "start", "windows", "checks", same.alias("same")), "matched")
     drop(grams.sparkSession, hubs)
     return out
 
@@ -157,21 +160,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc", "version", "text")
     anchors = arrow_map(docs.select("text"), _seed_rows(False), "anchor long")
     common = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = arrow_map(texts, _seed_rows(True), "anchor long, doc long, version long, extension long, start int, count int, offset int")
+    found = arrow_map(texts, _seed_rows(True), "anchor long, doc long, version long, extension long, extension_check long, start int, count int, offset int")
     found = stored(found.join(common, "anchor", "left_semi"), "seeds")
     drop(spark, common)
     order = F.struct("doc", "version", "start", "count", "offset")
-    firsts = stored(found.groupBy("extension").agg(F.min(order).alias("first"), F.min("anchor").alias("anchor")), "firsts")
+    firsts = stored(found.groupBy("extension", "extension_check").agg(F.min(order).alias("first"), F.min("anchor").alias("anchor")), "firsts")
     # Seeds that have the extension of an earlier one.
-    first = firsts.select("extension", *(F.col("first").getField(c).alias(f"first_{c}") for c in ("doc", "version", "start")))
+    first = firsts.select("extension", "extension_check", *(F.col("first").getField(c).alias(f"first_{c}") for c in ("doc", "version", "start")))
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("version") == F.col("first_version")) & (F.col("start") == F.col("first_start"))
-    whole = stored(found.select("extension", "doc", "version", "start", "count").join(first, "extension").where(~is_first).select("doc", "version", "start", "count"), "whole")
+    whole = stored(found.select("extension", "extension_check", "doc", "version", "start", "count").join(first, ["extension", "extension_check"]).where(~is_first).select("doc", "version", "start", "count"), "whole")
     drop(spark, found)
     # Anchors in several surroundings: the windows of each class's first occurrence.
     classes = surroundings(firsts)
     drop(spark, firsts)
     places = classes.groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "start", "count", "offset", "is_hub")).alias("places"))
-    grams = arrow_map(texts.join(places, ["doc", "version"]), _window_rows, "doc long, version long, anchor long, start int, offset int, is_hub boolean, windows array<long>")
+    grams = arrow_map(texts.join(places, ["doc", "version"]), _window_rows, "doc long, version long, anchor long, start int, offset int, is_hub boolean, windows array<long>, checks array<long>")
     grams = stored(grams, "windows")
     drop(spark, classes)
     held = matched(grams)
@@ -179,11 +182,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     at = lambda wanted: F.filter(F.transform("same", lambda s, i: F.when(s == F.lit(wanted), i)), lambda i: i.isNotNull())
     inside = held.select("doc", "version", "start", at(True).alias("at")).where("size(at) > 0")
     inside = inside.select("doc", "version", (F.col("start") + F.col("at")[0]).alias("start"), F.size("at").alias("count"))
-    beyond = held.select("doc", "version", "start", "windows", F.explode(at(False)).alias("i"))
-    beyond = stored(beyond.select("doc", "version", (F.col("start") + F.col("i")).alias("start"), F.get("windows", F.col("i")).alias("gram")), "beyond")
+    beyond = held.select("doc", "version", "start", "windows", "checks", F.explode(at(False)).alias("i"))
+    beyond = stored(beyond.select("doc", "version", (F.col("start") + F.col("i")).alias("start"), F.get("windows", F.col("i")).alias("gram"), F.get("checks", F.col("i")).alias("gram_check")), "beyond")
     # Rows that repeat a doc_id and a text give the same window twice: neither is earlier.
-    earliest = beyond.groupBy("gram").agg(F.min(F.struct("doc", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first")
-    later = beyond.join(earliest, "gram").where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", F.lit(1).alias("count"))
+    earliest = beyond.groupBy("gram", "gram_check").agg(F.min(F.struct("doc", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "gram_check", "first")
+    later = beyond.join(earliest, ["gram", "gram_check"]).where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", F.lit(1).alias("count"))
     out = stored(whole.unionByName(inside).unionByName(later), "repeats")
     drop(spark, whole, held, beyond)
     return out

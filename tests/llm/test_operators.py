@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from benchloom.llm import decontaminate, docstats, html_extract, line_dedup, packing, pii, quality_model, quality_rules, queries, secret_scan, simhash, substring_dedup
+from benchloom.llm import common, decontaminate, docstats, html_extract, line_dedup, packing, pii, quality_model, quality_rules, queries, secret_scan, simhash, substring_dedup
 
 from ..compare import database, from_duckdb, from_spark
 
@@ -160,10 +161,10 @@ def test_near_duplicates_by_true_similarity(spark):
     assert all((got[2 * k + 1] == got[2 * k]) == (k % 2 == 0) for k in range(80))
 
 
-@pytest.mark.parametrize("outside", [simhash.OUTSIDE, 32])
-def test_near_duplicates_on_a_template(spark, monkeypatch, outside):
+@pytest.mark.parametrize("tile", [simhash.TILE, 20])
+def test_near_duplicates_on_a_template(spark, monkeypatch, tile):
     """700 texts of similarity 0.7 to each other on one template, and among them 60 pairs at 0.82 to 0.86: in most entries the first text is unlike both."""
-    monkeypatch.setattr(simhash.pairs_across, "__defaults__", (outside,))
+    monkeypatch.setattr(simhash, "TILE", tile)
     template = " ".join(f"t{i}" for i in range(500))
     rows = [(k, template + "".join(f" k{k}w{i}" for i in range(100))) for k in range(700)]
     rows += [(1000 + k, template + "".join(f" k{k}w{i}" if i < 45 + k % 10 else f" new{k}w{i}" for i in range(100))) for k in range(0, 600, 10)]
@@ -173,6 +174,40 @@ def test_near_duplicates_on_a_template(spark, monkeypatch, outside):
     assert got == want
 
 
+def test_near_duplicates_of_a_chain_of_edits(spark):
+    """900 variants of a text of 200 words with 3 words changed, and 400 second copies with 4 more: 2,500 pairs at 0.8 or more in crowded entries."""
+    rng = np.random.default_rng(11)
+    template = [f"t{i}" for i in range(200)]
+
+    def edited(words, k, n):
+        words = list(words)
+        for i in rng.choice(200, n, replace=False):
+            words[i] = f"x{k}y{i}"
+        return words
+
+    first = [edited(template, k, 3) for k in range(900)]
+    second = [edited(first[k], 1000 + k, 4) for k in range(400)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(first + second)]
+    sets = [{hash(tuple(t[i : i + 5])) for i in range(196)} for t in first + second]
+    names = {g: i for i, g in enumerate(set().union(*sets))}
+    marks = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        marks[k, [names[g] for g in s]] = 1
+    both, size = marks @ marks.T, marks.sum(axis=1)
+    near = both / (size[:, None] + size[None, :] - both) >= 0.8
+    want = common.components_of(near & ~np.eye(len(rows), dtype=bool))
+    assert near.sum() - len(rows) > 2000
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == want.tolist()
+
+
+def test_overlaps():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 5, 4000, 9000, 7000, 3)]
+    got = simhash.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = spark.createDataFrame([(5, long), (3, long + " more"), (9, long.upper()), (7, "other text"), (1, None), (2, "")], "doc_id long, text string")
@@ -813,3 +848,58 @@ def test_repeats_in_statistics():
     assert len(docstats.measure("a b c")[1]) == len(docstats.FEATURES)
     with pytest.raises(AttributeError):
         docstats.measure(None)
+
+
+def test_substring_dedup_first_hash_collides(spark, monkeypatch):
+    """Two words with the same first hash aren't taken for each other: a second one tells them apart."""
+    hashes = common.word_hashes
+
+    def colliding(raw, which=0):
+        return hashes(raw.replace(b"other", b"these") if which == 0 else raw, which)
+
+    text = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join([*text[:20], "these", *text[20:]])), (2, " ".join([*text[:20], "other", *text[20:]])), (3, " ".join([*text[:20], "these", *text[20:]]))]
+    # The kernels run where the operator's module is imported: a copy of the module goes to the workers by value.
+    real = substring_dedup.word_hashes
+    try:
+        substring_dedup.word_hashes = colliding
+        seen = [substring_dedup.extended(substring_dedup.word_hashes(t.encode(), 0), *substring_dedup.seeds(hashes(rows[0][1].encode()))) for _, t in rows]
+        second = [substring_dedup.extended(substring_dedup.word_hashes(t.encode(), 1), *substring_dedup.seeds(hashes(rows[0][1].encode()))) for _, t in rows]
+    finally:
+        substring_dedup.word_hashes = real
+    assert (seen[0] == seen[1]).all() and (seen[0] == seen[2]).all()
+    assert (second[0] == second[2]).all() and (second[0] != second[1]).any()
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 40, 3: 41}
+
+
+def test_windows_that_only_the_first_hash_makes_equal(spark):
+    """Planted collisions in what the joins see: equal windows, unequal checks."""
+    shape = "doc long, version long, anchor long, start int, offset int, is_hub boolean, windows array<long>, checks array<long>"
+    grams = spark.createDataFrame([(1, 1, 9, 0, 2, True, [5, 6, 7], [1, 2, 3]), (2, 1, 9, 4, 2, False, [5, 6, 7], [1, 8, 3])], shape)
+    assert [r.same for r in substring_dedup.matched(grams).collect()] == [[True, False, True]]
+
+
+def test_classifier_fit_is_bounded(spark, monkeypatch):
+    """A doc_id on 3,000 rows, labelled both ways: no more than fit_rows rows come to the driver."""
+    rows = spark.range(3000).selectExpr("1L as doc_id", "concat('word ', id, ' and some more words.') as text").unionByName(spark.createDataFrame([(k, f"text number {k} is good.") for k in range(2, 60)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (1, 1)] + [(k, k % 2) for k in range(2, 60)], "doc_id long, quality int")
+    seen = []
+    fit = quality_model.BoostedTrees.fit
+    monkeypatch.setattr(quality_model.BoostedTrees, "fit", lambda self, x, y: seen.append(len(x)) or fit(self, x, y))
+    quality_model.fit(rows, labels, fit_rows=10)
+    quality_model.fit(rows, labels, fit_rows=500)
+    assert 0 < seen[0] <= 10 and 0 < seen[1] <= 500
+
+
+def test_pii_of_long_runs():
+    began = time.perf_counter()
+    assert pii.spans("1" * 1_000_000) == []
+    assert len(pii.spans("1.2.3.4." * 50_000)) == 50_000
+    assert time.perf_counter() - began < 4
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        text = "".join(rng.choice(list("0125.. x"), 40))
+        want = [m.span() for m in plain.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [x[1:] for x in pii.spans(text) if x[0] == "ip"] == want
