@@ -253,30 +253,51 @@ def _edits(rows: Iterator[dict]) -> Iterator[dict]:
 
 
 def _hashed(rows: Iterator[dict]) -> Iterator[dict]:
-    for (conv, _), blocks in groupby(rows, key=lambda r: (r["conv_id"], r["whole"] and r["at"])):
-        digest, between = hashlib.sha256(), ""
-        for b in blocks:
-            for edit, role, text in zip(b["edits"], b["roles"], b["texts"], strict=True):
+    """(conv_id, total, repaired_sha256) of pieces in order, a conversation's after each other."""
+    for (conv, _), pieces in groupby(rows, key=lambda r: (r["conv_id"], r["whole"] and r["at"])):
+        digest, between, total = hashlib.sha256(), "", None
+        for b in pieces:
+            total = b["total"]
+            for edit, role, text in edited(b["audit"], zip(b["roles"], b["texts"], strict=True), b["state"]):
                 if edit != "D":
                     digest.update(f"{between}{role}:{text}".encode())
                     between = "\n"
-        yield {"conv_id": conv, "repaired_sha256": digest.hexdigest()}
+        yield {"conv_id": conv, "total": total, "repaired_sha256": digest.hexdigest()}
 
 
 class Repair:
-    """What the parse found. conversations: (conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit), a row for each conversation that
-    has turns. blocks: (conv_id, at, whole, edits, roles, texts) in order of `at`: a letter, role and text for each edit, deleted turns included.
+    """What the parse found, as pieces (conv_id, at, whole, roles, texts, audit, state, total): a block of turns, its part of the audit and what is complete before it;
+    the totals are with a conversation's last block.
     """
 
-    def __init__(self, conversations: DataFrame, blocks: DataFrame) -> None:
-        self.conversations, self.blocks = conversations, blocks
+    def __init__(self, pieces: DataFrame) -> None:
+        self.pieces = pieces
+        self.of = f"conv_id {pieces.schema['conv_id'].dataType.simpleString()}"
+
+    def conversations(self) -> DataFrame:
+        """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit), a row for each conversation that has turns."""
+        return self.pieces.where("total is not null").select("conv_id", "total.*")
+
+    def blocks(self) -> DataFrame:
+        """(conv_id, at, whole, edits, roles, texts) in order of `at`: a letter, role and text for each edit, deleted turns included."""
+        return stream(self.pieces.drop("total"), _edits, f"{self.of}, at long, whole boolean, edits string, roles array<string>, texts array<string>", size=_size)
 
     def turns(self) -> DataFrame:
         """(conv_id, at, position, edit, role, text): the edits one by one, in order of (at, position)."""
         each = F.posexplode(F.arrays_zip(F.split("edits", "").alias("edit"), "roles", "texts")).alias("position", "e")
-        rows = self.blocks.where("edits <> ''").select("conv_id", "at", each)
+        rows = self.blocks().where("edits <> ''").select("conv_id", "at", each)
         return rows.select("conv_id", "at", "position", "e.edit", F.col("e.roles").alias("role"), F.col("e.texts").alias("text"))
 
+    def digests(self) -> DataFrame:
+        """(conv_id, total, repaired_sha256): of `role:text` of the turns that stay, joined by newlines.
+
+        A conversation of one block is hashed where it is. Of others the blocks are brought together in order and hashed as a stream: a hash of
+        the whole can't be put together from parts, so that this takes a task, which holds one block at a time.
+        """
+        shape = f"{self.of}, {TOTAL}, repaired_sha256 string"
+        open_ = self.pieces.where("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "at")
+        return stream(self.pieces.where("whole"), _hashed, shape).unionByName(stream(open_, _hashed, shape))
+
 
 def repair(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Repair:
     """Repairs the conversations of rows.
@@ -296,26 +317,10 @@ def repair(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     initials = F.transform("roles", lambda r: F.substring(r, 1, 1)).alias("initials")
     open_ = blocks.where("total is null").select("at", "conv_id", "run", "ways", initials)
     pieces = stored(stream(open_.repartition("conv_id").sortWithinPartitions("conv_id", "at"), _folded, f"of long, state string, piece string, {TOTAL}"), "pieces")
-    totals = blocks.where("total is not null").select("conv_id", "total.*")
-    ends = blocks.select("at", "conv_id").join(pieces.where("total is not null").select(F.col("of").alias("at"), "total"), "at")
-    conversations = totals.unionByName(ends.select("conv_id", "total.*"))
-    ways = blocks.select("at", "conv_id", "roles", "texts", F.col("total.audit").alias("audit"))
-    done = ways.where("audit is not null").select("*", F.lit("Open").alias("state"), F.lit(True).alias("whole"))
-    rest = ways.where("audit is null").drop("audit").join(pieces.select(F.col("of").alias("at"), F.col("piece").alias("audit"), "state"), "at")
-    columns = ["at", "conv_id", "roles", "texts", "audit", "state", "whole"]
-    both = done.select(columns).unionByName(rest.withColumn("whole", F.lit(False)).select(columns))
-    return Repair(conversations, stream(both, _edits, f"{of}, at long, whole boolean, edits string, roles array<string>, texts array<string>", size=_size))
-
-
-def digests(repaired: Repair) -> DataFrame:
-    """(conv_id, repaired_sha256): of `role:text` of the turns that stay, joined by newlines.
-
-    A conversation of one block is hashed where it is. Of others the blocks are brought together in order and hashed as a stream: a hash of
-    the whole can't be put together from parts, so that this takes a task, which holds one block at a time.
-    """
-    shape = f"conv_id {repaired.blocks.schema['conv_id'].dataType.simpleString()}, repaired_sha256 string"
-    open_ = repaired.blocks.where("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "at")
-    return stream(repaired.blocks.where("whole"), _hashed, shape).unionByName(stream(open_, _hashed, shape))
+    columns = ["conv_id", "at", "whole", "roles", "texts", "audit", "state", "total"]
+    whole = blocks.where("total is not null").withColumns({"whole": F.lit(True), "audit": F.col("total.audit"), "state": F.lit("Open")})
+    rest = blocks.where("total is null").select("at", "conv_id", "roles", "texts").join(pieces.select(F.col("of").alias("at"), F.col("piece").alias("audit"), "state", "total"), "at")
+    return Repair(whole.select(columns).unionByName(rest.withColumn("whole", F.lit(False)).select(columns)))
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -333,12 +338,10 @@ def repaired_damage(conversations: DataFrame) -> DataFrame:
     """What op11 returns: a row for each conv_id of conversations, also of those that the damage has left no turn."""
     found = repair(damaged(conversations))
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
-    # Both come from the blocks of one parse and have a row for each conversation.
-    both = found.conversations.withColumn("repaired_sha256", F.lit(None).cast("string")).unionByName(digests(found).select("conv_id", *(F.lit(None).cast("long").alias(c) for c in counts), F.lit(None).cast("string").alias("audit"), "repaired_sha256"))
-    every = conversations.select("conv_id").distinct().select("conv_id", *(F.lit(None).cast("long").alias(c) for c in counts), *(F.lit(None).cast("string").alias(c) for c in ("audit", "repaired_sha256")))
-    out = every.unionByName(both).groupBy("conv_id").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts), F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
-    return out.select("conv_id", *counts, "audit", "repaired_sha256")
-
+    there = found.digests().select("conv_id", *(f"total.{c}" for c in counts), "total.audit", "repaired_sha256")
+    left = found.pieces.select(F.col("conv_id").alias("left_id"))
+    gone = conversations.select("conv_id").distinct().join(left, F.col("conv_id").eqNullSafe(F.col("left_id")), "left_anti")
+    return there.unionByName(gone.select("conv_id", *(F.lit(0).cast("long").alias(c) for c in counts), F.lit("").alias("audit"), F.sha2(F.lit(""), 256).alias("repaired_sha256")))
 
 
 def _sql() -> str:
