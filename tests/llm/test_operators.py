@@ -903,3 +903,23 @@ def test_pii_of_long_runs():
         text = "".join(rng.choice(list("0125.. x"), 40))
         want = [m.span() for m in plain.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
         assert [x[1:] for x in pii.spans(text) if x[0] == "ip"] == want
+
+
+@pytest.mark.parametrize("page", ["<div>", "<a ", "<a\"'>", "<![CDATA[>", "<!", "<ul><li>", "<div class=comments>", "<div></b>"])
+def test_html_in_linear_time(page):
+    """20,000 of each would take minutes if anything were looked at again for each of them."""
+    began = time.perf_counter()
+    html_extract.extract(page * 20_000 + "the end")
+    assert time.perf_counter() - began < 4
+
+
+def test_html_names_as_parts_of_tokens():
+    story = "<article><h1>Head</h1><p>" + "A story, told in full. " * 20 + "</p>{}</article>"
+    for name in ("class='user-comments'", "class=reader-comments", "class=blog-sidebar", "class='gdpr-banner x'", "class=google-ads", "class=newsletter-signup-form", "id=discussion"):
+        text = html_extract.extract(f"<body>{story.format(f'<div {name}><p>Said a reader, at length.</p></div>')}</body>")
+        assert text.startswith("Head\nA story") and "reader" not in text, name
+    told = "<p>" + "A story, told in full. " * 20 + "</p>"
+    for page in (f"<h1>Head</h1><div class=register>{told}</div>", f"<div class='post has-comments'><h1>Head</h1>{told}</div>", f"<div class=comments>{told}</div>"):
+        assert "A story, told" in html_extract.extract(f"<body>{page}</body>")
+    remarks = "<div class=user-comments><p>" + "A remark, by a reader. " * 90 + "</p></div>"
+    assert "remark" not in html_extract.extract(f"<body><div class=text>{told}</div>{remarks}</body>")
