@@ -186,7 +186,7 @@ def tolerant_json(text: Column, most: int = 3) -> Column:
 KEPT_NUMBER, NUMBER_MARK = r"(?U)[+−-]?\d+(?:[.,]\d+)*%?", r"\[\[N_[0-9]{6}\]\]"
 
 
-def _replaced(text: Column, pattern: str, new: Column) -> Column:
+def replaced(text: Column, pattern: str, new: Column) -> Column:
     """The text with its matches of pattern, in their order, replaced by the elements of an array."""
     gaps = F.split(text, pattern, -1)
     return F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
@@ -198,7 +198,7 @@ def protect_numbers(paragraphs: Column) -> Column:
     mark = lambda n: F.format_string("[[N_%06d]]", n)
     # The first token of each paragraph is numbered by the numbers before it.
     firsts = F.transform(paragraphs, lambda p, i: F.aggregate(F.slice(paragraphs, 1, i), F.lit(0), lambda n, q: n + F.size(found(q))))
-    masked = F.zip_with(paragraphs, firsts, lambda p, n: _replaced(p, KEPT_NUMBER, F.transform(found(p), lambda _, k: mark(n + k))))
+    masked = F.zip_with(paragraphs, firsts, lambda p, n: replaced(p, KEPT_NUMBER, F.transform(found(p), lambda _, k: mark(n + k))))
     tokens = F.map_from_entries(F.transform(F.flatten(F.transform(paragraphs, found)), lambda v, k: F.struct(mark(k), v)))
     return F.struct(masked.alias("paragraphs"), tokens.alias("tokens"))
 
@@ -214,5 +214,46 @@ def restore_numbers(translated: Column, masked: Column, tokens: Column) -> Colum
         return F.when(gone, "missing_paragraph").when(moved, "numeric_placeholder_changed").when(added, "unprotected_number_added")
 
     faults = F.when(F.size(translated) != F.size(masked), F.array(F.lit("paragraph_ids_or_order_changed"))).otherwise(F.array_compact(F.zip_with(translated, masked, fault)))
-    back = F.transform(translated, lambda p: _replaced(p, NUMBER_MARK, F.transform(marks(p), lambda m: F.try_element_at(tokens, m))))
+    back = F.transform(translated, lambda p: replaced(p, NUMBER_MARK, F.transform(marks(p), lambda m: F.try_element_at(tokens, m))))
     return F.transform(F.array(faults), lambda f: F.struct(F.when(F.size(f) == 0, back).alias("paragraphs"), F.get(f, 0).alias("error")))[0]
+
+
+# The fence that answers may stand in, the punctuation that edits of JSON may change, the errors.
+FENCE = r"(?is)\A```(?:json|text)?\s*\n(.*?)\n```\z"
+JSON_PUNCTUATION, JSON_STRING = r"(?U)[\[\]{}:,\s]+", r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def parsed(json: Column) -> Column:
+    """struct(value, shape) of a JSON text, null unless it is one value and nothing else: what follows a value is only noticed inside another."""
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit(',"w":0}')))
+    shape = F.regexp_extract(F.schema_of_variant(held), r"(?s)\AOBJECT<v: (.*), w: BIGINT>\z", 1)
+    return F.when(shape != "", F.struct(F.try_variant_get(held, "$.v", "variant").alias("value"), shape.alias("shape")))
+
+
+def read_answer(raw: Column, plain: Column) -> Column:
+    """struct(answer, error): the text in a JSON object of `answer` alone, fenced or not; in plain mode any other text that isn't blank. A repeated key is no answer."""
+    body = strip(F.coalesce(raw, F.lit("")))
+    body = F.when(body.rlike(FENCE), strip(F.regexp_extract(body, FENCE, 1))).otherwise(body)
+    found = parsed(body)
+    said = F.when(found["shape"] == "OBJECT<answer: STRING>", F.try_variant_get(found["value"], "$.answer", "string"))
+    answer = F.when(strip(said) != "", said).when(F.coalesce(plain, F.lit(False)) & (body != ""), body)
+    return F.struct(answer.alias("answer"), F.when(answer.isNull(), "AnswerFormatError").alias("error"))
+
+
+def json_edited(json: Column, edits: Column) -> Column:
+    """struct(json, error): a JSON text after an array of struct(old, new), in turn. Each names a place that occurs once, and changes brackets, colons, commas
+    and white space only; texts in quotes stay as they are. Null text or edits: nulls."""
+
+    def step(state: Column, edit: Column) -> Column:
+        before, old, new = state["json"], edit["old"], edit["new"]
+        places = F.length(before) - F.length(F.replace(before, old, F.lit("")))
+        content = lambda c: F.regexp_replace(c, JSON_PUNCTUATION, "")
+        fault = F.when((old == "") | (places != F.length(old)), "nonunique_edit_anchor").when(content(old) != content(new), "edit_changes_nonpunctuation_content")
+        error = F.coalesce(state["error"], fault)
+        return F.struct(F.when(error.isNull(), F.replace(before, old, new)).otherwise(before).alias("json"), error.alias("error"))
+
+    done = F.aggregate(edits, F.struct(json.alias("json"), F.lit(None).cast("string").alias("error")), step)
+    quoted = lambda c: F.regexp_extract_all(c, F.lit(JSON_STRING), F.lit(0))
+    fault = F.when(quoted(done["json"]) != quoted(json), "edit_changes_json_string_contents").when(parsed(done["json"]).isNull(), "still_invalid")
+    error = F.when(json.isNotNull() & edits.isNotNull(), F.coalesce(done["error"], fault))
+    return F.struct(F.when(error.isNull(), done["json"]).alias("json"), error.alias("error"))

@@ -63,28 +63,6 @@ def digest(mode: str = "spaced") -> Callable:
     return _texts(lambda t: canonical_digest(json.loads(t), mode), StringType())
 
 
-_FENCE = re.compile(r"```(?:json|text)?\s*\n(.*?)\n```", re.S | re.I)
-
-
-def read_answer(raw: str, plain: bool) -> tuple[str | None, str | None]:
-    """(answer, error): a JSON object with `answer` alone, fenced or not; other texts are answers only in plain mode."""
-    text = raw.strip()
-    if m := _FENCE.fullmatch(text):
-        text = m[1].strip()
-    try:
-        value = json.loads(text)
-    except ValueError:
-        value = None
-    if isinstance(value, dict) and list(value) == ["answer"] and isinstance(value["answer"], str) and value["answer"].strip():
-        return value["answer"], None
-    return (text, None) if plain and text else (None, "AnswerFormatError")
-
-
-@F.pandas_udf(StructType([StructField("answer", StringType()), StructField("error", StringType())]))
-def extract_answer(raw: pd.Series, plain: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_answer(r or "", bool(p)) for r, p in zip(raw, plain, strict=True)], columns=["answer", "error"])
-
-
 _KEY = re.compile(r"\[\[([^\]]+)\]\]")
 
 
@@ -177,35 +155,6 @@ def repair_json(text: str) -> str | None:
 
 json_repaired = _texts(repair_json, StringType())
 
-_STRING, _BETWEEN = re.compile(r'"(?:[^"\\]|\\.)*"', re.S), str.maketrans("", "", "[]{}:, \t\r\n")
-
-
-def edited_json(text: str, edits: list[tuple[str, str]]) -> tuple[str | None, str | None]:
-    """(JSON text, error) after edits of its punctuation, in turn. Each names a place that occurs once, and may change nothing
-    but brackets, colons, commas and white space outside of strings."""
-    changed = text
-    for old, new in edits:
-        if old == "" or len(changed.split(old)) != 2:
-            return None, "nonunique_edit_anchor"
-        if old.translate(_BETWEEN) != new.translate(_BETWEEN):
-            return None, "edit_changes_nonpunctuation_content"
-        changed = new.join(changed.split(old))
-    if _STRING.findall(changed) != _STRING.findall(text):
-        return None, "edit_changes_json_string_contents"
-    try:
-        json.loads(changed)
-    except ValueError:
-        return None, "still_invalid"
-    return changed, None
-
-
-@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
-def json_edited(text: pd.Series, edits: pd.Series) -> pd.DataFrame:
-    """edited_json over a column of texts and one of arrays of struct(old, new)."""
-    found = [edited_json(t, [(e["old"], e["new"]) for e in es]) if t is not None and es is not None else (None, None) for t, es in zip(text, edits, strict=True)]
-    return pd.DataFrame(found, columns=["json", "error"])
-
-
 @F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Width and height from the header of a PNG, GIF or JPEG; null for others."""

@@ -160,10 +160,11 @@ def normalized_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select n_nationkey, upper(n_name) || ' [[key]] 5.0%' as text from nation")
 def translated_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of texts through a translator that writes in capitals: keys and numbers stay."""
-    tree = {str(r["n_nationkey"]): [f"{r['n_name'].lower()} [[key]] 5.0%"] for r in table(spark, sf_dir, "nation").collect()}  # 25 rows
-    done = providers.translate_tree(tree, lambda batch: [t.upper() for t in batch])
-    return spark.createDataFrame([(int(k), v[0]) for k, v in done.items()], "n_nationkey int, text string")
+    """Trees of texts through a translator that writes in capitals: placeholders and numbers stay."""
+    ship(spark)
+    tree = F.to_json(F.struct(F.array(F.concat(F.lower("n_name"), F.lit(" [[key]] 5.0%"))).alias("texts"), F.struct(F.lit("12|7").alias("none")).alias("more")))
+    done = providers.translate_trees(table(spark, sf_dir, "nation").select("n_nationkey", tree.alias("tree")), lambda batch: [t.upper() for t in batch], "n_nationkey", "tree")
+    return done.select("n_nationkey", F.get_json_object("tree", "$.texts[0]").alias("text"))
 
 
 @query("""with m as (select p_partkey % 60 as px, median(p_size::double) as y from part group by 1), s as (select px / 10.0 as x, (100.0 - y) / 80.0 * 50.0 as v from m),
@@ -281,7 +282,7 @@ def recovered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = log.join(failures(spark, sf_dir).select("event_id", F.when(F.col("mode") == "plain", "other").otherwise(F.col("mode")).alias("answer_mode"), "error_type"), "event_id").withColumn("raw_output", raw)
     unread = (F.col("answer_mode").isNull() | (F.col("answer_mode") != "other")) & F.col("error_type").isin("JSONDecodeError", "AnswerFormatError")
     results = log.select("id").distinct().withColumn("status", F.lit("failed"))
-    return usage.recover_answers(results, log, unread, udfs.extract_answer)
+    return usage.recover_answers(results, log, unread, text.read_answer)
 
 
 @query("""with a as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as no, json_extract_string(props, '$.k')::bigint as k, ts from events),
@@ -329,7 +330,7 @@ def edited_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.concat(F.lit('{"x": ['), k, F.lit(']], "s": "a]]"}'))
     new = F.when(F.col("event_id") % 2 == 0, F.concat(k, F.lit("], "))).otherwise(F.lit("7], "))
     edits = F.array(F.struct(F.concat(k, F.lit("]], ")).alias("old"), F.when((F.col("event_id") % 2 == 1) & (k == "7"), F.lit("8], ")).otherwise(new).alias("new")))
-    return table(spark, sf_dir, "events").select("event_id", udfs.json_edited(broken, edits).alias("r")).select("event_id", "r.json", "r.error")
+    return table(spark, sf_dir, "events").select("event_id", text.json_edited(broken, edits).alias("r")).select("event_id", "r.json", "r.error")
 
 
 @query("select status, count(*) as n from (select case when event_type = 'error' then 'failed' else 'completed' end as status from events) group by status")

@@ -135,9 +135,8 @@ def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select conv_id, turn, text as answer from conversations where trim(text) <> ''""")
 def fenced_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers wrapped in fenced JSON are read back."""
-    ship(spark)
     raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("text").alias("answer"))), F.lit("\n```"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", udfs.extract_answer(raw, F.lit(False)).alias("r"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.read_answer(raw, F.lit(False)).alias("r"))
     return rows.where("r.error is null").select("conv_id", "turn", F.col("r.answer").alias("answer"))
 
 

@@ -7,6 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from benchloom import providers
 from benchloom.functions import text, udfs
 from benchloom.session import ship
 
@@ -54,13 +55,13 @@ def test_unicode_forms(spark):
     assert column(spark, ["١٢٣ a９", "५"], udfs.ascii_digits) == ["123 a9", "5"]
 
 
-def test_answer_reading():
-    assert udfs.read_answer('{"answer":"750"}', False) == ("750", None)
-    assert udfs.read_answer('```json\n{"answer":"1"}\n```', False) == ("1", None)
-    for bad in ('{"answer":1}', '{"answer":""}', '{"answer":"1","x":2}', "750", "", '["answer"]'):
-        assert udfs.read_answer(bad, False) == (None, "AnswerFormatError")
-    assert udfs.read_answer(" 750 ", True) == ("750", None)
-    assert udfs.read_answer("", True)[0] is None
+def test_answer_reading(spark):
+    cases = [('{"answer":"750"}', False, "750"), ('```json\n{"answer":"1"}\n```', False, "1"), (" 750 ", True, "750"), ("", True, None), (None, True, None), ('{"answer":" a "}', False, " a "), ('```\nb\n```', True, "b")]
+    cases += [(bad, False, None) for bad in ('{"answer":1}', '{"answer":""}', '{"answer":" "}', '{"answer":"1","x":2}', "750", "", '["answer"]', '{"answer":"1"} x', '{"Answer":"1"}', '"answer"', "{}", "null")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, raw string, plain boolean, want string")
+    for r in rows.select("*", text.read_answer(F.col("raw"), F.col("plain")).alias("r")).collect():
+        assert (r.r.answer, r.r.error) == (r.want, None if r.want is not None else "AnswerFormatError"), r.raw
+        assert providers.answer_of(r.raw or "", r.plain) == r.want
 
 
 def test_binding():
@@ -96,13 +97,23 @@ def test_json_repair():
     assert udfs.repair_json("{x}") is None
 
 
-def test_json_edits():
+def test_json_edits(spark):
     broken = '{"x":[1,2]],"code":"a[0]"}'
-    assert udfs.edited_json(broken, [("2]],", "2],")]) == ('{"x":[1,2],"code":"a[0]"}', None)
-    assert udfs.edited_json(broken, [("2]],", "3],")])[1] == "edit_changes_nonpunctuation_content"
-    assert udfs.edited_json(broken, [('"a[0]"', '"a0"')])[1] == "edit_changes_json_string_contents"
-    assert udfs.edited_json(broken, [("]", "")])[1] == udfs.edited_json(broken, [("", "]")])[1] == "nonunique_edit_anchor"
-    assert udfs.edited_json(broken, [])[1] == "still_invalid"
+    cases = [
+        ([("2]],", "2],")], '{"x":[1,2],"code":"a[0]"}', None),
+        ([("2]],", "2 ],"), ("2 ],", "2],\u2003")], '{"x":[1,2],\u2003"code":"a[0]"}', "still_invalid"),
+        ([("2]],", "3],")], None, "edit_changes_nonpunctuation_content"),
+        ([('"a[0]"', '"a0"')], None, "edit_changes_json_string_contents"),
+        ([("]", "")], None, "nonunique_edit_anchor"),
+        ([("", "]")], None, "nonunique_edit_anchor"),
+        ([("absent", "absent")], None, "nonunique_edit_anchor"),
+        ([], None, "still_invalid"),
+    ]
+    rows = spark.createDataFrame([(i, broken, e, w, x) for i, (e, w, x) in enumerate(cases)], "i int, json string, edits array<struct<old:string,new:string>>, want string, error string")
+    for r in rows.select("*", text.json_edited(F.col("json"), F.col("edits")).alias("r")).collect():
+        assert (r.r.json, r.r.error) == (r.want if r.error is None else None, r.error), r.edits
+    odd = spark.createDataFrame([(None, []), ("{}", None), ('"' + "\\\\x" * 20_000 + '"', [])], "json string, edits array<struct<old:string,new:string>>")
+    assert sorted(str(r.r.error) for r in odd.select(text.json_edited(F.col("json"), F.col("edits")).alias("r")).collect()) == ["None"] * 3
 
 
 def test_localized_numbers(spark):
