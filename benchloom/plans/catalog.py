@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, files, logs, releases, rules, scores, tables, texts  # noqa: F401  they register their queries
+from . import checks, files, logs, releases, rules, scores, streams, tables, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
