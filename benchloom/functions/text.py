@@ -257,3 +257,11 @@ def json_edited(json: Column, edits: Column) -> Column:
     fault = F.when(quoted(done["json"]) != quoted(json), "edit_changes_json_string_contents").when(parsed(done["json"]).isNull(), "still_invalid")
     error = F.when(json.isNotNull() & edits.isNotNull(), F.coalesce(done["error"], fault))
     return F.struct(F.when(error.isNull(), done["json"]).alias("json"), error.alias("error"))
+
+
+def similarity_bound(a: Column, b: Column) -> Column:
+    """At least the share of matching blocks of two texts: the share of characters that they have in common at all, in any order."""
+    many = lambda c, x: F.length(c) - F.length(F.replace(c, x, F.lit("")))
+    characters = F.array_distinct(F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)))
+    both = F.aggregate(characters, F.lit(0), lambda n, x: n + F.least(many(a, x), many(b, x)))
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * both / (F.length(a) + F.length(b)))

@@ -81,8 +81,8 @@ def bind(template: pd.Series, labels: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching blocks of two texts, as difflib counts it (an edit distance is not the same)."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Share of matching blocks of two texts, as difflib counts it (an edit distance is not the same); null for a null."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def forbidden_path(text: str, banned: frozenset[str]) -> str | None:

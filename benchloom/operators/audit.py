@@ -52,6 +52,27 @@ def constant(name: str, rows: DataFrame, keys: list[str], fields: list[str]) ->
     return violations(name, found.select(*keys, varied.alias("v")).where(F.size("v") > 0), F.concat_ws("/", *keys), F.concat_ws(",", "v"))
 
 
+def constant_nested(name: str, rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Groups in which a field, of any type, has several values. Missing equals missing: a null, a null inside a value and a column that isn't there."""
+    there = [f for f in fields if f in rows.columns]
+    parts = [F.countDistinct(F.sha2(F.to_json(F.struct(F.col(f).alias("v"))), 256)).alias(f"__{f}") for f in there]
+    if not parts:
+        return violations(name, rows.where("false"), F.lit(None), F.lit(None))
+    varied = F.array_compact(F.array(*(F.when(F.col(f"__{f}") > 1, f) for f in there)))
+    found = rows.groupBy(*keys).agg(*parts).select(*keys, varied.alias("v")).where(F.size("v") > 0)
+    return violations(name, found, F.concat_ws("/", *keys), F.concat_ws(",", "v"))
+
+
+def agrees(name: str, found: DataFrame, published: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Keys that only one of two relations has, and those where a value differs by more than the tolerance; null equals null."""
+    side = lambda df, tag: df.select(*keys, F.struct(*values).alias(tag))
+    both = side(found, "a").join(side(published, "b"), keys, "full_outer")
+    off = lambda v: ~F.coalesce(F.abs(F.col(f"a.{v}") - F.col(f"b.{v}")) <= tolerance, F.col(f"a.{v}").isNull() & F.col(f"b.{v}").isNull())
+    differing = F.concat_ws(",", F.array_compact(F.array(*(F.when(off(v), v) for v in values))))
+    detail = F.when(F.col("a").isNull(), "not found").when(F.col("b").isNull(), "not published").when(differing != "", differing)
+    return violations(name, both.withColumn("d", detail).where("d is not null"), F.concat_ws("/", *keys), F.col("d"))
+
+
 def same_keys(name: str, relations: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return violations(name, key_violations(relations, keys), F.concat_ws("/", *keys), F.concat(F.lit("missing from "), F.concat_ws(",", "missing_from")))
 
@@ -141,11 +162,24 @@ def resume(predictions: DataFrame, current: DataFrame, fields: list[str]) -> Dat
     return violations("inputs_changed", rows.withColumn("c", changed).where(F.size("c") > 0), F.col("id"), F.concat_ws(",", "c"))
 
 
+# What the requests of a question may not differ in.
+SETTINGS = ("generationConfig", "max_output_tokens", "schema", "model")
+
+
 def paired(rows: DataFrame, languages: int = 24) -> DataFrame:
-    """What a paired analysis rests on: one question, answer and context for each case and language asked, all images there."""
+    """What a paired analysis rests on, for each case and language asked: all images there, and one question, answer, context, prompt, effective
+    reference and setting of the requests. Context and settings may be nested; what no row has isn't compared.
+    """
     asked = ["case_id", "query_language"]
     pivots = rows.where(F.col("query_language").isin("en", "zh"))
-    return report(rows.sparkSession, [group_sizes("images_of_question", pivots, asked, languages), constant("question_constant", pivots, asked, ["query", "answer"])])
+    held = {"question": ["query", "answer"], "context": ["source_context"], "prompt": ["prompt_sha256"], "reference": ["reference_effective"], "settings": list(SETTINGS)}
+    checks = [constant_nested(f"{name}_constant", pivots, asked, fields) for name, fields in held.items()]
+    return report(rows.sparkSession, [group_sizes("images_of_question", pivots, asked, languages), *checks])
+
+
+def paired_scores(metrics: DataFrame, leaderboard: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Scores that a paired analysis has found must be those of the leaderboard."""
+    return agrees("leaderboard_agrees", metrics, leaderboard, keys, values, tolerance)
 
 
 def paired_metrics(rows: DataFrame, key: str, tolerance: float = 1e-9) -> DataFrame:

@@ -101,6 +101,22 @@ def context_errors(language: Column, query_language: Column, policy: Column) ->
     return F.when((language != query_language) | (policy != CONTEXT_POLICY), "invalid_source_context_policy")
 
 
+def undecided(old: Column, new: Column, least: float) -> Column:
+    """Whether two texts have to be matched to tell if their similarity reaches `least`: equal ones and such with too few characters in common don't."""
+    return (old != new) & (text.similarity_bound(old, new) >= least)
+
+
+def less_similar(old: Column, new: Column, least: float) -> Column:
+    """Whether the share of matching blocks is under `least`. Matching takes the product of the lengths, so that only undecided pairs reach it."""
+    match = undecided(old, new, least)
+    return F.when(match, udfs.similarity_ratio(F.when(match, old), F.when(match, new)) < least).otherwise(old != new)
+
+
+def run_key(settings: dict[str, Column]) -> Column:
+    """The digest that names a run: of all its settings, by name."""
+    return udfs.digest("spaced")(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(settings.items()))), {"ignoreNullFields": "false"}))
+
+
 def edit_issues(old: Column, new: Column, least_similar: float = 0.55) -> Column:
     """What a copy edit changed that it may not: placeholders, numbers, operators, direction marks, or too much."""
     numbers = lambda c: F.sort_array(F.regexp_extract_all(F.regexp_replace(c, r"\[\[[^\]]+\]\]", ""), F.lit(BARE_NUMBER), F.lit(0)))
@@ -111,7 +127,7 @@ def edit_issues(old: Column, new: Column, least_similar: float = 0.55) -> Column
         ("operator_changed", operators(old) != operators(new)),
         ("empty_query", text.strip(new) == ""),
         ("bidi_control", new.rlike(BIDI_CONTROLS)),
-        ("extensive_rewrite", udfs.similarity_ratio(old, new) < least_similar),
+        ("extensive_rewrite", less_similar(old, new, least_similar)),
     ]
     return F.array_compact(F.array(*(F.when(c, n) for n, c in checks)))
 

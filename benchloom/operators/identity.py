@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..storage import drop, stored
 
 
 def short_id(*parts: Column, length: int = 20, separator: str = ":") -> Column:
@@ -61,24 +62,37 @@ def lineage(predictions: DataFrame, requests: DataFrame, attempts: DataFrame, re
     return rows.withColumns({"has_request": F.col("request").isNotNull(), "has_attempt": F.col("selected_attempt").isNull() | F.col("attempt").isNotNull(), "judged_this": F.col("judgment.prediction").eqNullSafe(F.col("prediction"))})
 
 
-def ancestry(revisions: DataFrame, start: str, most: int = 50) -> list[str]:
-    """A revision and its ancestors, nearest first, along (revision, parent) links; a few lookups on the driver."""
-    chain: list[str] = []
-    at: str | None = start
-    while at is not None and len(chain) < most:
-        if at in chain:
-            raise ValueError(f"revision {at} is its own ancestor")
-        chain.append(at)
-        row = revisions.where(F.col("revision") == at).select("parent").first()
-        at = row["parent"] if row else None
-    return chain
-
-
-def nearest_revision(rows: DataFrame, chain: list[str], key: str) -> DataFrame:
-    """Of rows(key, revision) the one from the nearest revision in the chain."""
-    depth = F.array_position(F.array(*map(F.lit, chain)), F.col("revision"))
-    ranked = rows.withColumn("__depth", depth).where("__depth > 0")
-    return ranked.groupBy(key).agg(F.min_by(F.struct(*rows.columns), "__depth").alias("r")).select("r.*")
+def ancestry(revisions: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, revision, depth, error): each of starts(revision) with itself (depth 0) and all its ancestors along revisions(revision, parent).
+
+    Chains can have any length: each round doubles the distance that is known, for all starts together, over stored tables. A start
+    whose chain comes back to itself or to another revision in it has one row, with an error. A parent that has no row is the last of its chain.
+    """
+    spark = revisions.sparkSession
+    links = revisions.where("revision is not null and parent is not null").groupBy("revision").agg(F.min("parent").alias("up"))
+    jump = stored(links, "jump")
+    most = jump.count() + 1
+    known = stored(starts.select(F.col("revision").alias("start"), F.col("revision")).where("start is not null").distinct().withColumn("depth", F.lit(0).cast("long")), "known")
+    step = 1
+    while step <= most and jump.take(1):
+        further = known.join(jump, "revision").select("start", F.col("up").alias("revision"), F.col("depth") + step)
+        longer = stored(known.unionByName(further.toDF("start", "revision", "depth")), "known")
+        jump, before = stored(jump.join(jump.select(F.col("revision").alias("up"), F.col("up").alias("top")), "up").select("revision", F.col("top").alias("up")), "jump"), jump
+        drop(spark, known, before)
+        known, step = longer, 2 * step
+    drop(spark, jump)
+    # Without a cycle no chain is longer than there are links.
+    cyclic = known.where(F.col("depth") >= most).select("start").distinct()
+    fine = known.join(cyclic, "start", "left_anti").withColumn("error", F.lit(None).cast("string"))
+    wrong = cyclic.select("start", F.col("start").alias("revision"), F.lit(0).cast("long").alias("depth"), F.lit("is its own ancestor, or has one that is").alias("error"))
+    return fine.unionByName(wrong)
+
+
+def nearest_revision(rows: DataFrame, chains: DataFrame, key: str) -> DataFrame:
+    """Of rows(key, revision) the one from the nearest revision, for each key and start of chains(start, revision, depth, error); with the start."""
+    own = [c for c in rows.columns]
+    ranked = rows.join(chains.where("error is null").select("start", F.col("revision").alias("of_"), F.col("depth").alias("depth_")), F.col("revision") == F.col("of_"))
+    return ranked.groupBy(key, "start").agg(F.min_by(F.struct(*own), "depth_").alias("r")).select("start", "r.*")
 
 
 def with_identity(candidates: DataFrame, identities: DataFrame, key: str = "id") -> DataFrame:

@@ -298,6 +298,26 @@ def paired_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.paired(rows, 4).unionByName(audit.paired_metrics(metrics, "case_id")).unionByName(weighted)
 
 
+@query(f"""with {VARIANTS}, n as (select distinct {N} as n, case_id from v) select * from (
+select 'context_constant' as "check", case_id || '/en' as key, 'source_context' as detail from n where n % 5 = 1 union all select 'prompt_constant', case_id || '/zh', 'prompt_sha256' from n where n % 5 = 2
+union all select 'settings_constant', case_id || '/en', 'max_output_tokens,schema' from n where n % 5 = 3 union all select 'reference_constant', case_id || '/zh', 'reference_effective' from n where n % 5 = 4
+union all select 'leaderboard_agrees', case_id, 'accuracy' from n where n % 5 = 1 union all select 'leaderboard_agrees', case_id, 'not published' from n where n % 5 = 2 union all select 'leaderboard_agrees', case_id, 'not found' from n where n % 5 = 3)""")
+def paired_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts, prompts, settings and references that differ within a question, and scores that aren't the leaderboard's; nulls inside a context don't count."""
+    fifth, one = number() % 5, F.col("image_language") == "de"
+    rows = build(spark, sf_dir).withColumn("query", F.col("question")).withColumn("query_language", F.when(F.col("query_language") == "fr", "zh").otherwise(F.col("query_language")))
+    wrong = lambda k, asked: (fifth == k) & one & (F.col("query_language") == asked)
+    paragraph = F.struct(F.when(wrong(1, "en"), "other").otherwise("text").alias("text"), F.lit(None).cast("string").alias("note"))
+    rows = rows.withColumn("source_context", F.when(number() % 2 == 0, F.struct(F.array(paragraph).alias("paragraphs"))).otherwise(F.struct(F.array(paragraph).alias("paragraphs"))))
+    rows = rows.withColumns({
+        "prompt_sha256": F.when(wrong(2, "zh"), "b").otherwise("a"), "max_output_tokens": F.when(wrong(3, "en"), 9).otherwise(8), "schema": F.when(~wrong(3, "en"), F.struct(F.lit("object").alias("type"))),
+        "reference_effective": F.when(~wrong(4, "zh"), "5"), "generationConfig": F.lit(None).cast("struct<temperature:double>"),
+    })
+    scores = rows.groupBy("case_id").agg((F.count(F.lit(1)) / 7.0).alias("accuracy"), F.lit(None).cast("double").alias("gap"))
+    board = scores.where(fifth != 2).withColumn("accuracy", F.col("accuracy") + F.when(fifth == 1, 1e-6).otherwise(1e-12))
+    return audit.paired(rows, 4).unionByName(audit.paired_scores(scores.where(fifth != 3), board, ["case_id"], ["accuracy", "gap"]))
+
+
 @query("""select * from (values ('unique_references', '1'), ('unique_predictions', '2'), ('complete', '3'), ('complete', '-1'), ('terminal', '4'), ('run_key', '5')) as t("check", key)""")
 def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))

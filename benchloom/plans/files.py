@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import udfs
 from ..operators import windows
 from ..session import ship
-from ..sources import readers, sinks
+from ..sources import keyed, readers, sinks
+from ..sources import positions as places
 from ..storage import shared_dir
 from .registry import query, table
 
@@ -86,6 +87,35 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.inventory(positions(spark, sf_dir, "inventory"))
 
 
+@query(f"with {_POSITIONS} select file, row_index, p.n_nationkey, n_name from p join nation n on n.n_nationkey = p.n_nationkey where (p.n_regionkey % 2 = 0 and row_index = 1) or row_index = 3")
+def indexed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of some places, by the files' index of row groups."""
+    path = region_files(spark, sf_dir, "indexed")
+    every = readers.parquet_tree(spark, path)
+    even = F.regexp_extract("file", r"([0-9])\.parquet$", 1).cast("int") % 2 == 0
+    wanted = every.where((even & (F.col("row_index") == 1)) | (F.col("row_index") == 3)).select("file", "row_index")
+    rows = places.rows_at(spark, path, wanted, ["n_nationkey", "n_name"])
+    return rows.withColumn("file", F.regexp_extract("file", r"([^/]+)\.parquet$", 1))
+
+
+@query(f"with {_POSITIONS} select file, count(*) as rows, 'n_nationkey,n_name,image' as columns from p group by file")
+def file_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of each file, from the footers."""
+    found = places.inventory(places.row_groups(spark, region_files(spark, sf_dir, "columns")))
+    return found.select(F.regexp_extract("file", r"([^/]+)\.parquet$", 1).alias("file"), "rows", F.array_join("columns", ",").alias("columns"))
+
+
+@query("select doc_id, case when doc_id % 5 = 0 then n_chars + 5 when doc_id % 3 = 0 then n_chars + 3 else n_chars end as n_chars, case when doc_id % 5 = 0 then 3 when doc_id % 3 = 0 then 2 else 1 end as attempt from documents")
+def compacted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three upserts and a merge: one row for each key, the latest."""
+    rows, path = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), folder(spark, "keyed")
+    for attempt, every in ((1, 1), (3, 5), (2, 3)):
+        new = F.col("n_chars") + (every if attempt > 1 else 0)
+        keyed.upsert(rows.where(F.col("doc_id") % every == 0).select("doc_id", new.alias("n_chars"), F.lit(attempt).alias("attempt")), path, ["doc_id"], ["attempt"])
+    keyed.compact(spark, path, ["doc_id"], ["attempt"])
+    return keyed.read(spark, path, ["doc_id"], ["attempt"])
+
+
 @query("select 'tests' as name, 2 as files union all select 'parquet', 5 union all select 'none', 0")
 def file_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.marker_counts(spark, region_files(spark, sf_dir, "markers"), {"tests": "/test-", "parquet": r"\.parquet$", "none": "/x-"})

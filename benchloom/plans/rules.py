@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import text, udfs
-from ..operators import audit, curation, fanout, identity, predicates, scoring, sets, usage, windows
+from ..operators import audit, curation, fanout, identity, predicates, scoring, sets, snapshots, usage, windows
 from ..session import ship
 from .registry import query, rounded, table
 
@@ -198,10 +198,59 @@ def lineage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_custkey as k, case when c_custkey % 3 = 0 then 'v3' when c_custkey % 3 = 1 then 'v2' else 'v1' end as revision from customer")
 def nearest_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the revisions that have a row, the nearest ancestor's; a revision outside the chain never counts."""
-    chain = identity.ancestry(spark.createDataFrame([("v3", "v2"), ("v2", "v1"), ("v1", None), ("w", "v1")], "revision string, parent string"), "v3")
+    chain = identity.ancestry(spark.createDataFrame([("v3", "v2"), ("v2", "v1"), ("v1", None), ("w", "v1")], "revision string, parent string"), spark.createDataFrame([("v3",)], "revision string"))
     k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     held = F.when(F.col("k") % 3 == 0, F.array(F.lit("v1"), F.lit("v3"), F.lit("w"))).when(F.col("k") % 3 == 1, F.array(F.lit("w"), F.lit("v2"), F.lit("v1"))).otherwise(F.array(F.lit("v1"), F.lit("w")))
-    return identity.nearest_revision(k.select("k", F.explode(held).alias("revision")), chain, "k")
+    return identity.nearest_revision(k.select("k", F.explode(held).alias("revision")), chain, "k").drop("start")
+
+
+@query("""with s as (select o_orderkey, c_name || case when c_custkey % 50 = 1 then ' (new)' else '' end as name, o_orderpriority as priority from orders join customer on o_custkey = c_custkey),
+p as (select 'source' as kind, name as content from s union all select 'request', priority from s)
+select kind, count(*) as "references", count(distinct content) as entries, (select count(distinct c_custkey) from customer join orders on o_custkey = c_custkey where c_custkey % 50 = 1) as unreferenced from p group by kind""")
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers' rows and priorities, put into one store three times, twice the same, then with changed customers."""
+    from .files import folder
+
+    path, orders = folder(spark, "snapshots"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("note")).alias("row"))
+    renamed = customers.withColumn("row", F.when(F.col("c_custkey") % 50 == 1, F.col("row").withField("name", F.concat("row.name", F.lit(" (new)")))).otherwise(F.col("row")))
+    for state in (customers, customers, renamed):
+        snapshots.snapshot({"source": orders.join(state, "c_custkey").select("id", "row"), "request": orders.join(state, "c_custkey").select("id", F.col("o_orderpriority").alias("priority"))}, path)
+    found = snapshots.counts(spark, path).groupBy("kind").agg(F.sum("n").alias("references"), F.count(F.lit(1)).alias("entries"))
+    return found.crossJoin(snapshots.unreferenced(spark, path).agg(F.count(F.lit(1)).alias("unreferenced")))
+
+
+@query("""select n_nationkey, sha256('{"max_output_tokens": ' || n_nationkey || ', "model": "' || n_name || '", "schema": {"type": "object"}, "temperature": null, "tools": []}') as run_key from nation""")
+def run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    settings = {"model": F.col("n_name"), "schema": F.struct(F.lit("object").alias("type")), "max_output_tokens": F.col("n_nationkey"), "tools": F.array().cast("array<string>"), "temperature": F.lit(None).cast("double")}
+    return table(spark, sf_dir, "nation").select("n_nationkey", curation.run_key(settings).alias("run_key"))
+
+
+@query("""with p as (select item_id, text as a, coalesce(lead(text) over (order by item_id), text) as b from benchmark), c as (select *, unnest(list_distinct(string_split(a, ''))) as x from p),
+s as (select item_id, a, b, sum(least(len(a) - len(replace(a, x, '')), len(b) - len(replace(b, x, '')))) as n from c group by all)
+select item_id, round(2.0 * n / (len(a) + len(b)), 6) as bound, a <> b and 2.0 * n / (len(a) + len(b)) >= 0.55 as matched from s""")
+def similarity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How similar each benchmark item and the next can be at most, and whether that leaves their matching to be done."""
+    from pyspark.sql import Window
+
+    pairs = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"), F.coalesce(F.lead("text").over(Window.orderBy("item_id")), "text").alias("b"))
+    return pairs.select("item_id", F.round(text.similarity_bound(F.col("a"), F.col("b")), 6).alias("bound"), curation.undecided(F.col("a"), F.col("b"), 0.55).alias("matched"))
+
+
+@query("""with p as (select p_partkey as k, p_partkey // 250 as block, max(p_partkey) over () as top from part),
+s as (select k, block % 2 = 1 and block * 250 + 249 <= top as cyclic from p where k % 50 = 0)
+select k as start, case when cyclic then 1 else k % 250 + 1 end as n, case when cyclic then k else k - k % 250 end as farthest, cyclic from s""")
+def long_ancestries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 250 parts, each part the child of the one before; every second chain is closed to a ring where it is whole."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(k)
+    last = (k - k % 250 + 249).alias("last")
+    ends = parts.where("p_partkey % 250 = 249 and p_partkey div 250 % 2 = 1").select(k.alias("end"))
+    rings = parts.where("p_partkey % 250 = 0").select(k, last).join(ends, F.col("last") == F.col("end")).select(k.alias("revision"), F.col("end").alias("parent"))
+    links = parts.where("p_partkey % 250 <> 0").select(k.alias("revision"), (k - 1).alias("parent"))
+    found = identity.ancestry(links.unionByName(rings), parts.where("p_partkey % 50 = 0").select(k.alias("revision")))
+    return found.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.max_by("revision", "depth").alias("farthest"), F.bool_or(F.col("error").isNotNull()).alias("cyclic"))
 
 
 @query("select n_nationkey, case when n_nationkey % 2 = 0 then 'file' else 'default' end as value from nation")

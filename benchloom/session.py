@@ -13,7 +13,7 @@ _shipped: set[str] = set()
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for one machine; clusters bring their own."""
-    builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.cleaner.periodicGC.interval", "1min")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

@@ -32,36 +32,65 @@ def replace_atomically(rows: DataFrame, path: str) -> None:
     a part and never none. A writer that dies leaves a version that nothing points to. The version before the last is kept for
     readers that have just begun; older ones are deleted.
     """
-    spark = rows.sparkSession
-    jvm, version = spark.sparkContext._jvm, f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    spark, version = rows.sparkSession, named("version")
     rows.write.parquet(f"{path}/{version}")
+    point(spark, path, version)
+    for old in folders(spark, path, "version-")[:-2]:
+        delete(spark, f"{path}/{old}")
+
+
+def named(kind: str) -> str:
+    """A name of its own that sorts by time."""
+    return f"{kind}-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def _root(spark: SparkSession, path: str) -> tuple:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, begin: str) -> list[str]:
+    root, fs = _root(spark, path)
+    return sorted(name for f in fs.listStatus(root) if (name := f.getPath().getName()).startswith(begin))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    root, fs = _root(spark, path)
+    fs.delete(root, True)
+
+
+def point(spark: SparkSession, path: str, to: str) -> None:
+    """Writes what the table at path is now into its pointer, at once."""
+    jvm, (root, fs) = spark.sparkContext._jvm, _root(spark, path)
     Path, conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    root = Path(path)
-    fs = root.getFileSystem(conf)
-    new, pointer = Path(root, f"_{version}.pointer"), Path(root, POINTER)
+    new, pointer = Path(root, f"_{named('pointer')}"), Path(root, POINTER)
     out = fs.create(new, True)
-    out.writeUTF(version)
+    out.writeUTF(to)
     out.close()
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(pointer), options)
-    versions = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.getPath().getName().startswith("version-"))
-    for old in versions[:-2]:
-        fs.delete(Path(root, old), True)
+
+
+def pointed(spark: SparkSession, path: str) -> str:
+    """What the pointer at path says; empty if there is none."""
+    root, fs = _root(spark, path)
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, POINTER)
+    if not fs.exists(pointer):
+        return ""
+    handle = fs.open(pointer)
+    said = handle.readUTF()
+    handle.close()
+    return said
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the version that replace_atomically has last pointed to."""
-    jvm = spark.sparkContext._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(path, POINTER)
-    handle = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(pointer)
-    version = handle.readUTF()
-    handle.close()
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{pointed(spark, path)}")
 
 
 def append_keyed(rows: DataFrame, path: str) -> None:
-    """Adds results; a reader takes the latest of each key (operators.windows.latest)."""
+    """Adds results; a reader takes the latest of each key (operators.windows.latest). For tables that go on growing see sources.keyed."""
     rows.write.mode("append").parquet(path)
 
 

@@ -39,13 +39,14 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes frames made by stored() that nothing reads any more.
 
     Spark removes shuffle files once the driver's collector has found their plans unused, by itself every 30 minutes: too late for
-    jobs that shuffle their whole input several times. So a collection is asked for, at most every CLEAR_EVERY seconds.
+    jobs that shuffle their whole input several times. A session that sets spark.cleaner.periodicGC.interval (a minute, say) leaves that to Spark;
+    for others a collection is asked for, at most every CLEAR_EVERY seconds.
     """
     global _cleared
     jvm = spark.sparkContext._jvm
     for frame in frames:
         path = jvm.org.apache.hadoop.fs.Path(frame._benchloom_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if time.monotonic() - _cleared > CLEAR_EVERY:
+    if time.monotonic() - _cleared > CLEAR_EVERY and not spark.sparkContext.getConf().contains("spark.cleaner.periodicGC.interval"):
         jvm.System.gc()
         _cleared = time.monotonic()

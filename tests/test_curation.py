@@ -124,3 +124,38 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("X_MODEL", "env")
     assert curation.inherited_setting(["X_MODEL", "Y"], {"X_MODEL": "file"}) == "env"
     assert curation.inherited_setting(["Z", "Y"], {"Y": "file"}, "d") == "file" and curation.inherited_setting(["Z"], {}, "d") == "d"
+
+
+def test_similarity_is_matched_for_undecided_pairs_only(spark):
+    import difflib
+    import random
+
+    from benchloom.operators import curation
+
+    ship(spark)
+    rng, words = random.Random(4), "what is the value of total sales in région 2012 ¿cuál es 数値 🙂".split()
+    pairs = [(" ".join(rng.choices(words, k=rng.randrange(12))), " ".join(rng.choices(words, k=rng.randrange(12)))) for _ in range(300)]
+    pairs += [(a, a) for a, _ in pairs[:20]] + [("", ""), ("abc", "xyz")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = rows.select("a", "b", curation.less_similar(F.col("a"), F.col("b"), 0.55).alias("less"), curation.undecided(F.col("a"), F.col("b"), 0.55).alias("matched")).collect()
+    assert all(r.less == (difflib.SequenceMatcher(None, r.a, r.b).ratio() < 0.55) for r in got)
+    share = sum(r.matched for r in got) / len(got)
+    print(f"{share:.0%} of the pairs reach the matcher")
+    assert 0.1 < share < 0.9
+
+
+def test_snapshots(spark, tmp_path):
+    from benchloom.operators import snapshots
+
+    path, kind = str(tmp_path / "s"), "id int, row struct<a:string,b:array<int>>"
+    put = lambda rows: snapshots.snapshot({"source": spark.createDataFrame(rows, kind)}, path)
+    stored = lambda: spark.read.parquet(f"{path}/content").count()
+    rows = [(1, ("x", [1, 2])), (2, ("x", [1, 2])), (3, (None, None))]
+    put(rows)
+    assert stored() == 2
+    put(rows)
+    assert stored() == 2 and sorted(r.n for r in snapshots.counts(spark, path).collect()) == [1, 2]
+    put([*rows[:2], (3, ("y", []))])
+    assert stored() == 3 and snapshots.unreferenced(spark, path).count() == 1
+    back = snapshots.restored(spark, path, "source", "row struct<a:string,b:array<int>>").collect()
+    assert sorted((r.id, r.row.a, r.row.b) for r in back) == [("1", "x", [1, 2]), ("2", "x", [1, 2]), ("3", "y", [])]

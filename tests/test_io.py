@@ -1,11 +1,13 @@
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from benchloom import providers
 from benchloom.operators import fanout, identity
-from benchloom.sources import readers, sinks
+from benchloom.sources import keyed, positions, readers, sinks
 
 
 def test_positions_and_splits(spark, tmp_path):
@@ -141,7 +143,62 @@ def test_lineage_and_ancestry(spark):
     r = identity.lineage(p, req, att, resp, jud).first()
     assert (r.has_request, r.has_attempt, r.judged_this, r.response.raw) == (True, True, False, "raw")
     revisions = spark.createDataFrame([("v3", "v2"), ("v2", "v1"), ("v1", None)], "revision string, parent string")
-    chain = identity.ancestry(revisions, "v3")
-    assert chain == ["v3", "v2", "v1"]
+    chain = identity.ancestry(revisions, spark.createDataFrame([("v3",)], "revision string"))
+    assert [(r.revision, r.depth) for r in chain.orderBy("depth").collect()] == [("v3", 0), ("v2", 1), ("v1", 2)]
     rows = spark.createDataFrame([("k", "v1", 1), ("k", "v2", 2), ("m", "v0", 3)], "k string, revision string, x int")
     assert [(r.k, r.x) for r in identity.nearest_revision(rows, chain, "k").collect()] == [("k", 2)]
+
+
+def test_ancestry_of_any_length(spark):
+    """A chain of 200, one of 3 into a ring, a ring, a revision of its own, an unknown parent, rows twice; many starts at once."""
+    links = [(f"c{k}", f"c{k - 1}") for k in range(1, 200)] * 2 + [("c0", None), ("a2", "a1"), ("a1", "r0"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("s", "s"), ("u", "gone"), (None, "x")]
+    revisions = spark.createDataFrame(links, "revision string, parent string")
+    starts = spark.createDataFrame([(s,) for s in ("c199", "c57", "c0", "a2", "r1", "s", "u", "unknown", "u", None)], "revision string")
+    got = identity.ancestry(revisions, starts).collect()
+    chains = {}
+    for r in sorted(got, key=lambda r: r.depth):
+        chains.setdefault(r.start, []).append("error" if r.error else r.revision)
+    want = {"c199": [f"c{k}" for k in range(199, -1, -1)], "c57": [f"c{k}" for k in range(57, -1, -1)], "c0": ["c0"], "u": ["u", "gone"], "unknown": ["unknown"]}
+    assert chains == want | {s: ["error"] for s in ("a2", "r1", "s")}
+
+
+def test_keyed_table(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id string, n int, at int"
+    put = lambda rows, kind=schema: keyed.upsert(spark.createDataFrame(rows, kind), path, ["id"], ["at"])
+    seen = lambda **o: sorted(str(tuple(r)) for r in keyed.read(spark, path, ["id"], ["at"], **o).collect())
+    put([("a", 1, 1), ("a", 2, 2), ("b", 1, 1), (None, 1, 1)])
+    put([("a", 0, 1), ("b", 5, 1), (None, 3, 3)])
+    before = keyed.read(spark, path, ["id"], ["at"])
+    state = ["('a', 2, 2)", "('b', 5, 1)", "(None, 3, 3)"]
+    assert seen() == state and len(keyed.runs(spark, path)) == 2
+    keyed.compact(spark, path, ["id"], ["at"])
+    assert seen() == state == sorted(str(tuple(r)) for r in before.collect())  # a reader from before the merge still has its runs
+    (run,) = keyed.runs(spark, path)
+    assert spark.read.parquet(f"{path}/{run}").count() == 3
+    assert seen(wanted=[("b",), (None,), ("x",)]) == state[1:]
+    for k in range(2 * keyed.MOST_RUNS):
+        put([("a", k, 10 + k)])
+        assert len(keyed.runs(spark, path)) < keyed.MOST_RUNS
+    assert seen() == [f"('a', {2 * keyed.MOST_RUNS - 1}, {9 + 2 * keyed.MOST_RUNS})", *state[1:]]
+    assert sum(p.name.startswith("run-") for p in (tmp_path / "t").iterdir()) <= 2 * keyed.MOST_RUNS
+    with pytest.raises(FileNotFoundError):
+        keyed.read(spark, str(tmp_path / "none"), ["id"], ["at"])
+
+
+def test_rows_by_place(spark, tmp_path):
+    """Two files of 1,000 rows in groups of 100: only groups with wanted rows are read, and the result is that of the join."""
+    for name in ("x y", "z"):
+        table = pa.table({"v": [f"{name}{i}" for i in range(1000)], "k": list(range(1000)), "image": ["p" * 1000] * 1000})
+        pq.write_table(table, tmp_path / f"{name}.parquet", row_group_size=100)
+    pq.write_table(pa.table({"v": ["q"], "k": [1], "image": [""]}).slice(0, 0), tmp_path / "empty.parquet")
+    path = str(tmp_path)
+    index = positions.row_groups(spark, path).cache()
+    files = sorted(r.file for r in index.select("file").distinct().collect())
+    assert index.groupBy().agg(F.sum("rows")).first()[0] == 2000 and {tuple(r.columns) for r in index.collect()} == {("v", "k", "image")}
+    wanted = spark.createDataFrame([(f, k) for f in files for k in (0, 99, 100, 555, 555, 999, 1000, -1)], "file string, row_index long")
+    groups = positions.wanted_groups(index, wanted)
+    assert groups.count() == 8  # of 20
+    got = sorted(tuple(r) for r in positions.rows_at(spark, path, wanted, ["k", "v"], index).collect())
+    rows = readers.parquet_tree(spark, path)
+    assert got == sorted(tuple(r) for r in rows.join(wanted.distinct(), ["file", "row_index"]).select("file", "row_index", "k", "v").collect()) and len(got) == 10
+    assert {(r.file.rsplit("/")[-1], r.rows) for r in positions.inventory(index).collect()} >= {("z.parquet", 1000)}
