@@ -97,6 +97,7 @@ class Matcher:
         padded = f" {normal(text)} "
         words: list[str] | None = None
         seen: set[tuple[int, int]] = set()
+        verified: dict[int, tuple[int, int]] = {}  # the last place of an item and its distance there
         counted = blanks = 0
         for last, (width, where) in self.automaton.iter(padded):
             at = last - width + 1
@@ -113,7 +114,12 @@ class Matcher:
                 if found.get(item) == 0 or (key, start) in seen:
                     continue
                 seen.add((key, start))
+                # A place that is k words away shares all but k words of the verified one: its distance is at most k less.
+                near = verified.get(key)
+                if near and near[1] - abs(start - near[0]) > min(slack, found.get(item, slack)):
+                    continue
                 d = distance(own, words[max(0, start - slack) : start + len(own) + slack])
+                verified[key] = start, d
                 if d <= slack:
                     found[item] = min(d, found.get(item, d))
         return found

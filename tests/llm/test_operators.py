@@ -923,3 +923,20 @@ def test_html_names_as_parts_of_tokens():
         assert "A story, told" in html_extract.extract(f"<body>{page}</body>")
     remarks = "<div class=user-comments><p>" + "A remark, by a reader. " * 90 + "</p></div>"
     assert "remark" not in html_extract.extract(f"<body><div class=text>{told}</div>{remarks}</body>")
+
+
+def test_decontamination_of_repeated_words():
+    """Many places of one item beside each other: those that a verified neighbour rules out are skipped, and nothing is lost."""
+    rng = np.random.default_rng(8)
+    item = " ".join(["very"] * 60 + [f"w{i}" for i in range(40)])
+    matcher = decontaminate.Matcher([(1, item)])
+    began = time.perf_counter()
+    assert matcher.find(" ".join(["very"] * 20_000)) == {}
+    assert time.perf_counter() - began < 3
+    for _ in range(150):
+        words = ["a", "b", "c"][: rng.integers(2, 4)]
+        own = [str(w) for w in rng.choice(words, rng.integers(8, 20))]
+        text = [str(w) for w in rng.choice(words, 80)]
+        _, _, slack = next(iter(decontaminate.Matcher([(1, " ".join(own))]).items.values()))
+        least = min(decontaminate.distance(own, text[max(0, k - slack) : k + len(own) + slack]) for k in range(-slack, len(text)))
+        assert decontaminate.Matcher([(1, " ".join(own))]).find(" ".join(text)) == ({1: least} if least <= slack else {})
