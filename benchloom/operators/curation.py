@@ -224,6 +224,11 @@ def digitised(pixels: DataFrame, prototypes: list[tuple[str, int, int, int]], x_
     return sliding_median(scaled, ["series"], ["x"], "raw", 1, "y").select("series", "x", "y")
 
 
+def inherited(names: list[Column], layers: list[Column], default: Column) -> Column:
+    """inherited_setting for rows: the first of several names that any of the layers (maps) gives a text that isn't empty, name by name and layer by layer."""
+    return F.coalesce(*(F.nullif(F.try_element_at(layer, name), F.lit("")) for name in names for layer in layers), default)
+
+
 def inherited_setting(names: list[str], file_values: dict[str, str], default: str | None = None) -> str | None:
     """The first of several settings that is given: each by environment, then by file."""
     for name in names:

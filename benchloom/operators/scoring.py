@@ -159,8 +159,13 @@ def outcome_changes(before: DataFrame, after: DataFrame, by: list[str] | None =
     return rows.groupBy(*(by or [])).agg(n.alias("n"), (100 * F.sum("hit") / n).alias("before"), (100 * F.sum("__after") / n).alias("after"), (100 * F.sum(F.col("__after") - F.col("hit")) / n).alias("change"), F.count_if(F.expr("hit = 0 and __after = 1")).alias("gained"), F.count_if(F.expr("hit = 1 and __after = 0")).alias("lost"))
 
 
+def language_place(column: str, order: tuple[str, ...] = LANGUAGES) -> Column:
+    """A language's place in the fixed order, from 1; 0 if it has none."""
+    return F.array_position(F.array(*map(F.lit, order)), F.col(column))
+
+
 def in_language_order(rows: DataFrame, column: str, order: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    return rows.orderBy(F.array_position(F.array(*map(F.lit, order)), F.col(column)), column)
+    return rows.orderBy(language_place(column, order), column)
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:

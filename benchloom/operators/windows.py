@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest order for each key, by aggregation: what is shuffled is a row for each key and task."""
@@ -42,10 +44,25 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], width: int = 3,
     return rows.withColumn(name, F.lpad((F.row_number().over(at) - 1).cast("string"), width, "0"))
 
 
+def priority(ranks: list[Column]) -> Column:
+    """0 where the first condition holds, else 1 for the second and so on."""
+    return F.coalesce(*(F.when(c, i) for i, c in enumerate(ranks)), F.lit(len(ranks)))
+
+
 def by_priority(rows: DataFrame, ranks: list[Column], order: str) -> DataFrame:
     """Rows for which the first condition holds, then those for the second and so on; the old order within each."""
-    rank = F.coalesce(*(F.when(c, i) for i, c in enumerate(ranks)), F.lit(len(ranks)))
-    return rows.orderBy(rank, order)
+    return rows.orderBy(priority(ranks), order)
+
+
+def placed(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place in an order, from 1, without bringing them together: dealt by ranges of the order and numbered in each, and on from the ranges before."""
+    keys = [f"order_{k}_" for k in range(len(order))]
+    dealt = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # Stored, so that ranges and numbers are the same whenever they are read.
+    dealt = stored(dealt.drop(*keys).withColumns({"range_": F.spark_partition_id(), "number_": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "placed")
+    sizes = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = sizes.select("range_", (F.sum("n").over(Window.orderBy("range_")) - F.col("n")).alias("before_"))
+    return dealt.join(before, "range_").select(*rows.columns, (F.col("before_") + F.col("number_") + 1).alias(name))
 
 
 def interpolated(points: DataFrame, keys: list[str], x: str, y: str, at: float) -> DataFrame:

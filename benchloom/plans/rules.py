@@ -255,9 +255,10 @@ def long_ancestries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select n_nationkey, case when n_nationkey % 2 = 0 then 'file' else 'default' end as value from nation")
 def inherited_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [r["n_nationkey"] for r in table(spark, sf_dir, "nation").collect()]  # 25 rows
-    found = [(n, curation.inherited_setting(["BENCHLOOM_TEST_UNSET", f"own{n}"], {f"own{n}": "file"} if n % 2 == 0 else {}, "default")) for n in rows]
-    return spark.createDataFrame(found, "n_nationkey int, value string")
+    own = F.concat(F.lit("own"), F.col("n_nationkey"))
+    given = F.create_map(own, F.when(F.col("n_nationkey") % 2 == 0, "file").otherwise(""))
+    found = curation.inherited([F.lit("unset"), own], [F.create_map(F.lit("unset"), F.lit("")), given], F.lit("default"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", found.alias("value"))
 
 
 _BOARD = """r as (select lang as i, case doc_id % 4 when 0 then 'fr' when 1 then 'en' else lang end as q, (doc_id % 3 = 0)::int as hit, doc_id % 5 <> 0 as done from documents),
@@ -279,14 +280,21 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select unnest(['en', 'fr', 'de', 'es']) as language, unnest([1, 2, 3, 4]) as place")
 def languages_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.in_language_order(table(spark, sf_dir, "documents").select("lang").distinct(), "lang").collect()  # four rows
-    return spark.createDataFrame([(r["lang"], i + 1) for i, r in enumerate(rows)], "language string, place int")
+    rows = windows.placed(table(spark, sf_dir, "documents").select("lang").distinct(), [scoring.language_place("lang"), F.col("lang")])
+    return rows.select(F.col("lang").alias("language"), "place")
 
 
 @query("select n_nationkey, row_number() over (order by case when n_regionkey = 3 then 0 when n_nationkey % 2 = 0 then 1 else 2 end, n_nationkey) as place from nation")
 def in_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.by_priority(table(spark, sf_dir, "nation"), [F.col("n_regionkey") == 3, F.col("n_nationkey") % 2 == 0], "n_nationkey").collect()  # 25 rows
-    return spark.createDataFrame([(r["n_nationkey"], i + 1) for i, r in enumerate(rows)], "n_nationkey int, place long")
+    first = windows.priority([F.col("n_regionkey") == 3, F.col("n_nationkey") % 2 == 0])
+    return windows.placed(table(spark, sf_dir, "nation"), [first, F.col("n_nationkey")]).select("n_nationkey", "place")
+
+
+@query("select o_orderkey, row_number() over (order by case when o_orderpriority like '1%' then 0 when o_orderstatus = 'F' then 1 else 2 end, o_totalprice desc, o_orderkey) as place from orders")
+def orders_in_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table numbered in an order."""
+    first = windows.priority([F.col("o_orderpriority").startswith("1"), F.col("o_orderstatus") == "F"])
+    return windows.placed(table(spark, sf_dir, "orders"), [first, -F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("select c_custkey as id, c_name as name, null as size from customer union all select p_partkey, p_name, p_size from part union all select s_suppkey, null, null from supplier")
