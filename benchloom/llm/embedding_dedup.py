@@ -5,10 +5,11 @@ product codes: a rotated vector is cut into two halves, each half has a code of
 list-decoded to all exceeding directions from 2 * words inner products: codewords of one half that could exceed with the best of the other are joined, and sums under the
 threshold go. There are ROTATIONS codes, each with a rotation of its own, and the threshold is such that a vector passes LIST directions of each.
 
-Vectors meet in the filters that both pass. At a cosine of 0.95 they share some 40 of 80 on average; in a simulation at 64 dimensions none of 1,500 pairs shared fewer than 3. Equal vectors are one class. A filter's
-classes are compared in tiles, as a matrix product in double precision, so that a filter of any number of classes is many tasks and makes no pairs: of a
-tile come each class's number of links, and a link to the least class of its component in the tile. A pair that meets in several
-filters counts in the least of them, which the tile sees as it holds the filters that its classes share with any other.
+Vectors meet in the filters that both pass. At a cosine of 0.95 they share some 40 of 80 on average; in a simulation at 64 dimensions none of 1,500 pairs shared fewer than 3.
+Equal vectors are one class. Classes close to a common center are a ball: any two of them are linked, which needs no comparison. All others of a filter are compared in tiles, as a
+matrix product in double precision, so that a filter of any number of classes is many tasks and makes no pairs: of a tile come each class's number
+of links, and a link to the least class of its component in the tile. A pair that meets in several filters counts in the least of them, which the tile sees as it
+holds the filters that its classes share with any other.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..operators.clusters import connected_components
 from .common import arrow_map, batch_of, column, components_of, drop, stored, stream
+from .tiles import TILE_KEY, tiles, tiles_of
 from .vectors import as_doubles, usable
 
 #: Least cosine of a link.
@@ -33,8 +37,12 @@ COSINE = 0.95
 #: fewest and most codewords of a half: beyond 1.3 million vectors filters fill in proportion, where results stay whole.
 ROTATIONS, LIST, SHARE, FEWEST, MOST = 16, 5, 0.1, 16, 8192
 
-#: Vectors are padded to this many dimensions at least; classes of a tile's side on average; vectors decoded at once.
-DIMS, TILE, DECODED, SEED = 16, 512, 256, 42
+#: Vectors are padded to this many dimensions at least; vectors decoded at once.
+DIMS, DECODED, SEED = 16, 256, 42
+
+#: Classes of a filter from which on it has a center, classes that this is the middle of, least cosine of centers that stand for each other, and by how much the cosine
+#: to a center must exceed that of half a link's angle.
+HOT, MIDDLE, CLOSE, SURE = 64, 32, 0.99, 1e-9
 
 
 def codewords(n: int) -> int:
@@ -113,59 +121,93 @@ def passed_filters(classes: DataFrame, words: int) -> DataFrame:
 
 def _compared(rows: Iterator[dict]) -> Iterator[dict]:
     """Tiles to (c, links, hub): how many vectors a class is linked to by pairs whose least shared filter is this one, and the least class that it reaches in the tile."""
-    for (_, number, lo, hi), held in groupby(rows, key=lambda r: (r["dims"], r["filter"], r["lo"], r["hi"])):
-        held = sorted(held, key=lambda r: (r["part"], r["c"]))
-        if len(held) < 2:
-            continue
+    for held, wanted in tiles(rows):
         units = np.stack([np.frombuffer(r["unit"], dtype="<f8") for r in held])
-        near = units @ units.T >= COSINE
-        np.fill_diagonal(near, False)
-        if lo != hi:  # Pairs within a side belong to that side's own tile.
-            part = np.array([r["part"] for r in held])
-            near &= part[:, None] != part[None, :]
+        near = (units @ units.T >= COSINE) & wanted
         if not near.any():
             continue
         lists = [np.frombuffer(r["shared"], dtype="<i8") for r in held]
-        lists = [f[f < number] for f in lists]
+        lists = [f[f < held[0]["key"]] for f in lists]
+        first = near
         if known := sorted(set(np.concatenate(lists).tolist())):
             marks = np.zeros((len(held), len(known)), dtype="f4")
             for k, f in enumerate(lists):
                 marks[k, np.searchsorted(known, f)] = 1
             first = near & (marks @ marks.T == 0)
-        else:
-            first = near
-        weights = np.array([r["weight"] for r in held], dtype=np.int64)
-        links = first @ weights
+        links = first @ np.array([r["weight"] for r in held], dtype=np.int64)
         for k, hub in enumerate(components_of(near).tolist()):
             if links[k] or hub != k:
-                yield {"c": held[k]["c"], "links": int(links[k]), "hub": held[hub]["c"]}
+                yield {"c": held[k]["rep"], "links": int(links[k]), "hub": held[hub]["rep"]}
+
+
+def _centers(rows: Iterator[dict]) -> Iterator[dict]:
+    for (dims, number), some in groupby(rows, key=lambda r: (r["dims"], r["filter"])):
+        total = np.sum([np.frombuffer(r["unit"], dtype="<f8") for r in some], axis=0)
+        if (length := np.linalg.norm(total)) > 0:
+            yield {"dims": dims, "filter": number, "embedding": (total / length).tolist()}
+
+
+@F.pandas_udf(DoubleType())
+def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Of unit vectors as bytes."""
+    return pd.Series([float(np.frombuffer(x, dtype="<f8") @ np.frombuffer(y, dtype="<f8")) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def balls(shared: DataFrame, decoded: DataFrame, words: int) -> DataFrame:
+    """(c, ball): classes within half the angle of a link of a common center, stored. Any two of a ball are linked then, by the triangle inequality.
+
+    Centers are the middle of a few classes of each filter that over HOT classes pass. As those of one group of near copies lie close together, each gives way to the
+    first one that passes a filter with it and is close enough. Which centers there are decides only what has to be compared, not what is linked.
+    """
+    spark = shared.sparkSession
+    dense = shared.where(F.col("n") > HOT).select("dims", "filter", "c")
+    order = Window.partitionBy("dims", "filter").orderBy(F.xxhash64("c"), "c")
+    some = dense.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MIDDLE).join(decoded.select("c", "unit"), "c")
+    made = stream(some.repartition("dims", "filter").sortWithinPartitions("dims", "filter"), _centers, "dims long, filter long, embedding array<double>")
+    made = stored(made.withColumn("b", F.monotonically_increasing_id()), "centers")
+    centers = stored(passed_filters(made.select(F.col("b").alias("c"), "embedding"), words).select(F.col("c").alias("b"), "dims", "unit", "filters"), "decoded")
+    met = stored(centers.select("b", "dims", F.explode("filters").alias("met")), "met")
+    firsts = stored(met.groupBy("dims", "met").agg(F.min("b").alias("hub")), "firsts")
+    pairs = met.join(firsts, ["dims", "met"]).select("b", "hub").distinct().where("hub < b")
+    pairs = pairs.join(centers.select("b", F.col("unit").alias("b_unit")), "b").join(centers.select(F.col("b").alias("hub"), F.col("unit").alias("hub_unit")), "hub")
+    hubs = pairs.where(cosine("b_unit", "hub_unit") >= CLOSE).groupBy("b").agg(F.min("hub").alias("hub"))
+    hubs = stored(made.select("b", "dims", "filter").join(hubs, "b", "left").select("dims", "filter", F.coalesce("hub", "b").alias("hub")), "hubs")
+    near = stored(dense.join(hubs, ["dims", "filter"]).select("c", "hub").distinct(), "near")
+    held = near.join(decoded.select("c", "unit"), "c").join(centers.select(F.col("b").alias("hub"), F.col("unit").alias("hub_unit")), "hub")
+    out = stored(held.where(cosine("unit", "hub_unit") >= math.cos(math.acos(COSINE) / 2) + SURE).groupBy("c").agg(F.min("hub").alias("ball")), "balls")
+    drop(spark, made, centers, met, firsts, hubs, near)
+    return out
 
 
-def linked(decoded: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c, links, hub) from all filters that several classes pass; any number of rows for a class.
+def linked(decoded: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(c, links, hub) from all filters that several classes pass, and from balls; any number of rows for a class.
 
-    decoded: (c, dims, unit, filters); classes: (c, weight). A filter's classes are dealt into parts of about TILE, and each pair of parts is a tile.
+    decoded: (c, dims, unit, filters); classes: (c, weight).
     """
     spark = decoded.sparkSession
     passed = decoded.select("dims", "c", F.explode("filters").alias("filter"))
     sizes = stored(passed.groupBy("dims", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     shared = stored(passed.join(sizes, ["dims", "filter"]), "shared")
+    in_balls = balls(shared, decoded, words)
     # Of a class, the filters that it shares, in order.
     lists = shared.groupBy("c").agg(F.sort_array(F.collect_list("filter")).alias("filters"))
 
     def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [np.array(f, dtype="<i8").tobytes() for f in column(batch, "filters")]
-        return batch_of(c=(batch.column(0), pa.int64()), unit=(batch.column(1), pa.binary()), weight=(batch.column(2), pa.int64()), shared=(raw, pa.binary()))
-
-    full = decoded.select("c", "unit").join(classes.select("c", "weight"), "c").join(lists, "c").select("c", "unit", "weight", "filters")
-    full = stored(arrow_map(full, packed, "c long, unit binary, weight long, shared binary"), "full")
-    parts = F.ceil(F.col("n") / TILE).cast("long")
-    part = F.pmod(F.xxhash64("c"), parts)
-    placed = shared.select("dims", "filter", "c", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    placed = placed.select("dims", "filter", "c", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    tiles = placed.join(full, "c").repartition("dims", "filter", "lo", "hi").sortWithinPartitions("dims", "filter", "lo", "hi")
-    out = stored(stream(tiles, _compared, "c long, links long, hub long", most=20_000), "linked")
-    drop(spark, sizes, shared, full)
+        return batch_of(rep=(batch.column(0), pa.int64()), unit=(batch.column(1), pa.binary()), weight=(batch.column(2), pa.int64()), shared=(raw, pa.binary()))
+
+    full = decoded.select("c", "unit").join(classes.select("c", "weight"), "c").join(lists, "c").select(F.col("c").alias("rep"), "unit", "weight", "filters")
+    full = stored(arrow_map(full, packed, "rep long, unit binary, weight long, shared binary"), "full")
+    # Labels: a ball's number as a negative one, else the class itself.
+    label = F.coalesce(-1 - F.col("ball"), F.col("c"))
+    rows = stored(shared.join(in_balls, "c", "left").select(F.col("dims").cast("int").alias("table"), F.col("filter").alias("key"), F.col("c").alias("rep"), label.alias("label")), "labelled")
+    placed = tiles_of(rows).join(full, "rep").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    found = stored(stream(placed, _compared, "c long, links long, hub long", most=20_000), "linked")
+    whole = stored(in_balls.join(classes.select("c", "weight"), "c"), "members")
+    of_ball = whole.groupBy("ball").agg(F.sum("weight").alias("all"), F.min("c").alias("hub"))
+    inside = whole.join(of_ball, "ball").select("c", (F.col("all") - F.col("weight")).alias("links"), "hub")
+    out = stored(found.unionByName(inside), "links")
+    drop(spark, sizes, shared, in_balls, full, rows, found, whole)
     return out
 
 
@@ -181,8 +223,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(usable(v) & F.exists(v, lambda x: x != 0), F.transform(v, lambda x: x.cast("double"))).alias("embedding"))
     grouped = rows.where("embedding is not null").groupBy("embedding").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     classes = stored(grouped.select(F.monotonically_increasing_id().alias("c"), "*"), "classes")
-    decoded = stored(passed_filters(classes, codewords(classes.count())), "decoded")
-    found = linked(decoded, classes)
+    words = codewords(classes.count())
+    decoded = stored(passed_filters(classes, words), "decoded")
+    found = linked(decoded, classes, words)
     drop(spark, decoded)
     labels = connected_components(found.where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct())
     links = found.groupBy("c").agg(F.sum("links").alias("links"))

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,6 +33,7 @@ from pyspark.sql.types import DoubleType
 
 from ..operators.clusters import connected_components
 from .common import LOWER, arrow_map, batch_of, column, components_of, documents, drop, stored, stream
+from .tiles import TILE_KEY, tiles, tiles_of
 
 #: Bits of a fingerprint, bits in which linked ones may differ, fingerprints in an entry from which on it is indexed again.
 BITS, RADIUS, HOT, SEED = 64, 2, 64, 42
@@ -44,8 +44,8 @@ BITS, RADIUS, HOT, SEED = 64, 2, 64, 42
 #: more than SLACK (5 standard errors) under the similarity.
 SHINGLE, SIMILARITY, BANDS, ROWS, SLACK = 5, 0.8, 32, 6, 0.15
 
-#: Classes of a tile's part on average, what tells tiles apart, columns of an incidence matrix held at once.
-TILE, TILE_KEY, COLUMNS = 256, ("table", "key", "kind", "lo", "hi"), 4096
+#: Columns of an incidence matrix held at once.
+COLUMNS = 4096
 
 
 def votes(hashes: np.ndarray) -> int:
@@ -279,43 +279,9 @@ def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, si
     return links
 
 
-def tiles_of(rows: DataFrame) -> DataFrame:
-    """rows(table, key, rep, label) of entries that hold several components, dealt into tiles: (table, key, kind, lo, hi, part, rep, label).
-
-    Only classes of different components need to be held against each other. So an entry's largest component and its other classes are each dealt into parts
-    of about TILE; a tile holds a part of either (kind 0) or two parts of the others, or one with itself (kind 1).
-    """
-    entry = ["table", "key"]
-    sizes = rows.groupBy(*entry, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*entry)
-    mixed = sizes.agg(F.max(F.struct("n", "label")).alias("lead"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    held = rows.join(mixed, entry)
-    first, others = (F.ceil(F.col(c) / TILE).cast("long") for c in ("lead.n", "outside"))
-    is_first = F.col("label") == F.col("lead.label")
-    part = F.pmod(F.xxhash64("rep"), F.when(is_first, first).otherwise(others))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    tile = lambda kind, lo, hi, part: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), part.alias("part"))
-    own, far = F.col("own"), F.lit(-1).cast("long")
-    of_first = F.transform(upto(others), lambda j: tile(0, own, j, far))
-    of_others = F.concat(F.transform(upto(first), lambda i: tile(0, i, own, own)), F.transform(upto(others), lambda j: tile(1, F.least(own, j), F.greatest(own, j), own)))
-    placed = held.withColumn("own", part).select(*entry, "rep", "label", F.explode(F.when(is_first, of_first).otherwise(of_others)).alias("tile"))
-    return placed.select(*entry, "tile.*", "rep", "label")
-
-
-def _tiles(rows: Iterator[dict]) -> Iterator[tuple[list[dict], np.ndarray]]:
-    """The rows of each tile, and which pairs of them it is to compare: of different labels, and of its two parts if it has two."""
-    for (*_, kind, lo, hi), held in groupby(rows, key=lambda r: tuple(r[c] for c in TILE_KEY)):
-        held = sorted(held, key=lambda r: (r["part"], r["rep"]))
-        part, label = (np.array([r[c] for r in held]) for c in ("part", "label"))
-        wanted = label[:, None] != label[None, :]
-        if kind == 0 or lo != hi:
-            wanted &= part[:, None] != part[None, :]
-        if wanted.any():
-            yield held, wanted
-
-
 def _may_be_similar(least: float) -> Callable[[Iterator[dict]], Iterator[dict]]:
     def kernel(rows: Iterator[dict]) -> Iterator[dict]:
-        for held, wanted in _tiles(rows):
+        for held, wanted in tiles(rows):
             signatures = np.frombuffer(b"".join(r["signature"] for r in held), dtype=np.uint8).reshape(len(held), -1)
             keep = np.zeros(len(held), dtype=bool)
             for k in range(len(held)):
@@ -348,7 +314,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def _joined_by_similarity(similarity: float) -> Callable[[Iterator[dict]], Iterator[dict]]:
     def kernel(rows: Iterator[dict]) -> Iterator[dict]:
-        for held, wanted in _tiles(rows):
+        for held, wanted in tiles(rows):
             sets = [np.frombuffer(r["shingles"], dtype="<u8") for r in held]
             sizes = np.array([len(s) for s in sets], dtype=float)
             both = overlaps(sets).astype(float)

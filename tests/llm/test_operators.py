@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from benchloom.llm import common, decontaminate, docstats, html_extract, line_dedup, packing, pii, quality_model, quality_rules, queries, secret_scan, simhash, substring_dedup
+from benchloom.llm import common, decontaminate, docstats, html_extract, line_dedup, packing, pii, quality_model, quality_rules, queries, secret_scan, simhash, substring_dedup, tiles
 
 from ..compare import database, from_duckdb, from_spark
 
@@ -161,10 +161,10 @@ def test_near_duplicates_by_true_similarity(spark):
     assert all((got[2 * k + 1] == got[2 * k]) == (k % 2 == 0) for k in range(80))
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 20])
+@pytest.mark.parametrize("tile", [tiles.TILE, 20])
 def test_near_duplicates_on_a_template(spark, monkeypatch, tile):
     """700 texts of similarity 0.7 to each other on one template, and among them 60 pairs at 0.82 to 0.86: in most entries the first text is unlike both."""
-    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(tiles, "TILE", tile)
     template = " ".join(f"t{i}" for i in range(500))
     rows = [(k, template + "".join(f" k{k}w{i}" for i in range(100))) for k in range(700)]
     rows += [(1000 + k, template + "".join(f" k{k}w{i}" if i < 45 + k % 10 else f" new{k}w{i}" for i in range(100))) for k in range(0, 600, 10)]

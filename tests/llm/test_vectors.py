@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchloom.llm import embedding_dedup, hard_negatives, queries
+from benchloom.llm import embedding_dedup, hard_negatives, queries, tiles
 
 from ..compare import database, from_duckdb, from_spark
 
@@ -128,9 +128,10 @@ def test_embedding_dedup_equals_sql(spark, sf_dir):
     assert from_spark(queries.op13_embedding_near_dedup(spark, sf_dir)) == from_duckdb(database(sf_dir), embedding_dedup.SQL)
 
 
-@pytest.mark.parametrize("tile", [512, 20])
+@pytest.mark.parametrize("tile", [256, 20])
 def test_embedding_dedup(spark, monkeypatch, tile):
-    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(tiles, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "HOT", 64 if tile > 100 else 8)
     rows = near_vectors(tile)
     assert linked(embedding_dedup.near_duplicates(frame(spark, rows))) == plain_links(rows)
 
@@ -159,3 +160,24 @@ def test_pairs_at_the_threshold_share_filters():
     shared = [len(np.intersect1d(x, y)) for x, y in zip(*lists, strict=True)]
     assert min(shared) >= 1 and np.mean(shared) > 30
     assert 70 < np.mean([len(x) for x in lists[0]]) < 90
+
+
+def test_balls_hold_linked_vectors_only(spark):
+    """Groups at several distances from their middle: what a ball takes is linked, and a tight group is one ball."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    center, out = unit(rng.normal(size=(3, 64))), []
+    for c, cosine in zip(center, (0.993, 0.985, 0.978), strict=True):
+        noise = rng.normal(size=(200, 64))
+        noise = unit(noise - (noise @ c)[:, None] * c)
+        out += list(cosine * c + math.sqrt(1 - cosine**2) * noise)
+    classes = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(out)], "c long, embedding array<double>, weight long")
+    words = embedding_dedup.codewords(600)
+    decoded = embedding_dedup.passed_filters(classes, words)
+    shared = decoded.select("dims", "c", F.explode("filters").alias("filter")).withColumn("n", F.lit(1000))
+    found = {r.c: r.ball for r in embedding_dedup.balls(shared, decoded, words).collect()}
+    units = np.array(out)
+    for ball in set(found.values()):
+        mine = [c for c, b in found.items() if b == ball]
+        assert (units[mine] @ units[mine].T).min() >= 0.95
+    assert sum(c < 200 for c in found) == 200 and len({b for c, b in found.items() if c < 200}) <= 3
