@@ -850,7 +850,7 @@ def test_repeats_in_statistics():
         docstats.measure(None)
 
 
-def test_substring_dedup_first_hash_collides(spark, monkeypatch):
+def test_substring_dedup_first_hash_collides(spark):
     """Two words with the same first hash aren't taken for each other: a second one tells them apart."""
     hashes = common.word_hashes
 
@@ -859,7 +859,6 @@ def test_substring_dedup_first_hash_collides(spark, monkeypatch):
 
     text = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join([*text[:20], "these", *text[20:]])), (2, " ".join([*text[:20], "other", *text[20:]])), (3, " ".join([*text[:20], "these", *text[20:]]))]
-    # The kernels run where the operator's module is imported: a copy of the module goes to the workers by value.
     real = substring_dedup.word_hashes
     try:
         substring_dedup.word_hashes = colliding
