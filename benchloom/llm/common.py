@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import ship
-from ..storage import drop, stored  # noqa: F401  the operators take them from here
+from ..storage import by_shuffle, drop, stored  # noqa: F401  the operators take them from here
 
 #: Rows and bytes in one Arrow batch sent to Python, whichever is reached first: texts can be very long.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 25

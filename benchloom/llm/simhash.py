@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..operators.clusters import connected_components
-from .common import LOWER, arrow_map, batch_of, column, components_of, documents, drop, stored, stream
+from .common import LOWER, arrow_map, batch_of, by_shuffle, column, components_of, documents, drop, stored, stream
 from .tiles import TILE_KEY, tiles, tiles_of
 
 #: Bits of a fingerprint, bits in which linked ones may differ, fingerprints in an entry from which on it is indexed again.
@@ -146,7 +146,7 @@ def verified(lookups: DataFrame, entries: DataFrame) -> DataFrame:
     under the bit that parts it from that value. So the least ones hold such a clique together, and a fingerprint of thousands of
     neighbours gives at most 64 rows.
     """
-    fetched = lookups.select("table", "key", "fp", "rep").join(entries.select("table", "key", F.col("fp").alias("other"), F.col("rep").alias("b")), ["table", "key"])
+    fetched = lookups.select("table", "key", "fp", "rep").join(by_shuffle(entries.select("table", "key", F.col("fp").alias("other"), F.col("rep").alias("b"))), ["table", "key"])
     differ = F.col("fp").bitwiseXOR(F.col("other"))
     near = fetched.where((F.col("fp") != F.col("other")) & (distance(F.col("fp"), F.col("other")) <= RADIUS)).select("rep", "b", differ.alias("differ"))
     # The least number is its own negative, which ANSI arithmetic refuses.
@@ -169,11 +169,11 @@ def near_links(classes: DataFrame, hot: int = HOT) -> DataFrame:
             if not crowded.take(1):
                 drop(spark, crowded)
                 crowded = None
-        cold = entries.join(crowded, ["table", "key"], "left_anti") if crowded is not None else entries
+        cold = entries.join(by_shuffle(crowded), ["table", "key"], "left_anti") if crowded is not None else entries
         found.append(stored(verified(lookups, cold), "links"))
         if crowded is None:
             break
-        held, asked = (stored(rows.join(crowded, ["table", "key"], "left_semi"), "crowded") for rows in (entries, lookups))
+        held, asked = (stored(rows.join(by_shuffle(crowded), ["table", "key"], "left_semi"), "crowded") for rows in (entries, lookups))
         parents = True
     return reduce(DataFrame.unionByName, found).select("a", "b").distinct()
 
@@ -188,9 +188,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "prints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     labels = connected_components(near_links(classes.where("rep is not null")))
-    named = stored(classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "named")
+    named = stored(classes.join(by_shuffle(labels), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "named")
     drop(docs.sparkSession, classes, labels)
-    return prints.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(by_shuffle(named), "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def text_key(text: bytes) -> bytes:
@@ -245,7 +245,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) ->
         sets = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for _, t in rows]
         return batch_of(rep=([i for i, _ in rows], pa.int64()), shingles=(sets, pa.binary()))
 
-    rows = documents(docs).join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text_key", F.col("text").cast("binary").alias("text"))
+    rows = documents(docs).join(by_shuffle(wanted), F.col("doc_id") == F.col("rep")).select("rep", "text_key", F.col("text").cast("binary").alias("text"))
     return arrow_map(rows, kernel, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
@@ -265,16 +265,16 @@ def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, si
     spark = docs.sparkSession
     left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b"))
-    held = stored(pairs.join(left, "a"), "held")
-    near = stored(held.join(right, "b").where(agreement("signature_a", "signature_b") >= similarity - SLACK).select("a", "b"), "near")
+    held = stored(pairs.join(by_shuffle(left), "a"), "held")
+    near = stored(held.join(by_shuffle(right), "b").where(agreement("signature_a", "signature_b") >= similarity - SLACK).select("a", "b"), "near")
     drop(spark, held)
     if not near.take(1):
         return near
     ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(ends, "rep"), shingle), "sets")
-    held = stored(near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("shingles_a")), "a"), "held")
+    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(by_shuffle(ends), "rep"), shingle), "sets")
+    held = stored(near.join(by_shuffle(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("shingles_a"))), "a"), "held")
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("shingles_b"))
-    links = stored(held.join(right, "b").where(jaccard("shingles_a", "shingles_b") >= similarity).select("a", "b"), "verified")
+    links = stored(held.join(by_shuffle(right), "b").where(jaccard("shingles_a", "shingles_b") >= similarity).select("a", "b"), "verified")
     drop(spark, near, sets, held)
     return links
 
@@ -336,10 +336,10 @@ def links_across(rows: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int
     """
     spark = docs.sparkSession
     shape = "table int, key long, kind int, lo long, hi long, part long, rep long, label long"
-    placed = tiles_of(rows).join(reps.select("rep", "signature"), "rep").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    placed = tiles_of(rows).join(by_shuffle(reps.select("rep", "signature")), "rep").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     likely = stored(stream(placed, _may_be_similar(similarity - SLACK), shape, most=10_000), "likely")
-    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(likely.select("rep").distinct(), "rep"), shingle), "sets")
-    placed = likely.join(sets, "rep").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    sets = stored(shingle_sets(docs, reps.select("rep", "text_key").join(by_shuffle(likely.select("rep").distinct()), "rep"), shingle), "sets")
+    placed = likely.join(by_shuffle(sets), "rep").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     links = stored(stream(placed, _joined_by_similarity(similarity), "a long, b long", most=10_000).distinct(), "across")
     drop(spark, likely, sets)
     return links
@@ -360,33 +360,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     keys = stored(sketched.select("doc_id", "text_key"), "keys")
     classes = stored(keys.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep")), "classes")
     # The rows of a class's smallest doc_id have one text: one of them is kept, where the join has brought them together.
-    reps = sketched.join(classes.select(F.col("text_key").alias("key"), "rep"), (F.col("text_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")))
+    reps = sketched.join(by_shuffle(classes.select(F.col("text_key").alias("key"), "rep")), (F.col("text_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")))
     reps = stored(reps.dropDuplicates(["key", "rep"]).select("rep", "text_key", "fp", "bands", "signature"), "reps")
     drop(spark, sketched)
     prints = stored(reps.groupBy("fp").agg(F.min("rep").alias("hub")), "fingerprints")
     by_print = near_links(prints.select("fp", F.col("hub").alias("rep")))
-    same_print = reps.select("fp", "rep").join(prints, "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    same_print = reps.select("fp", "rep").join(by_shuffle(prints), "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     members = reps.select("rep", F.posexplode("bands").alias("table", "key"))
     # The first class of each entry that several share; both sides of the join are stored or scanned, so that Spark can split a hot entry.
     order = F.struct(F.when(F.col("table") % 2 == 0, F.col("rep")).otherwise(F.xxhash64("rep", "table")).alias("order"), "rep")
     hubs = stored(members.groupBy("table", "key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "key", F.col("hub.rep").alias("hub")), "hubs")
-    shared = stored(members.join(hubs, ["table", "key"]), "shared")
+    shared = stored(members.join(by_shuffle(hubs), ["table", "key"]), "shared")
     pairs = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     pairs = pairs.unionByName(by_print).unionByName(same_print).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "candidates")
     links = similar(pairs, reps, docs, shingle, similarity)
     drop(spark, prints, hubs, pairs)
     labels = connected_components(links)
-    rows = shared.join(labels, F.col("rep") == F.col("node"), "left").select("table", "key", "rep", F.coalesce("label", "rep").alias("label"))
+    rows = shared.join(by_shuffle(labels), F.col("rep") == F.col("node"), "left").select("table", "key", "rep", F.coalesce("label", "rep").alias("label"))
     rows = stored(rows, "labelled")
     more = links_across(rows, reps, docs, shingle, similarity)
     drop(spark, shared, rows)
     if more.take(1):
         drop(spark, labels)
         labels = connected_components(links.unionByName(more))
-    named = stored(classes.join(labels, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("label", "rep").alias("component_id")), "named")
+    named = stored(classes.join(by_shuffle(labels), F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("label", "rep").alias("component_id")), "named")
     drop(spark, classes, reps, links, more, labels)
-    return keys.join(named, "text_key", "left")
+    return keys.join(by_shuffle(named), "text_key", "left")
 
 
 def keep_one(docs: DataFrame, **options: float) -> DataFrame:
@@ -399,5 +399,5 @@ def keep_one(docs: DataFrame, **options: float) -> DataFrame:
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
     # All columns travel in one struct, so that none can clash with a name used here.
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("kept"))
-    named = own.where("kept is not null").join(kept, "kept", "left_semi").dropDuplicates(["kept"])
+    named = own.where("kept is not null").join(by_shuffle(kept), "kept", "left_semi").dropDuplicates(["kept"])
     return named.unionByName(own.where("kept is null")).select("row.*")
