@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, drop, stored
+from .common import NO_ID, by_shuffle, drop, stored
 
 #: Sites, and texts, from which on a line is boilerplate; log2 of a sketch's registers; estimates within so many sites, or so
 #: large a share, of the threshold are counted exactly (over 6 standard errors).
@@ -57,13 +57,13 @@ def _cleaned(rows: DataFrame, sites: int, near_copies: Callable[[DataFrame], Dat
         holders = stored(holders.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text"), "holders")
         known = near_copies(holders).where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("component_id").alias("component"))
         by_class = F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("class"), "component")).otherwise(F.col("version"))
-        held = stored(wide.join(known, "doc", "left").select("doc", "version", "place", "h1", "h2", by_class.alias("class")), "held")
+        held = stored(wide.join(by_shuffle(known), "doc", "left").select("doc", "version", "place", "h1", "h2", by_class.alias("class")), "held")
         common = spread_lines(held, "class", sites)
         drop(spark, wide, holders)
     hits = held.select("doc", "version", "place", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
     hits = stored(hits.groupBy("doc", "version").agg(F.collect_set("place").alias("places")), "hits")
     drop(spark, held, common)
-    joined = rows.select("row", "doc", "version", "text").join(hits, ["doc", "version"], "left")
+    joined = rows.select("row", "doc", "version", "text").join(by_shuffle(hits), ["doc", "version"], "left")
     all_places = lambda parts: F.sequence(F.lit(0), F.size(parts) - 1)
     rest = F.transform(F.array(F.split(text, "\n")), lambda parts: F.array_join(F.transform(F.array_except(all_places(parts), F.col("places")), lambda i: F.get(parts, i)), "\n"))[0]
     filled = F.regexp_count(text, F.lit(_FILLED)).cast("long")

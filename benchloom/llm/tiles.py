@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import by_shuffle
+
 #: Rows of a tile's part on average, what tells tiles apart.
 TILE, TILE_KEY = 256, ("table", "key", "kind", "lo", "hi")
 
@@ -22,7 +24,7 @@ def tiles_of(rows: DataFrame) -> DataFrame:
     entry = ["table", "key"]
     sizes = rows.groupBy(*entry, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*entry)
     mixed = sizes.agg(F.max(F.struct("n", "label")).alias("lead"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    held = rows.join(mixed, entry)
+    held = rows.join(by_shuffle(mixed), entry)
     first, others = (F.ceil(F.col(c) / TILE).cast("long") for c in ("lead.n", "outside"))
     is_first = F.col("label") == F.col("lead.label")
     part = F.pmod(F.xxhash64("rep"), F.when(is_first, first).otherwise(others))
