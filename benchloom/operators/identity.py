@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..storage import drop, stored
+from ..storage import by_shuffle, drop, stored
 
 
 def short_id(*parts: Column, length: int = 20, separator: str = ":") -> Column:
@@ -62,28 +64,50 @@ def lineage(predictions: DataFrame, requests: DataFrame, attempts: DataFrame, re
     return rows.withColumns({"has_request": F.col("request").isNotNull(), "has_attempt": F.col("selected_attempt").isNull() | F.col("attempt").isNotNull(), "judged_this": F.col("judgment.prediction").eqNullSafe(F.col("prediction"))})
 
 
+def first_of_rings(links: DataFrame) -> DataFrame:
+    """(revision): the least revision of each ring in links(revision, up), one row for each revision, stored.
+
+    Each round doubles how far a revision looks up; the least one on that way is itself only for the least of a ring, once the way goes
+    round it. Ways that end drop out, and so do those into rings that are found: what is left is never more than the links.
+    """
+    spark = links.sparkSession
+    jump = stored(links.select("revision", "up", F.col("up").alias("least")), "ways")
+    found = []
+    while jump.take(1):
+        found.append(stored(jump.where("least = revision").select("revision"), "rings"))
+        open_ = jump.join(by_shuffle(found[-1].select(F.col("revision").alias("least"))), "least", "left_anti")
+        over = open_.select(F.col("revision").alias("up"), F.col("up").alias("top"), F.col("least").alias("further"))
+        longer = open_.join(by_shuffle(over), "up").select("revision", F.col("top").alias("up"), F.least("least", "further").alias("least"))
+        jump, before = stored(longer, "ways"), jump
+        drop(spark, before)
+    rings = stored(reduce(DataFrame.unionByName, found, links.select("revision").limit(0)), "rings")
+    drop(spark, jump, *found)
+    return rings
+
+
 def ancestry(revisions: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, revision, depth, error): each of starts(revision) with itself (depth 0) and all its ancestors along revisions(revision, parent).
 
     Chains can have any length: each round doubles the distance that is known, for all starts together, over stored tables. A start
     whose chain comes back to itself or to another revision in it has one row, with an error. A parent that has no row is the last of its chain.
+    Rings are found first and cut above their least revision, so that no chain is followed round a ring more than once.
     """
     spark = revisions.sparkSession
-    links = revisions.where("revision is not null and parent is not null").groupBy("revision").agg(F.min("parent").alias("up"))
-    jump = stored(links, "jump")
-    most = jump.count() + 1
+    links = stored(revisions.where("revision is not null and parent is not null").groupBy("revision").agg(F.min("parent").alias("up")), "ups")
+    rings = first_of_rings(links)
+    jump = stored(links.join(by_shuffle(rings), "revision", "left_anti"), "jump")
     known = stored(starts.select(F.col("revision").alias("start"), F.col("revision")).where("start is not null").distinct().withColumn("depth", F.lit(0).cast("long")), "known")
     step = 1
-    while step <= most and jump.take(1):
-        further = known.join(jump, "revision").select("start", F.col("up").alias("revision"), F.col("depth") + step)
+    while jump.take(1):
+        further = known.join(by_shuffle(jump), "revision").select("start", F.col("up").alias("revision"), F.col("depth") + step)
         longer = stored(known.unionByName(further.toDF("start", "revision", "depth")), "known")
-        jump, before = stored(jump.join(jump.select(F.col("revision").alias("up"), F.col("up").alias("top")), "up").select("revision", F.col("top").alias("up")), "jump"), jump
+        jump, before = stored(jump.join(by_shuffle(jump.select(F.col("revision").alias("up"), F.col("up").alias("top"))), "up").select("revision", F.col("top").alias("up")), "jump"), jump
         drop(spark, known, before)
         known, step = longer, 2 * step
-    drop(spark, jump)
-    # Without a cycle no chain is longer than there are links.
-    cyclic = known.where(F.col("depth") >= most).select("start").distinct()
-    fine = known.join(cyclic, "start", "left_anti").withColumn("error", F.lit(None).cast("string"))
+    # Who comes to the least revision of a ring goes round it without end.
+    cyclic = stored(known.join(by_shuffle(rings), "revision", "left_semi").select("start").distinct(), "cyclic")
+    drop(spark, jump, links, rings)
+    fine = known.join(by_shuffle(cyclic), "start", "left_anti").withColumn("error", F.lit(None).cast("string"))
     wrong = cyclic.select("start", F.col("start").alias("revision"), F.lit(0).cast("long").alias("depth"), F.lit("is its own ancestor, or has one that is").alias("error"))
     return fine.unionByName(wrong)
 

@@ -202,3 +202,24 @@ def test_rows_by_place(spark, tmp_path):
     rows = readers.parquet_tree(spark, path)
     assert got == sorted(tuple(r) for r in rows.join(wanted.distinct(), ["file", "row_index"]).select("file", "row_index", "k", "v").collect()) and len(got) == 10
     assert {(r.file.rsplit("/")[-1], r.rows) for r in positions.inventory(index).collect()} >= {("z.parquet", 1000)}
+
+
+def test_rings_are_followed_once(spark, monkeypatch):
+    sizes = []
+
+    def noted(df, name, stored=identity.stored):
+        out = stored(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(identity, "stored", noted)
+    # 20 rings of 8, each with a way of 5 into it, whose revisions are greater or less than the ring's; an own parent; a chain.
+    links = [(100 * r + i, 100 * r + (i + 1) % 8) for r in range(20) for i in range(8)]
+    links += [(sign * (100 * r + 50 + i), sign * (100 * r + 51 + i) if i < 4 else 100 * r + 3) for r in range(20) for i in range(5) for sign in (1, -1)]
+    links += [(9001, 9001), (9000, 9001)] + [(10_000 + i, 10_001 + i) for i in range(10)]
+    starts = [(a,) for a, _ in links]
+    got = identity.ancestry(spark.createDataFrame(links, "revision long, parent long"), spark.createDataFrame(starts, "revision long")).collect()
+    wrong = {r.start for r in got if r.error}
+    assert wrong == {a for a, _ in links if a < 10_000} and len([r for r in got if r.error]) == len(wrong)
+    assert {(r.start, r.revision, r.depth) for r in got if not r.error} == {(10_000 + i, 10_000 + j, j - i) for i in range(10) for j in range(i, 11)}
+    assert max(sizes) <= 14 * len(links)
