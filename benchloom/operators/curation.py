@@ -49,10 +49,10 @@ def turn(values: Column, slot: Column) -> Column:
     return F.get(values, F.element_at(F.split(slot, "_"), -1).cast("int"))
 
 
-def candidates(rows: DataFrame, question: Column, answers: Column, slot: Column, hint: Column | None = None) -> DataFrame:
+def candidates(rows: DataFrame, question: Column, answers: Column, slot: Column, hint: Column | None = None, banned_answers: tuple[str, ...] = text.BANNED_ANSWERS) -> DataFrame:
     """rows(file, row_index) as candidates: id, question, answers, slot and task_hint; unsuitable questions are left out."""
     found = rows.withColumns({"question": question, "answers": answers, "slot": slot})
-    found = found.where(text.is_normal_question(F.col("question"), F.col("answers")))
+    found = found.where(text.is_normal_question(F.col("question"), F.col("answers"), banned_answers))
     return found.withColumns({"id": short_id(F.col("file"), F.col("row_index"), F.col("slot")), "task_hint": hint if hint is not None else text.first_match(F.col("question"))})
 
 

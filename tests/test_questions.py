@@ -24,7 +24,7 @@ def conversations(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["normal_qa_filter"])
+@pytest.mark.parametrize("name", ["identified_candidates", "normal_qa_filter"])
 def test_equals_sql_on_odd_texts(name, spark, conversations):
     got, want = from_spark(catalog.queries()[name](spark, conversations)), from_duckdb(database(conversations), catalog.oracle_sql()[name])
     assert len(want[1]) > 100 and got == want
