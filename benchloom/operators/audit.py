@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import placeholders, with_reply
+from ..storage import by_shuffle
 from .sets import key_violations, row_diff
 
 SCHEMA = "check string, key string, detail string"
@@ -92,7 +93,7 @@ def hashes_match(name: str, rows: DataFrame, key: str, expected: str, found: str
 
 def references_found(name: str, rows: DataFrame, files: DataFrame, path: str) -> DataFrame:
     """Paths in rows that no file has, and paths that leave their root."""
-    gone = rows.join(files.select(F.col("path").alias(path)), path, "left_anti")
+    gone = rows.join(by_shuffle(files.select(F.col("path").alias(path))), path, "left_anti")
     climbing = rows.where(F.col(path).rlike(r"(?:^|/)\.\.(?:/|$)|^/"))
     return violations(name, gone, F.col(path), F.lit("missing")).unionByName(violations(name, climbing, F.col(path), F.lit("outside the root")))
 
@@ -329,14 +330,14 @@ def clean_release(rows: DataFrame, views: dict[str, DataFrame], files: DataFrame
 def disagree(rows: DataFrame, other: DataFrame, on: list[str], fields: dict[str, tuple[list[str], list[str]]], key: str, detail: str | None = None) -> list[DataFrame]:
     """For each name of fields, the rows whose first columns differ, null being a value, from the other relation's second columns; rows that it lacks are left out."""
     theirs = other.select(*on, F.struct(*(F.col(c).alias(c) for c in other.columns if c not in on), F.lit(1).alias("there_")).alias("theirs_"))
-    joined = rows.join(theirs, on)
+    joined = rows.join(by_shuffle(theirs), on)
     same = lambda mine, his: reduce(Column.__and__, (F.col(f"`{a}`").eqNullSafe(F.col("theirs_").getField(b)) for a, b in zip(mine, his, strict=True)))
     return [violations(name, joined.where(~same(mine, his)), F.col(key), F.col(detail) if detail else F.lit(None)) for name, (mine, his) in fields.items()]
 
 
 def absent(name: str, rows: DataFrame, other: DataFrame, on: list[str], key: str, detail: str | None = None) -> DataFrame:
     """Rows that another relation has no partner of."""
-    return violations(name, rows.join(other.select(*on).distinct(), on, "left_anti"), F.col(key), F.col(detail) if detail else F.lit(None))
+    return violations(name, rows.join(by_shuffle(other.select(*on).distinct()), on, "left_anti"), F.col(key), F.col(detail) if detail else F.lit(None))
 
 
 def source_alignment(cases: DataFrame, records: DataFrame) -> list[DataFrame]:

@@ -92,3 +92,12 @@ def test_sets(spark):
         sets.replaced_selection(a.distinct(), b.where("k = 1"), b.where("k = 3"), 5, "k").collect()
     m = spark.sql("select map('a', 1, 'b', 2) as l, map('b', 3) as r").select(sets.merged(F.col("l"), F.col("r")).alias("m")).first().m
     assert m == {"a": 1, "b": 3}
+
+
+def test_alignments_send_no_table_through_the_driver(spark):
+    links = spark.createDataFrame([(1, "r1", "p1"), (2, "r2", "p2"), (3, None, "p3")], "case_id long, request_sha256 string, payload_sha256 string")
+    requests = spark.createDataFrame([("r1", 9, "r1", "p1")], "request_sha256 string, case_id long, sha256 string, payload_sha256 string")
+    paths = spark.createDataFrame([("a",), ("b",)], "path string")
+    checks = [*audit.request_alignment(links, requests), audit.unavailable(links, requests), audit.references_found("files", paths, paths.where("path = 'a'"), "path")]
+    assert [r.key for c in checks for r in c.collect()] == ["1", "2", "b"]
+    assert not [c for c in checks if "Broadcast" in c._jdf.queryExecution().executedPlan().toString()]
