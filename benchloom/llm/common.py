@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import ship
+from ..session import BATCH_BYTES, BATCH_ROWS, ship
 from ..storage import by_shuffle, drop, stored  # noqa: F401  the operators take them from here
 
-#: Rows and bytes in one Arrow batch sent to Python, whichever is reached first: texts can be very long.
-BATCH_ROWS, BATCH_BYTES = 1000, 1 << 25
-
 #: ASCII capitals to small letters; everything else stays.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -32,8 +29,6 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def prepare(spark: SparkSession) -> None:
     """Sends this package to the executors and bounds Arrow batches; for plans made after it."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows and bytes in one Arrow batch sent to Python, whichever is reached first: texts can be very long.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 25
+
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for one machine; clusters bring their own."""
@@ -20,7 +23,9 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to all executors, once for each application: Python functions need them there."""
+    """Sends this package's modules to all executors, once for each application, as Python functions need them there; bounds Arrow batches, for plans made after it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

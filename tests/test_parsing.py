@@ -41,3 +41,17 @@ def test_markdown_blocks_and_spans(spark):
     r = spark.createDataFrame([(text,)], "t string").select(parsing.markdown_spans("t").alias("s"), parsing.markdown_blocks(F.col("t")).alias("b"), parsing.markdown_rows(F.col("t")).alias("rows")).first()
     assert [text[x.start : x.end] for x in r.s] == r.b and len(r.b) == 2
     assert r.rows == [["a", "b"], ["1", "2"], ["z"]]
+
+
+def test_batches_of_pages_are_bounded(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType
+
+    from benchloom import session
+    from benchloom.plans.catalog import queries
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.range(5000, numPartitions=1).select(F.col("id").alias("page_id"), F.lit("<p>a</p>").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.text for r in queries()["html_text"](spark, str(tmp_path)).collect()} == {"a"}
+    sizes = F.pandas_udf(lambda column: column * 0 + len(column), LongType())
+    assert spark.range(5000, numPartitions=1).select(F.max(sizes("id"))).first()[0] <= session.BATCH_ROWS
