@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType, TimestampNTZType
 
 from ..functions.text import placeholders, with_reply
 from ..storage import by_shuffle
@@ -46,10 +47,19 @@ def group_sizes(name: str, rows: DataFrame, keys: list[str], expected: int) -> D
 
 
 def constant(name: str, rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Groups in which a field has several values, null being one."""
-    parts = [(F.countDistinct(f) + F.max(F.col(f).isNull().cast("int"))).alias(f"__{f}") for f in fields]
-    found = rows.groupBy(*keys).agg(*parts)
-    varied = F.array_compact(F.array(*(F.when(F.col(f"__{f}") > 1, f) for f in fields)))
+    """Groups in which a field has several values, null being one.
+
+    Of numbers and times the least and the greatest tell, in one pass of two values a group; sets of distinct ones are for other types.
+    """
+
+    def several(f: str) -> Column:
+        null = F.max(F.col(f).isNull().cast("int"))
+        if isinstance(rows.schema[f].dataType, (NumericType, DatetimeType, TimestampNTZType, BooleanType)):
+            return F.coalesce((F.min(f) != F.max(f)) | (null == 1), F.lit(False)) & F.min(f).isNotNull()
+        return F.countDistinct(f) + null > 1
+
+    found = rows.groupBy(*keys).agg(*(several(f).alias(f"__{f}") for f in fields))
+    varied = F.array_compact(F.array(*(F.when(F.col(f"__{f}"), f) for f in fields)))
     return violations(name, found.select(*keys, varied.alias("v")).where(F.size("v") > 0), F.concat_ws("/", *keys), F.concat_ws(",", "v"))
 
 

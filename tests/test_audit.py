@@ -101,3 +101,13 @@ def test_alignments_send_no_table_through_the_driver(spark):
     checks = [*audit.request_alignment(links, requests), audit.unavailable(links, requests), audit.references_found("files", paths, paths.where("path = 'a'"), "path")]
     assert [r.key for c in checks for r in c.collect()] == ["1", "2", "b"]
     assert not [c for c in checks if "Broadcast" in c._jdf.queryExecution().executedPlan().toString()]
+
+
+@pytest.mark.parametrize("kind, a, b", [("double", 0.0, float("nan")), ("timestamp", "2020-01-01", "2020-01-02"), ("string", "a", "b"), ("boolean", True, False)])
+def test_constant_fields(spark, kind, a, b):
+    groups = {"same": [a, a], "varied": [a, b], "null": [None, None], "partly": [a, None], "mixed": [a, None, b], "one": [b], "twice": [b, b]}
+    rows = spark.createDataFrame([(k, None if v is None else str(v)) for k, g in groups.items() for v in g], "k string, v string").withColumn("v", F.col("v").cast(kind))
+    found = audit.constant("c", rows, ["k"], ["v"])
+    passes = found._jdf.queryExecution().executedPlan().toString().count("Aggregate(")
+    assert (passes > 2) == (kind == "string")
+    assert {(r.key, r.detail) for r in found.collect()} == {(k, "v") for k in ("varied", "partly", "mixed")}
